@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronomesh.llm import packing, secrets, simhash
+from chronomesh.llm import langid, packing, secrets, simhash
 from chronomesh.llm.common import documents
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -25,6 +29,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_langid": op4_langid,
     "op6_packing": op6_packing,
     "op9_simhash": op9_simhash,
     "op10_secrets": op10_secrets,
