@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronomesh.llm import langid, packing, secrets, simhash, substrings
+from chronomesh.llm import langid, media, packing, secrets, simhash, substrings
 from chronomesh.llm.common import documents
 
 
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digest(documents(spark, sf_dir))
+
+
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(documents(spark, sf_dir))
 
@@ -33,6 +37,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_media": op1_media,
     "op3_substrings": op3_substrings,
     "op4_langid": op4_langid,
     "op6_packing": op6_packing,
