@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronomesh.llm import langid, media, packing, secrets, simhash, substrings
+from chronomesh.llm import langid, media, orderminhash, packing, secrets, simhash, substrings
 from chronomesh.llm.common import documents
 
 
@@ -14,6 +14,10 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(documents(spark, sf_dir))
 
 
+def op2_orderminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orderminhash.edit_sensitivity(documents(spark, sf_dir))
+
+
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(documents(spark, sf_dir))
 
@@ -38,6 +42,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
+    "op2_orderminhash": op2_orderminhash,
     "op3_substrings": op3_substrings,
     "op4_langid": op4_langid,
     "op6_packing": op6_packing,
