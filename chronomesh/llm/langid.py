@@ -16,8 +16,8 @@ from chronomesh.llm.common import bucket_of_id, slices
 UNDETERMINED = "und"
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST, SHORTEST = 5, 1
-#: The model is fitted on at most so many labelled rows, those of the smallest hashed ids.
-FIT_ROWS = 20_000
+#: The model is fitted on about so many labelled rows at most, chosen by hashed ids.
+FIT_ROWS = 5_000
 #: Size of the model, which is broadcast: words and n-grams kept for each language.
 WORDS, GRAMS = 30_000, 30_000
 #: A word or n-gram is known once it was seen so often.
@@ -50,11 +50,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(labelled: DataFrame, rows: int = FIT_ROWS, words: int = WORDS, grams: int = GRAMS) -> Model:
     """Fit on (doc_id, text, lang): log frequencies by language of known words and of n-grams of each order.
 
-    At most `rows` labelled rows take part, so that fitting costs the same at any size; the model holds at most
-    `words` words and `grams` n-grams for each language, which bounds what is collected and sent to executors.
+    About `rows` labelled rows at most take part, those whose hashed id lies below a cut that follows from their
+    count, so that fitting costs the same at any size and no text is sorted or sent to choose them. The model holds
+    at most `words` words and `grams` n-grams for each language, which bounds what is collected and broadcast.
     """
     usable = labelled.filter("text is not null and lang is not null")
-    taken = usable.select("doc_id", "text", "lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).select("text", "lang").repartition(24)
+    share = min(1.0, rows / max(1, usable.count()))
+    taken = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < int(share * (1 << 32))).select("text", "lang")
     counts = taken.mapInArrow(_count, "lang string, ord int, unit string, n long").groupBy("lang", "ord", "unit").agg(F.sum("n").alias("n"))
     totals = counts.groupBy("lang", "ord").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
     kept = F.expr(f"row_number() over (partition by lang, ord > 0 order by n desc, unit)")
