@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronomesh.llm import langid, media, orderminhash, packing, secrets, simhash, substrings
+from chronomesh.llm import langid, media, orderminhash, packing, secrets, simhash, substrings, toxicity
 from chronomesh.llm.common import documents
 
 
@@ -32,6 +32,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.detect(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substrings": op3_substrings,
     "op4_langid": op4_langid,
     "op6_packing": op6_packing,
+    "op7_toxicity": op7_toxicity,
     "op9_simhash": op9_simhash,
     "op10_secrets": op10_secrets,
 }
