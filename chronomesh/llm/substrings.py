@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +18,9 @@ BATCHES = 4
 #: The newest run is merged with the one before it if it has at least this share of that one's rows.
 MERGE_SHARE = 0.75
 #: A task merges windows of equal words within so many words before they are dealt out.
-CHUNK_WORDS = 2_000_000
+CHUNK_WORDS = 500_000
+#: Rows of an Arrow batch sent on.
+SENT_ROWS = 65_536
 
 ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
@@ -109,7 +112,9 @@ def _occurrence_rows(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordB
     head = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
     later = (doc != doc[head]) | (start != start[head])  # equal places come from rows that repeat a doc_id
     names = ["doc_id", "start", "n", "hash", "verify"]
-    yield pa.RecordBatch.from_arrays([pa.array(doc[new]), pa.array(start[new]), pa.array(np.ones(new.sum(), np.int32)), pa.array(h[new].view(np.int64)), pa.array(c[new].view(np.int32))], names)
+    found = pa.RecordBatch.from_arrays([pa.array(doc[new]), pa.array(start[new]), pa.array(np.ones(new.sum(), np.int32)), pa.array(h[new].view(np.int64)), pa.array(c[new].view(np.int32))], names)
+    for at in range(0, found.num_rows, SENT_ROWS):
+        yield found.slice(at, SENT_ROWS)
     d, s, h = doc[later], start[later], h[later]
     if len(d):
         at = np.lexsort((s, d))
@@ -222,13 +227,14 @@ class WindowIndex:
         free_shuffles(self.spark)
 
 
-def cut_out(text: bytes | None, ranges: list[tuple[int, int]], size: int) -> tuple[int, list[bytes]]:
+def cut_out(text: bytes | None, starts: np.ndarray, counts: np.ndarray, size: int) -> tuple[int, list[bytes]]:
     """The number of words, and the words that no window of these ranges covers."""
     words = (text or b"").split()
+    if not len(starts):
+        return len(words), words
     covered = np.zeros(len(words) + 1, np.int64)
-    for start, n in ranges:
-        covered[start] += 1
-        covered[min(start + n + size - 1, len(words))] -= 1
+    np.add.at(covered, np.minimum(starts, len(words)), 1)
+    np.subtract.at(covered, np.minimum(starts + counts + size - 1, len(words)), 1)
     kept = np.cumsum(covered[:-1]) == 0
     return len(words), words if kept.all() else [w for w, k in zip(words, kept.tolist()) if k]
 
@@ -254,8 +260,11 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, batches: int = BATCHES,
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(rows):
             out: list[list] = [[], [], [], []]
-            for text, ranges in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("ranges").to_pylist()):
-                n, kept = cut_out(text, [(r["start"], r["n"]) for r in ranges or ()], size)
+            lists = batch.column("ranges")
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            starts, counts = (pc.list_flatten(lists).field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for text, a, b in zip(batch.column("text").cast(pa.binary()).to_pylist(), [0, *ends[:-1].tolist()], ends.tolist()):
+                n, kept = cut_out(text, starts[a:b], counts[a:b], size)
                 joined = b" ".join(kept)
                 for column, value in zip(out, (n, n - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode())):
                     column.append(value)

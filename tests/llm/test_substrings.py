@@ -28,7 +28,7 @@ def brute(rows, size):
 
 @pytest.mark.parametrize("batches,share", [(1, 0.75), (4, 0.75), (5, 0.0)])
 def test_against_brute_force(spark, batches, share, monkeypatch):
-    monkeypatch.setattr(substrings, "CHUNK_WORDS", 200)
+    monkeypatch.setattr(substrings.occurrences, "__defaults__", (20, 200))
     monkeypatch.setattr(substrings.WindowIndex.__init__, "__defaults__", (20, share))
     rng = random.Random(batches)
     vocabulary = ["a", "b", "Ü", "d", "\u0085e", "\x1ff"]
