@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronomesh.llm import langid, media, orderminhash, packing, secrets, simhash, substrings, toxicity
+from chronomesh.llm import langid, media, mixing, orderminhash, packing, secrets, simhash, substrings, toxicity
 from chronomesh.llm.common import documents
 
 
@@ -26,6 +26,10 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(documents(spark, sf_dir))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -49,10 +53,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_orderminhash": op2_orderminhash,
     "op3_substrings": op3_substrings,
     "op4_langid": op4_langid,
+    "op5_mixing": op5_mixing,
     "op6_packing": op6_packing,
     "op7_toxicity": op7_toxicity,
     "op9_simhash": op9_simhash,
     "op10_secrets": op10_secrets,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_mixing": mixing.oracle_sql(),
+}
