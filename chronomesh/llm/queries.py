@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronomesh.llm import langid, media, mixing, orderminhash, packing, secrets, simhash, substrings, toxicity
+from chronomesh.llm import langid, licenses, media, mixing, orderminhash, packing, secrets, simhash, substrings, toxicity
 from chronomesh.llm.common import documents
 
 
@@ -40,6 +40,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.detect(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": op5_mixing,
     "op6_packing": op6_packing,
     "op7_toxicity": op7_toxicity,
+    "op8_licenses": op8_licenses,
     "op9_simhash": op9_simhash,
     "op10_secrets": op10_secrets,
 }
