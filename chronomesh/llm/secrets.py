@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections import Counter
@@ -134,6 +133,19 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 SCAN = "doc_id long, base array<struct<start: long, kind: int, end: long>>, candidates array<struct<start: long, end: long, length_class: int, score: int>>, nulls array<struct<length_class: int, score: int, n: long>>"
 
 
+def spans_of(text: str, nulls: Counter | None = None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, int]]]:
+    """The fixed patterns' spans, and (start, end, length class, score) of other tokens; plain words are counted into nulls."""
+    base, found = base_spans(text), []
+    for m in TOKEN.finditer(text):
+        token, (s, e) = m[0], m.span()
+        if is_ordinary(token):
+            if nulls is not None:
+                nulls[length_class(e - s), score(token)] += 1
+        elif e - s >= LEAST_CANDIDATE and not any(b < e and s < f for b, _, f in base):
+            found.append((s, e, length_class(e - s), score(token)))
+    return base, found
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
     candidate = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("length_class", pa.int32()), ("score", pa.int32())])
@@ -142,15 +154,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nulls: Counter = Counter()
         bases, candidates = [], []
         for text in batch.column("text").to_pylist():
-            base, own = base_spans(text) if text else [], []
-            for m in TOKEN.finditer(text) if text else ():
-                token, (s, e) = m[0], m.span()
-                if is_ordinary(token):
-                    nulls[length_class(e - s), score(token)] += 1
-                elif e - s >= LEAST_CANDIDATE and not any(b < e and s < f for b, _, f in base):
-                    own.append({"start": s, "end": e, "length_class": length_class(e - s), "score": score(token)})
+            base, found = spans_of(text, nulls) if text else ([], [])
             bases.append([{"start": s, "kind": k, "end": e} for s, k, e in base])
-            candidates.append(own)
+            candidates.append([{"start": s, "end": e, "length_class": k, "score": v} for s, e, k, v in found])
         seen = [{"length_class": k, "score": v, "n": n} for (k, v), n in nulls.items()]
         counts = [seen] + [[]] * (len(bases) - 1) if bases else []
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(bases, pa.list_(span)), pa.array(candidates, pa.list_(candidate)), pa.array(counts, pa.list_(null))], ["doc_id", "base", "candidates", "nulls"])
@@ -173,6 +179,19 @@ def thresholds(nulls: dict[tuple[int, int], int], found: dict[tuple[int, int], i
     return out
 
 
+def _scanned(docs: DataFrame, q: float) -> tuple[DataFrame, dict[int, int]]:
+    """The stored scan of docs, and the least score of a find for each length class."""
+    taken = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    scanned = stored(taken.mapInArrow(_scan, SCAN), "secrets")
+
+    def counts(column: str, n: str) -> dict[tuple[int, int], int]:
+        """At most len(LENGTHS) * (BUCKETS + 1) rows."""
+        rows = scanned.select(F.explode(column).alias("x")).groupBy("x.length_class", "x.score").agg(F.expr(f"sum({n})").alias("n")).collect()
+        return {(r.length_class, r.score): r.n for r in rows}
+
+    return scanned, thresholds(counts("nulls", "x.n"), counts("candidates", "1L"), q)
+
+
 def scan(docs: DataFrame, q: float = FALSE_DISCOVERY) -> DataFrame:
     """One row per document: doc_id and spans array<struct<start, kind, end>> (code points, end exclusive) in order.
 
@@ -183,15 +202,7 @@ def scan(docs: DataFrame, q: float = FALSE_DISCOVERY) -> DataFrame:
     Null or empty text: no spans. Null doc_id: scanned, returned as null. Repeated rows are each returned. An empty
     table gives no rows. Columns besides doc_id and text are not read.
     """
-    taken = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scanned = stored(taken.mapInArrow(_scan, SCAN), "secrets")
-
-    def counts(column: str, n: str) -> dict[tuple[int, int], int]:
-        """At most len(LENGTHS) * (BUCKETS + 1) rows."""
-        rows = scanned.select(F.explode(column).alias("x")).groupBy("x.length_class", "x.score").agg(F.expr(f"sum({n})").alias("n")).collect()
-        return {(r.length_class, r.score): r.n for r in rows}
-
-    cut = thresholds(counts("nulls", "x.n"), counts("candidates", "1L"), q)
+    scanned, cut = _scanned(docs, q)
     passes = " or ".join(f"(c.length_class = {k} and c.score >= {s})" for k, s in cut.items()) or "false"
     added = f"transform(filter(candidates, c -> {passes}), c -> struct(c.start as start, 3 as kind, c.end as end))"
     return scanned.select("doc_id", F.expr(f"array_sort(concat(base, {added}))").alias("spans"))
@@ -217,32 +228,40 @@ def digests(scanned: DataFrame) -> DataFrame:
     )
 
 
+def covered(text: str, spans: list[tuple[int, int]], mark: str) -> str:
+    """text with spans replaced by mark; spans that overlap or touch are replaced as one."""
+    out, at = [], 0
+    for start, end in sorted(spans):
+        if start > at or not out:
+            out += [text[at:start], mark]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
 def redact(docs: DataFrame, q: float = FALSE_DISCOVERY, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every span found by scan() replaced by mark in text (overlapping spans as one), n_chars kept in step.
+    """docs, all rows and columns, with every span that scan() finds replaced by mark in text, and n_chars kept in step.
 
-    Documents without spans stay as they are. All columns are kept. Needs one row per doc_id; rows with a null
-    doc_id are kept and scanned by the fixed patterns of the same scan, matched through their text.
+    A first pass over all documents settles the thresholds, a second one finds the spans again and covers them where
+    the documents are read, so no text is shuffled. Rows without spans, null and empty texts stay as they are.
     """
-    columns = docs.columns
-    spans = scan(docs, q).filter("size(spans) > 0").groupBy("doc_id").agg(F.flatten(F.collect_set("spans")).alias("_spans"))
-    marked = docs.withColumnRenamed("doc_id", "_id").join(spans, F.col("_id").eqNullSafe(F.col("doc_id")), "left").drop("doc_id").withColumnRenamed("_id", "doc_id")
-
-    @F.pandas_udf("string")
-    def cover(text, found):
-        def one(t, s):
-            if t is None or s is None or not len(s):
-                return t
-            out, at = [], 0
-            for start, end in sorted((x["start"], x["end"]) for x in s):
-                if start > at or not out:
-                    out += [t[at:start], mark]
-                at = max(at, end)
-            return "".join([*out, t[at:]])
-
-        return text.combine(found, one)
-
-    changed = F.when(F.col("_spans").isNotNull(), cover(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))
-    marked = marked.withColumn("text", changed).drop("_spans")
-    if "n_chars" in columns:
-        marked = marked.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
-    return marked.select(columns)
+    _, cut = _scanned(docs, q)
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            texts, changed = batch.column("text").to_pylist(), set()
+            for i, text in enumerate(texts):
+                base, found = spans_of(text) if text else ([], [])
+                spans = [(s, e) for s, _, e in base] + [(s, e) for s, e, k, v in found if v >= cut.get(k, BUCKETS + 1)]
+                if spans:
+                    texts[i] = covered(text, spans, mark)
+                    changed.add(i)
+            columns = {n: batch.column(n) for n in names}
+            if changed:
+                columns["text"] = pa.array(texts, batch.column("text").type)
+                if "n_chars" in columns:
+                    old = columns["n_chars"]
+                    columns["n_chars"] = pa.array([len(texts[i]) if i in changed else x for i, x in enumerate(old.to_pylist())], old.type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names)
+
+    return docs.mapInArrow(run, docs.schema)
