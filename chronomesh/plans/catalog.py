@@ -1,10 +1,14 @@
-"""Registered queries over the driver's tables and their SQL counterparts."""
+"""All registered queries over the driver's tables and their SQL counterparts."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from chronomesh.plans import q_panel  # noqa: F401
+from chronomesh.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES["flagship"](spark, sf_dir)
