@@ -148,6 +148,7 @@ def per_graph(g: Graph, kernel: Callable[[np.ndarray, list], pd.DataFrame], sche
     Graphs are spread over the cluster by their keys; one graph's matrix is the unit of memory.
     """
     names = g.nodes.groupBy().agg(F.array_sort(F.collect_set("i")).alias("names"))  # one row: the node set
+    keys = list(g.keys)
     types = ", ".join(f"{k} {g.edges.schema[k].dataType.simpleString()}" for k in g.keys)
 
     def run(batches):
@@ -158,7 +159,7 @@ def per_graph(g: Graph, kernel: Callable[[np.ndarray, list], pd.DataFrame], sche
                 for i, j, w in zip(r.a, r.b, r.v):
                     m[at[i], at[j]] = m[at[j], at[i]] = w
                 out = kernel(m, list(r.names))
-                for place, k in enumerate(g.keys):
+                for place, k in enumerate(keys):
                     out.insert(place, k, getattr(r, k))
                 yield out
 

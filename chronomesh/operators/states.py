@@ -137,7 +137,7 @@ def _group_centroids(rows: DataFrame, k: int, n_init: int, seed: int | None) ->
         c, _, _ = kmeans(x[np.lexsort(x.T[::-1])], k, n_init, seed)
         return pd.DataFrame({"state": range(len(c)), "c": list(c)})
 
-    return rows.groupBy(F.lit(0)).applyInPandas(lambda f: fit(f[["f"]]), "state int, c array<double>")
+    return rows.select("f", F.lit(0).alias("g")).groupBy("g").applyInPandas(fit, "state int, c array<double>")
 
 
 def two_level(features: DataFrame, n_states: int, subject_clusters: int, n_init: int = 50, seed: int | None = 0, group_init: int = 50) -> tuple[DataFrame, DataFrame]:
