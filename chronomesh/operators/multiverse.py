@@ -35,15 +35,13 @@ def product(spark: SparkSession, decisions: Decisions, order: list[str] | None =
 
     With order, only the decisions it lists are crossed; the others are `unused`.
     """
-    used = [d for d in (order or list(decisions))]
-    tables = []
-    for k, d in enumerate(used):
-        rows = [(i, option_name(o)) for i, o in enumerate(decisions[d])]
-        tables.append(spark.createDataFrame(rows, f"_p{k} int, `{d}` string"))  # one row per option
-    space = reduce(lambda a, b: a.crossJoin(b), tables)
-    place = reduce(lambda acc, k: acc * len(decisions[used[k]]) + F.col(f"_p{k}"), range(len(used)), F.lit(0).cast("long"))
+    used = list(order or decisions)
+    space = spark.range(1).select(F.lit(0).cast("long").alias("place"))
+    for d in used:  # each decision is generated within the rows so far: no joins, one partition
+        options = F.array(*[F.lit(option_name(o)).cast("string") for o in decisions[d]])
+        space = space.select("*", F.posexplode(options).alias("_p", d)).withColumn("place", F.col("place") * len(decisions[d]) + F.col("_p")).drop("_p")
     columns = [F.col(f"`{d}`") if d in used else F.lit("unused").alias(d) for d in decisions]
-    return space.select(F.lit(order_id).alias("order_id"), place.alias("place"), *columns)
+    return space.select(F.lit(order_id).alias("order_id"), "place", *columns)
 
 
 def condition(rule: dict) -> Column:
