@@ -40,8 +40,13 @@ def check_shapes(p: DataFrame) -> DataFrame:
 
 
 def centred(p: DataFrame) -> DataFrame:
-    """Series minus their means: changes no correlation, and keeps power sums from cancelling."""
-    return p.withColumn("x", F.col("x") - F.avg("x").over(series()))
+    """Series minus their means: changes no correlation, and keeps power sums from cancelling.
+
+    What is left of a value that equals the mean but for rounding becomes zero, so a constant series stays constant.
+    """
+    mean = F.avg("x").over(series())
+    left = F.col("x") - mean
+    return p.withColumn("x", F.when(F.abs(left) <= F.abs(mean) * 1e-13, F.lit(0.0)).otherwise(left))
 
 
 def standardise(p: DataFrame, ddof: int = 0) -> DataFrame:

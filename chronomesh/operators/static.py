@@ -50,7 +50,7 @@ def pearson(p: DataFrame, shrinkage: str | None = None, pooled: bool = False, fi
     a, b = var.select("subject", F.col("k").alias("i"), F.col("v").alias("vi")), var.select("subject", F.col("k").alias("j"), F.col("v").alias("vj"))
     scaled = cov.filter("i <> j").join(a, ["subject", "i"]).join(b, ["subject", "j"])
     r = ratio(F.col("w"), F.sqrt(F.col("vi") * F.col("vj")))
-    return finish(scaled.select("subject", "i", "j", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)).alias("w")), fisher)
+    return finish(scaled.select("subject", "i", "j", F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("w")), fisher)
 
 
 def partial(p: DataFrame, shrinkage: str | None = None, pooled: bool = False) -> DataFrame:

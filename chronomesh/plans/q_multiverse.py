@@ -126,8 +126,8 @@ _MLI = {
 }
 query("mv_mli", run_sql("select universe, round((max(err) over () - err) / (max(err) over () * count(*) over () - sum(err) over ()), 9) + 0.0 w from nr", **_MLI))(lambda s, d: mv.mli_weights(results(s, d), "outcome", NAMES).select("universe", clean_zero(F.col("w"), 9).alias("w")))
 query("mv_compare")(lambda s, d: mv.compare_integration(results(s, d), "outcome", NAMES, "bic", 10_000.0))
-query("mv_tstat", run_sql(f"select segment, count(*) n, {r6('avg(z)')} mean, {r6('stddev_samp(z) / sqrt(count(*))')} sem, {r6('avg(z) / (stddev_samp(z) / sqrt(count(*)))')} t from (select segment, outcome - 1000 z from res) group by segment"))(
-    lambda s, d: rounded(mv.t_test(results(s, d).withColumn("z", F.col("outcome") - 1000), "z", ["segment"]), "mean", "sem", "t")
+query("mv_tstat", run_sql(f"select segment, count(*) n, round(avg(z), 3) + 0.0 mean, round(stddev_samp(z) / sqrt(count(*)), 3) + 0.0 sem, round(avg(z) / (stddev_samp(z) / sqrt(count(*))), 3) + 0.0 t from (select segment, outcome - 1000 z from res) group by segment"))(
+    lambda s, d: rounded(mv.t_test(results(s, d).withColumn("z", F.col("outcome") - 1000), "z", ["segment"]), "mean", "sem", "t", digits=3)
 )
 query("mv_tpvalues")(lambda s, d: rounded(mv.confidence_intervals(mv.t_p_values(mv.t_test(results(s, d).withColumn("z", F.col("outcome") - 1000), "z", ["segment"]))), "mean", "sem", "t", "p", "low", "high"))
 _RANK = {"rr": "select *, row_number() over (order by outcome, universe) rank from res"}
