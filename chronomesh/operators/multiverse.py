@@ -140,6 +140,18 @@ def run_each(space: DataFrame, analysis: Callable[[SparkSession, dict], dict], u
     return spark.createDataFrame(found, "universe long, measure string, value double")
 
 
+def run_estimators(space: DataFrame, decision: str, options: list[dict], panel: DataFrame, measure: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(universe, value): each option {"name", "func", "args"} of one decision estimated once, whatever number of universes share it.
+
+    measure turns an estimator's edges into one row with a column `value`. The results of all options are one plan,
+    joined to the universes by the option's name.
+    """
+    from chronomesh.functions.registry import call
+
+    parts = [measure(call(o, panel)).select(F.lit(option_name(o)).alias("_option"), "value") for o in options]
+    return space.join(reduce(DataFrame.unionByName, parts), F.col(f"`{decision}`") == F.col("_option")).select("universe", "value")
+
+
 def get_results(results: DataFrame, space: DataFrame | None = None) -> DataFrame:
     """Results with one `__decision` column each, in order of universe."""
     if space is None:

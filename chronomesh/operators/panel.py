@@ -236,6 +236,18 @@ def parcellate(vertex_ts: DataFrame, atlas: DataFrame, parcels: DataFrame, stand
     return cells.join(means, ["subject", "t", "parcel"], "left").select("subject", "t", "parcel", F.coalesce("x", F.lit(0.0)).alias("x"))
 
 
+def vertex_values(parcel_values: DataFrame, atlas: DataFrame) -> DataFrame:
+    """(vertex, value): each vertex with its parcel's value; null for background and parcels without one."""
+    return atlas.join(parcel_values.select("parcel", "value"), "parcel", "left").select("vertex", "value")
+
+
+def colour_limits(values: DataFrame) -> DataFrame:
+    """(low, high, discrete): shared limits of the values, and whether they are at most 32 different integers."""
+    n = F.count_distinct("value")
+    whole = F.min((F.col("value") == F.floor("value")).cast("int")) == 1
+    return values.agg(F.min("value").alias("low"), F.max("value").alias("high"), (whole & (n <= 32)).alias("discrete"))
+
+
 def renumber(atlas: DataFrame, skip: int = 0, offset: int = 0) -> DataFrame:
     """(vertex, parcel): keys above `skip` renumbered 1.. in order, plus offset; others become 0."""
     keys = atlas.filter(F.col("parcel") > skip).select("parcel").distinct()

@@ -104,6 +104,15 @@ def outer_states(centroids: DataFrame) -> DataFrame:
     return centroids.select("state", F.expr(f"inline({made})"))
 
 
+def rebuild_matrices(centroids: DataFrame, n: int, diagonal: float = 0.0) -> DataFrame:
+    """(state, i, j, w): symmetric matrices from centroids (state, c) over the edges i < j of n regions, in order of (i, j)."""
+    places = [(i, j) for i in range(n) for j in range(i + 1, n)]
+    pair = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in places])
+    half = centroids.select("state", F.posexplode(F.arrays_zip(pair.alias("p"), F.col("c").alias("w")))).select("state", "col.p.i", "col.p.j", "col.w")
+    own = centroids.select("state", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")).select("state", "i", F.col("i").alias("j"), F.lit(diagonal).alias("w"))
+    return half.unionByName(half.select("state", F.col("j").alias("i"), F.col("i").alias("j"), "w")).unionByName(own)
+
+
 def mean_matrices(edges: DataFrame, states: DataFrame) -> DataFrame:
     """(state, i, j, w): mean of the edges over the times in each state."""
     return edges.join(states, ["subject", "t"]).groupBy("state", "i", "j").agg(F.avg("w").alias("w"))
