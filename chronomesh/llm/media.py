@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -23,7 +24,7 @@ HISTOGRAM_BINS = 16
 SENSITIVITY, FLOOR, MEMORY = 3.0, 0.25, 0.9
 
 # Marker codes of the JPEG standard (ITU-T T.81).
-SOI, EOI, SOS, DHT, SOF3 = 0xD8, 0xD9, 0xDA, 0xC4, 0xC3
+SOI, EOI, SOS, DHT, DQT, DRI, SOF0, SOF1, SOF3 = 0xD8, 0xD9, 0xDA, 0xC4, 0xDB, 0xDD, 0xC0, 0xC1, 0xC3
 
 
 def _code_lengths() -> list[int]:
@@ -231,6 +232,131 @@ def decode_frames(frames: list[bytes]) -> np.ndarray:
     return out.T.reshape(len(scans), height, width).astype(np.uint8)
 
 
+def process_of(frame: bytes) -> int:
+    """The marker of a JPEG frame's coding process."""
+    at = 2
+    while at + 4 <= len(frame) and frame[at] == 0xFF:
+        if 0xC0 <= frame[at + 1] <= 0xCF and frame[at + 1] not in (DHT, 0xC8, 0xCC):
+            return frame[at + 1]
+        at += 2 + struct.unpack_from(">H", frame, at + 2)[0]
+    raise BadMedia("no frame header")
+
+
+def zigzag() -> np.ndarray:
+    """Place in a block of each coefficient in coding order: diagonals in turn, up and down."""
+    cells = sorted(((r, c) for r in range(8) for c in range(8)), key=lambda x: (x[0] + x[1], x[0] if (x[0] + x[1]) % 2 else x[1]))
+    return np.array([8 * r + c for r, c in cells])
+
+
+class _Bits:
+    """Bits of entropy-coded bytes, most significant first."""
+
+    def __init__(self, data: bytes):
+        self.data, self.at, self.end = data + b"\xff\xff\xff", 0, 8 * len(data)
+
+    def take(self, n: int) -> int:
+        """The next n <= 16 bits as a number."""
+        at = self.at
+        self.at += n
+        if self.at > self.end:
+            raise BadMedia("a scan ends early")
+        return (int.from_bytes(self.data[at >> 3 : (at >> 3) + 3], "big") >> (24 - (at & 7) - n)) & ((1 << n) - 1)
+
+    def symbol(self, table: dict[tuple[int, int], int]) -> int:
+        code = 0
+        for n in range(1, 17):
+            code = code << 1 | self.take(1)
+            if (n, code) in table:
+                return table[n, code]
+        raise BadMedia("unknown code")
+
+    def signed(self, size: int) -> int:
+        value = self.take(size) if size else 0
+        return value if not size or value >> (size - 1) else value - (1 << size) + 1
+
+
+def decode_baseline(frame: bytes) -> np.ndarray:
+    """Luma samples (height, width) of a sequential Huffman-coded DCT frame of 8 bits that brings its own tables."""
+    at, quant, tables, restart, parts = 2, {}, {}, 0, []
+    while True:
+        if at + 4 > len(frame) or frame[at] != 0xFF:
+            raise BadMedia("no scan")
+        marker, size = frame[at + 1], struct.unpack_from(">H", frame, at + 2)[0]
+        body, at = frame[at + 4 : at + 2 + size], at + 2 + size
+        if marker == DQT:
+            while body:
+                wide, n = body[0] >> 4, body[0] & 15
+                quant[n] = np.frombuffer(body[1 : 65 + 64 * wide], ">u2" if wide else "u1").astype(float)
+                body = body[65 + 64 * wide :]
+        elif marker == DHT:
+            while body:
+                kind, counts = body[0], list(body[1:17])
+                symbols = list(body[17 : 17 + sum(counts)])
+                tables[kind] = {(length, code): symbol for symbol, (code, length) in huffman_codes(counts, symbols).items()}
+                body = body[17 + sum(counts) :]
+        elif marker == DRI:
+            restart = struct.unpack(">H", body)[0]
+        elif marker in (SOF0, SOF1):
+            bits, height, width, n = struct.unpack_from(">BHHB", body)
+            if bits != 8:
+                raise BadMedia("only 8-bit frames are decoded")
+            parts = [(body[6 + 3 * k], body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k]) for k in range(n)]
+        elif marker == SOS:
+            uses = {body[1 + 2 * k]: body[2 + 2 * k] for k in range(body[0])}
+            break
+    if not parts or set(uses) != {p[0] for p in parts}:
+        raise BadMedia("only one scan of all components is decoded")
+    end = frame.rfind(bytes([0xFF, EOI]))
+    pieces = re.split(rb"\xff[\xd0-\xd7]", frame[at : end if end > 0 else len(frame)])
+    wide, tall = max(p[1] for p in parts), max(p[2] for p in parts)
+    across, down = -(-width // (8 * wide)), -(-height // (8 * tall))
+    order = zigzag()
+    k = np.arange(8)
+    basis = np.cos((2 * k[None] + 1) * k[:, None] * np.pi / 16) * np.where(k == 0, np.sqrt(1 / 8), 0.5)[:, None]
+    luma, fh, fv = np.zeros((down * parts[0][2] * 8, across * parts[0][1] * 8)), parts[0][1], parts[0][2]
+    bits, last = _Bits(b""), {}
+    for m in range(across * down):
+        if m % (restart or across * down) == 0:
+            piece = m // (restart or across * down)
+            if piece >= len(pieces):
+                raise BadMedia("a restart interval is missing")
+            bits, last = _Bits(pieces[piece].replace(b"\xff\x00", b"\xff")), {p[0]: 0 for p in parts}
+        for c, (name, h, v, q) in enumerate(parts):
+            for b in range(h * v):
+                dc, ac = tables[uses[name] >> 4], tables[0x10 | (uses[name] & 15)]
+                block = np.zeros(64)
+                last[name] += bits.signed(bits.symbol(dc))
+                block[0] = last[name]
+                i = 1
+                while i < 64:
+                    rs = bits.symbol(ac)
+                    run, size = rs >> 4, rs & 15
+                    if not size and run != 15:
+                        break
+                    i += run
+                    if i > 63:
+                        raise BadMedia("a block runs over its end")
+                    block[i] = bits.signed(size)
+                    i += 1
+                if c == 0:
+                    square = np.zeros(64)
+                    square[order] = block * quant[q]
+                    y, x = (m // across * fv + b // h) * 8, (m % across * fh + b % h) * 8
+                    luma[y : y + 8, x : x + 8] = basis.T @ square.reshape(8, 8) @ basis + 128
+    height_y, width_y = -(-height * fv // tall), -(-width * fh // wide)
+    return np.clip(np.rint(luma), 0, 255).astype(np.uint8)[:height_y, :width_y]
+
+
+def intra_frames(frames: list[bytes]) -> np.ndarray:
+    """Gray samples (n, height, width) of motion-JPEG frames: lossless ones in step, baseline ones one by one."""
+    if frames and process_of(frames[0]) in (SOF0, SOF1):
+        made = [decode_baseline(f) for f in frames]
+        if len({m.shape for m in made}) > 1:
+            raise BadMedia("frames differ in shape")
+        return np.stack(made)
+    return decode_frames(frames)
+
+
 def shots(samples: np.ndarray, fps: float = FPS) -> list[tuple[int, int, int, int]]:
     """Clips (first frame, frame after the last, start ms, end ms), cut where the gray histogram changes abruptly.
 
@@ -298,8 +424,8 @@ def clips(media: DataFrame, column: str = "media", key: str = "doc_id") -> DataF
                 try:
                     head, frames = read_avi(data)
                     fps = head["rate"] / head["scale"] if head.get("scale") and head.get("rate") else 1e6 / (head.get("us_per_frame") or 40_000)
-                    rows += [(k, i, *x, None) for i, x in enumerate(shots(decode_frames(frames), fps))]
-                except (BadMedia, struct.error, IndexError) as e:
+                    rows += [(k, i, *x, None) for i, x in enumerate(shots(intra_frames(frames), fps))]
+                except (BadMedia, struct.error, IndexError, KeyError) as e:
                     rows.append((k, None, None, None, None, None, str(e)))
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], [c.split()[0] for c in schema.split(", ")])

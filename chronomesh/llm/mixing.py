@@ -115,7 +115,7 @@ def _as_table(cells: DataFrame, margins: tuple[Margin, ...], budget: float) -> D
 
 
 def mix(docs: DataFrame, budget: float = BUDGET, margins: tuple[Margin, ...] = MARGINS, local_cells: int = LOCAL_CELLS, seed: str = "mix") -> DataFrame:
-    """All rows and columns of docs with _tokens, _topic, _share, _probability and _selected.
+    """All rows and columns of docs with __mix_tokens, __mix_topic, __mix_share, __mix_probability and __mix_selected.
 
     Needs doc_id, text, source and lang. Token weights of (source, lang, topic) cells are raked to the margins'
     target shares, then budget of all tokens is sampled: a cell's documents are drawn with one probability, so that
@@ -127,14 +127,14 @@ def mix(docs: DataFrame, budget: float = BUDGET, margins: tuple[Margin, ...] = M
     """
     named = docs.withColumns(
         {
-            "_tokens": F.expr(tokens_sql()),
-            "_source": F.coalesce(F.col("source").cast("string"), F.lit(UNKNOWN)),
-            "_lang": F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)),
-            "_topic": F.expr(topic_sql()),
+            "__mix_tokens": F.expr(tokens_sql()),
+            "__mix_source": F.coalesce(F.col("source").cast("string"), F.lit(UNKNOWN)),
+            "__mix_lang": F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)),
+            "__mix_topic": F.expr(topic_sql()),
         }
     )
-    keys = {"source": "_source", "lang": "_lang", "topic": "_topic"}
-    cells = named.groupBy(*[F.col(keys[m.name]).alias(m.name) for m in margins]).agg(F.sum("_tokens").alias("tokens"))
+    keys = {"source": "__mix_source", "lang": "__mix_lang", "topic": "__mix_topic"}
+    cells = named.groupBy(*[F.col(keys[m.name]).alias(m.name) for m in margins]).agg(F.sum("__mix_tokens").alias("tokens"))
     held = cells.limit(local_cells + 1).collect()
     if not held:
         found = docs.sparkSession.createDataFrame([], ", ".join(f"{m.name} string" for m in margins) + ", share double, probability double")
@@ -143,29 +143,29 @@ def mix(docs: DataFrame, budget: float = BUDGET, margins: tuple[Margin, ...] = M
         found = F.broadcast(docs.sparkSession.createDataFrame(_local(held, margins, budget), ", ".join(f"{m.name} string" for m in margins) + ", share double, probability double"))
     else:
         found = _as_table(stored(cells, "cells"), margins, budget)
-    found = found.select(*[F.col(m.name).alias(f"_at_{m.name}") for m in margins], F.col("share").alias("_share"), F.col("probability").alias("_probability"))
-    on = [F.col(keys[m.name]) == F.col(f"_at_{m.name}") for m in margins]
+    found = found.select(*[F.col(m.name).alias(f"__mix_at_{m.name}") for m in margins], F.col("share").alias("__mix_share"), F.col("probability").alias("__mix_probability"))
+    on = [F.col(keys[m.name]) == F.col(f"__mix_at_{m.name}") for m in margins]
     drawn = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / 4294967296.0
-    return named.join(found, on, "left").drop(*[f"_at_{m.name}" for m in margins]).withColumn("_selected", drawn < F.col("_probability"))
+    return named.join(found, on, "left").drop(*[f"__mix_at_{m.name}" for m in margins]).withColumn("__mix_selected", drawn < F.col("__mix_probability"))
 
 
 def mixture(docs: DataFrame, budget: float = BUDGET) -> DataFrame:
     """mix() as a plan: doc_id, source, lang, topic, n_tokens, cell_share, probability, selected for every document."""
-    return mix(docs, budget).select(
+    return mix(docs.select("doc_id", "text", "lang", "source"), budget).select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("_source").alias("source"),
-        F.col("_lang").alias("lang"),
-        F.col("_topic").alias("topic"),
-        F.col("_tokens").alias("n_tokens"),
-        F.round("_share", 8).alias("cell_share"),
-        F.round("_probability", 8).alias("probability"),
-        F.col("_selected").alias("selected"),
+        F.col("__mix_source").alias("source"),
+        F.col("__mix_lang").alias("lang"),
+        F.col("__mix_topic").alias("topic"),
+        F.col("__mix_tokens").alias("n_tokens"),
+        F.round("__mix_share", 8).alias("cell_share"),
+        F.round("__mix_probability", 8).alias("probability"),
+        F.col("__mix_selected").alias("selected"),
     )
 
 
 def sample(docs: DataFrame, budget: float = BUDGET) -> DataFrame:
     """The documents that mix() draws, with docs' own columns."""
-    return mix(docs, budget).filter("_selected").select(*docs.columns)
+    return mix(docs, budget).filter("__mix_selected").select(*docs.columns)
 
 
 def oracle_sql(rounds: int = 25, budget: float = BUDGET) -> str:

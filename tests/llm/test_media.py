@@ -31,6 +31,65 @@ def test_avi_is_read_by_index_and_without():
             media.read_avi(bad)
 
 
+def baseline(planes, factors, restart=0):
+    """A baseline JPEG of component planes (whole blocks) under a flat quantisation of 2, with codes of fixed lengths."""
+    order = media.zigzag()
+    k = np.arange(8)
+    basis = np.cos((2 * k[None] + 1) * k[:, None] * np.pi / 16) * np.where(k == 0, np.sqrt(1 / 8), 0.5)[:, None]
+    ac = [r << 4 | z for r in range(16) for z in range(1, 11)] + [0x00, 0xF0]
+    dc_code, ac_code = (lambda z: f"{z:04b}"), (lambda rs: f"{ac.index(rs):08b}")
+    extra = lambda v: f"{v if v > 0 else v + (1 << abs(v).bit_length()) - 1:0{abs(v).bit_length()}b}" if v else ""
+    wide, tall = max(f[0] for f in factors), max(f[1] for f in factors)
+    across, down = planes[0].shape[1] // 8 // factors[0][0], planes[0].shape[0] // 8 // factors[0][1]
+    out, bits, last = b"", "", [0] * len(planes)
+
+    def flush(bits):
+        bits += "1" * (-len(bits) % 8)
+        return int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\x00")
+
+    for m in range(across * down):
+        if restart and m and m % restart == 0:
+            out, bits, last = out + flush(bits) + bytes([0xFF, 0xD0 + (m // restart - 1) % 8]), "", [0] * len(planes)
+        for c, (plane, (h, v)) in enumerate(zip(planes, factors)):
+            for b in range(h * v):
+                y, x = (m // across * v + b // h) * 8, (m % across * h + b % h) * 8
+                z = np.rint(basis @ (plane[y : y + 8, x : x + 8] - 128.0) @ basis.T / 2).astype(int).ravel()[order].tolist()
+                d, last[c] = z[0] - last[c], z[0]
+                bits += dc_code(abs(d).bit_length()) + extra(d)
+                run = 0
+                for i in range(1, 64):
+                    if not any(z[i:]):
+                        bits += ac_code(0)
+                        break
+                    if z[i] == 0 and run < 15:
+                        run += 1
+                        continue
+                    bits += ac_code(0xF0 if z[i] == 0 else run << 4 | abs(z[i]).bit_length()) + extra(z[i])
+                    run = 0
+    head = media._segment(media.DQT, bytes([0] + [2] * 64))
+    head += media._segment(media.SOF0, struct.pack(">BHHB", 8, down * tall * 8, across * wide * 8, len(planes)) + b"".join(bytes([c + 1, h << 4 | v, 0]) for c, (h, v) in enumerate(factors)))
+    head += media._segment(media.DHT, bytes([0, 0, 0, 0, 12] + [0] * 12 + list(range(12))) + bytes([0x10] + [0] * 7 + [len(ac)] + [0] * 8 + ac))
+    if restart:
+        head += media._segment(media.DRI, struct.pack(">H", restart))
+    scan = media._segment(media.SOS, bytes([len(planes)] + [x for c in range(len(planes)) for x in (c + 1, 0)] + [0, 63, 0]))
+    return b"\xff\xd8" + head + scan + out + flush(bits) + b"\xff\xd9"
+
+
+def test_baseline_frames():
+    rng = np.random.default_rng(5)
+    smooth = lambda h, w: np.clip(128 + 60 * np.sin(np.arange(h)[:, None] / 5) + 40 * np.cos(np.arange(w) / 7) + rng.normal(0, 6, (h, w)), 0, 255).astype(np.uint8)
+    gray = smooth(24, 32)
+    for restart in (0, 3):
+        assert np.abs(media.decode_baseline(baseline([gray], [(1, 1)], restart)).astype(int) - gray).max() <= 4
+    luma = smooth(32, 48)
+    colour = baseline([luma, smooth(16, 24), smooth(16, 24)], [(2, 2), (1, 1), (1, 1)])
+    assert np.abs(media.decode_baseline(colour).astype(int) - luma).max() <= 4
+    frames = [baseline([np.full((16, 16), v, np.uint8)], [(1, 1)]) for v in (20, 20, 20, 220, 220)]
+    assert [(a, b) for a, b, _, _ in media.shots(media.intra_frames(media.read_avi(media.write_avi(frames, 16, 16))[1]))] == [(0, 3), (3, 5)]
+    with pytest.raises(media.BadMedia):
+        media.decode_baseline(frames[0][:-30])
+
+
 def test_shots():
     rng = np.random.default_rng(2)
     scenes = [rng.normal(m, 5, (n, 12, 16)).clip(0, 255).astype(np.uint8) for m, n in ((40, 10), (200, 15), (110, 5))]

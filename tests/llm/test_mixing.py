@@ -43,7 +43,7 @@ def test_sampled_tokens_follow_targets_and_tables_agree(spark):
     assert abs(got / expected - 1) < 0.05
     kept = {r.doc_id for r in mixing.sample(df).collect()}
     assert kept == {i for i, r in plan.items() if r.selected}
-    table = {r.doc_id: r._probability for r in mixing.mix(df, local_cells=3).collect()}
+    table = {r.doc_id: r["__mix_probability"] for r in mixing.mix(df, local_cells=3).collect()}
     assert all(abs(table[i] - r.probability) < 1e-6 for i, r in plan.items())
 
 
