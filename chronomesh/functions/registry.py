@@ -8,6 +8,21 @@ from collections.abc import Callable
 KINDS = ("STATIC", "CONT", "STATE", "PREP", "MEASURE", "SUMMARY")
 
 
+_own: dict[str, tuple[str, Callable]] = {}
+
+
+def register(name: str, kind: str) -> Callable[[Callable], Callable]:
+    """Decorator: make an own function (DataFrame, **parameters) -> DataFrame known by a name."""
+    if kind not in KINDS:
+        raise ValueError(f"kind must be one of {KINDS}")
+
+    def keep(f: Callable) -> Callable:
+        _own[name] = (kind, f)
+        return f
+
+    return keep
+
+
 def operators() -> dict[str, tuple[str, Callable]]:
     """name -> (kind, function)."""
     from chronomesh.operators import dynamic, edges, graph_measures, graph_paths, graph_prep, phase, recursive, states, static, wavelet
@@ -23,11 +38,11 @@ def operators() -> dict[str, tuple[str, Callable]]:
         ("STATE", states, "kmeans_cluster sliding_window_clustering coactivation_patterns ksvd_states gaussian_hmm_states discrete_hmm_states"),
         ("SUMMARY", states, "fractional_occupancy dwell_times transition_counts transition_matrix switches"),
         ("PREP", graph_prep, "handle_negative_weights threshold binarise normalise minmax_scale invert log_transform randomise postprocess"),
-        ("MEASURE", graph_measures, "degrees density clustering onnela transitivity matching_index participation participation_signed two_core"),
+        ("MEASURE", graph_measures, "degrees density clustering onnela transitivity matching_index participation participation_directed participation_signed two_core"),
         ("MEASURE", graph_paths, "distances average_path efficiency betweenness_centrality eigenvector page_rank backbone_edges communities small_world_sigma small_world_propensity nested_partition"),
     ):
         made |= {n: (kind, getattr(module, n)) for n in names.split()}
-    return made
+    return made | _own
 
 
 def describe(name: str) -> dict:

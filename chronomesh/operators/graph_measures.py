@@ -96,6 +96,26 @@ def participation(g: Graph, labels: DataFrame) -> DataFrame:
     return _fill(g, p, "participation")
 
 
+def participation_directed(directed: DataFrame, nodes: DataFrame, labels: DataFrame, keys: list[str], direction: str = "out") -> DataFrame:
+    """participation() over directed edges (keys.., i, j, w): of the edges that leave (out) or reach (in) a node."""
+    if direction not in ("in", "out"):
+        raise ValueError("direction must be in or out")
+    own, other = ("i", "j") if direction == "out" else ("j", "i")
+    ends = labels.select(F.col("i").alias("_end"), "module")
+    rows = directed.filter("w <> 0").select(*keys, F.col(own).alias("i"), F.col(other).alias("_end"), "w").join(ends, "_end")
+    by = rows.groupBy(*keys, "i", "module").agg(F.sum("w").alias("s"))
+    q = ratio(F.col("s"), F.sum("s").over(Window.partitionBy(*keys, "i")))
+    found = by.withColumn("q", q).groupBy(*keys, "i").agg((1 - F.sum(F.col("q") * F.col("q"))).alias("participation"))
+    return _fill(Graph(directed, nodes, keys), found, "participation")
+
+
+def border_edges(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(i, j) of mesh edges, each once with i < j, whose ends have different labels; labels: (i, label)."""
+    each = edges.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).filter("i <> j").distinct()
+    a, b = labels.select("i", F.col("label").alias("la")), labels.select(F.col("i").alias("j"), F.col("label").alias("lb"))
+    return each.join(a, "i").join(b, "j").filter("la <> lb").select("i", "j")
+
+
 def participation_signed(g: Graph, labels: DataFrame) -> DataFrame:
     """(keys.., i, positive, negative): participation over the positive and over the negative weights."""
     parts = []

@@ -144,6 +144,12 @@ def zero_phase(sections: np.ndarray, x: np.ndarray) -> np.ndarray:
     return _run_sections(sections, there[::-1], True)[::-1][pad:-pad]
 
 
+def cosine_drifts(n: int, high_pass: float, t_r: float) -> np.ndarray:
+    """(n, k): cosines of periods longer than 1 / high_pass seconds over n times."""
+    k = min(n - 1, int(np.floor(2 * n * high_pass * t_r)))
+    return np.cos(np.pi * (np.arange(n)[:, None] + 0.5) * np.arange(1, k + 1) / n)
+
+
 def clean(
     p: DataFrame,
     detrended: bool = False,
@@ -154,12 +160,18 @@ def clean(
     high_pass: float | None = None,
     t_r: float | None = None,
     ensure_finite: bool = False,
+    filter_kind: str = "butterworth",
 ) -> DataFrame:
-    """Signal cleaning: finite values, linear detrending, Butterworth filter, confound regression, z-scores.
+    """Signal cleaning: finite values, linear detrending, a filter, confound regression, z-scores.
 
     confounds: (subject, t, name, x). Detrending and z-scores stay in the engine; a filter or confounds make one
     kernel per subject, which holds that subject's series only. A filter needs t_r, the seconds between times.
+    filter_kind: butterworth, or cosine, which regresses slow cosines below high_pass out with the confounds.
     """
+    if filter_kind not in ("butterworth", "cosine"):
+        raise ValueError(f"unknown filter {filter_kind}")
+    if filter_kind == "cosine" and low_pass:
+        raise ValueError("a cosine filter has no low_pass")
     if ensure_finite:
         p = p.withColumn("x", F.when(F.isnan("x") | F.col("x").isNull() | (F.abs("x") == float("inf")), F.lit(0.0)).otherwise(F.col("x")))
     if detrended:
@@ -168,7 +180,8 @@ def clean(
         return standardise(p) if standardised else p
     if (low_pass or high_pass) and not t_r:
         raise ValueError("a filter needs t_r")
-    sections = butterworth_sections(low_pass, high_pass, 1.0 / t_r) if low_pass or high_pass else None
+    cosine = filter_kind == "cosine" and high_pass
+    sections = butterworth_sections(low_pass, high_pass, 1.0 / t_r) if (low_pass or high_pass) and not cosine else None
     kind = p.schema["roi"].dataType.simpleString()
 
     def regress(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -191,7 +204,10 @@ def clean(
             x = np.column_stack([zero_phase(sections, x[:, k]) for k in range(x.shape[1])])
             if c is not None:
                 c = np.column_stack([zero_phase(sections, c[:, k]) for k in range(c.shape[1])])
-        if c is not None:
+        if cosine:
+            slow = cosine_drifts(len(x), high_pass, t_r)
+            c = slow if c is None else np.column_stack([c, slow])
+        if c is not None and c.shape[1]:
             x = regress(x, c)
         out = pd.DataFrame(x, index=wide.index, columns=wide.columns).stack().rename("x").reset_index()
         out.insert(0, "subject", panel_rows["subject"].iloc[0])

@@ -158,6 +158,16 @@ def load_timeseries(spark: SparkSession, path: str) -> DataFrame | dict[str, np.
     raise ValueError(f"unknown file type of {path}; known: {', '.join(SUFFIXES)}")
 
 
+def read_cifti(spark: SparkSession, path: str) -> DataFrame:
+    """(subject, t, vertex, x) of a .dtseries.nii file. Needs nibabel, which is not required otherwise."""
+    try:
+        import nibabel
+    except ImportError as e:
+        raise ImportError("reading CIFTI files needs nibabel") from e
+    image = nibabel.Cifti2Image.from_bytes(_bytes(spark, path))
+    return array_panel(spark, np.asarray(image.get_fdata())).withColumnRenamed("roi", "vertex")
+
+
 def list_scans(paths: DataFrame, subject: str | None = None, task: str | None = None, run: str | None = None) -> DataFrame:
     """(path, subject, task, run, suffix) parsed from a column `path` of file names of the form sub-X_task-Y_run-Z_suffix."""
     parts = {k: F.regexp_extract("path", rf"(?:^|[/_]){k}-([A-Za-z0-9]+)", 1) for k in ("sub", "task", "run")}

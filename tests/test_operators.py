@@ -152,6 +152,19 @@ def test_panel_cleaning(spark, p):
     assert panel.confound_columns(["trans_x", "rot_z", "csf", "cosine01", "age"], ["motion", "high_pass", "nothing"]) == ["trans_x", "rot_z", "cosine01"]
 
 
+def test_cosine_filter(spark):
+    n = np.arange(100)
+    slow, fast = np.cos(np.pi * (n + 0.5) * 2 / 100), np.sin(2 * np.pi * n / 10)
+    df = array_panel(spark, np.column_stack([slow + fast, fast]))
+    got = {(r.t, r.roi): r.x for r in panel.clean(df, high_pass=0.03, t_r=1.0, filter_kind="cosine").collect()}
+    assert panel.cosine_drifts(100, 0.03, 1.0).shape == (100, 6)
+    design = np.column_stack([np.cos(np.pi * (n[:, None] + 0.5) * np.arange(7) / 100)])  # the constant too
+    left = fast - design @ np.linalg.lstsq(design, fast, rcond=None)[0]
+    assert all(abs(got[t, k] - left[t]) < 1e-9 for t in range(100) for k in (0, 1))
+    with pytest.raises(ValueError):
+        panel.clean(df, low_pass=0.1, t_r=1.0, filter_kind="cosine")
+
+
 # --- states ---
 
 GOLDEN = {0: ([0] * 70 + [1] * 30, [70, 30], [0.7, 0.3], 1), 1: ([0] * 50 + [1] * 50, [50, 50], [0.5, 0.5], 1), 2: ([1] * 20 + [0] * 30 + [1] * 50, [30, 35], [0.3, 0.7], 2)}
@@ -289,6 +302,16 @@ def test_two_core(spark):
     assert {(r.i, r.j) for r in gm.two_core(prep.from_matrix(m, spark)).collect()} == {(0, 1), (1, 2), (0, 2)}
 
 
+def test_directed_participation_and_borders(spark):
+    directed = spark.createDataFrame([(0, 1, 2.0), (0, 2, 2.0), (1, 2, 1.0), (3, 2, 3.0)], "i long, j long, w double")
+    nodes, labels = spark.range(4).toDF("i"), spark.createDataFrame([(0, "a"), (1, "a"), (2, "b"), (3, "b")], "i long, module string")
+    out = {r.i: r.participation for r in gm.participation_directed(directed, nodes, labels, []).collect()}
+    into = {r.i: r.participation for r in gm.participation_directed(directed, nodes, labels, [], "in").collect()}
+    assert out == {0: 0.5, 1: 0.0, 2: 0.0, 3: 0.0} and into == {0: 0.0, 1: 0.0, 2: 0.5, 3: 0.0}
+    mesh = spark.createDataFrame([(0, 1), (1, 0), (2, 1), (3, 2), (3, 3)], "i long, j long")
+    assert [(r.i, r.j) for r in gm.border_edges(mesh, labels.withColumnRenamed("module", "label")).collect()] == [(1, 2)]
+
+
 def test_square_check(spark):
     with pytest.raises(ValueError):
         prep.from_matrix(np.zeros((2, 3)), spark)
