@@ -54,3 +54,17 @@ def test_hot_group_and_empty_table(spark):
     names = {r.doc_id: r.root for r in got}
     assert len({(names[i], root[i]) for i in range(300)}) == len(set(root)) == len(set(names.values()))
     assert nearcopies.near_copies(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_different_texts_under_null_or_repeated_ids_all_stay(spark):
+    rng = random.Random(8)
+    text = [" ".join(f"w{rng.randrange(10_000)}" for _ in range(60)) for _ in range(8)]
+    rows = [(None, text[0], "en"), (None, text[1], "en"), (None, text[2], None), (7, text[3], "de"), (7, text[4], "en"), (7, text[4], "de")]
+    rows += [(9, text[0], "en"), (9, text[5], "en"), (None, text[3], "en"), (8, text[6] + " a", "en"), (8, text[6], "en"), (12, text[7], "x")]
+    for seed in range(3):
+        dealt = random.Random(seed).sample(rows, len(rows))
+        got = [tuple(r) for r in corpus_pipeline.near_copies(spark, spark.createDataFrame(dealt, SCHEMA).repartition(3), "").collect()]
+        assert sorted(t for _, t, _ in got if t not in (text[6], text[6] + " a")) == sorted(t for i, t in enumerate(text) if i != 6)
+        assert len(got) == 8 and (None, text[3], "en") in got and (None, text[0], "en") in got and (7, text[4], "de") in got
+        assert seed == 0 or sorted(got, key=str) == before
+        before = sorted(got, key=str)
