@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import math
+import random
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -12,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronomesh.llm.common import slices, stored
+from chronomesh.llm.licenses import TEMPLATES
 
 # The base patterns and their least lengths.
 ASSIGN = re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII)
@@ -40,9 +44,13 @@ ALPHABETS = {
 _PLACES = {name: {c: i for i, c in enumerate(a)} for name, a in ALPHABETS.items()}
 _SETS = {name: frozenset(a) for name, a in ALPHABETS.items()}
 BUCKETS = 100
-#: Upper bounds of the length classes within which null scores are compared.
+#: Upper bounds of the length classes; scores are compared within one of them and one encoding.
 LENGTHS = (20, 24, 28, 32, 40, 48, 64, 96, 1 << 40)
 FALSE_DISCOVERY = 0.05
+#: Words and numbers that stand alone in a text; joined, they show how ordinary symbols of any length score.
+PLAIN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9]{1,15}(?![A-Za-z0-9+/_-])")
+#: Joined pieces that a document adds to the null scores, and that each class takes from the fixed texts of licenses.
+DRAWS, FIXED_DRAWS = 12, 200
 
 
 def chi_squared_tail(x: float, k: int) -> float:
@@ -62,9 +70,9 @@ def inferred_encoding(token: str) -> str | None:
     return next((name for name, chars in _SETS.items() if held <= chars), None)
 
 
-def randomness(token: str) -> tuple[float, float, float] | None:
+def randomness(token: str, name: str | None = None) -> tuple[float, float, float] | None:
     """p-values under uniform random symbols: chi-squared over up to 8 bins, runs about the middle, lag-1 correlation."""
-    name = inferred_encoding(token)
+    name = name or inferred_encoding(token)
     if name is None:
         return None
     places, size, n = _PLACES[name], len(ALPHABETS[name]), len(token)
@@ -94,13 +102,13 @@ def randomness(token: str) -> tuple[float, float, float] | None:
     return uniform, runs_p, normal_tails(serial * math.sqrt(n)) if var else 1e-300
 
 
-def score(token: str) -> int:
-    """Fisher's combination of the battery as a bucket 0..BUCKETS: the higher, the more like random symbols."""
-    found = randomness(token)
+def score(token: str, name: str | None = None) -> int:
+    """Fisher's combination of the battery as a bucket 0..BUCKETS: the higher, the more like random symbols of the named or inferred encoding."""
+    found = randomness(token, name)
     if found is None:
         return 0
     combined = chi_squared_tail(-2 * sum(map(math.log, found)), 2 * len(found))
-    repeated = len(set(token)) / min(len(token), len(ALPHABETS[inferred_encoding(token)]))
+    repeated = len(set(token)) / min(len(token), len(ALPHABETS[name or inferred_encoding(token)]))
     # log scale down to 1e-10, weighted by the share of distinct symbols
     return max(0, min(BUCKETS, round(BUCKETS * (1 + math.log10(max(combined, 1e-10)) / 10) * min(1.0, repeated * 1.5))))
 
@@ -114,6 +122,52 @@ def length_class(n: int) -> int:
     return next(i for i, most in enumerate(LENGTHS) if n <= most)
 
 
+def token_class(name: str, n: int) -> int:
+    """The class of tokens of one encoding and length class."""
+    return list(ALPHABETS).index(name) * len(LENGTHS) + length_class(n)
+
+
+def joined_piece(words: list[str], kind: int, start: int) -> str | None:
+    """The class's shortest length of symbols from words joined from word `start` on, around the end; None if they are too few.
+
+    Words are cased as the encoding has letters, capitalised where it has both cases; symbols outside of it are left out.
+    """
+    name, k = list(ALPHABETS)[kind // len(LENGTHS)], kind % len(LENGTHS)
+    n, chars = LENGTHS[k - 1] + 1 if k else LEAST_CANDIDATE, _SETS[name]
+    case = str.capitalize if "a" in chars and "A" in chars else str.upper if "A" in chars else str.lower
+    out: list[str] = []
+    for i in range(len(words)):
+        out += filter(chars.__contains__, case(words[(start + i) % len(words)]))
+        if len(out) >= n:
+            return "".join(out[:n])
+    return None
+
+
+def joined_nulls(text: str, draws: int = DRAWS) -> Iterator[tuple[int, int]]:
+    """(class, score) of pieces of a text's joined words; a hash of the text deals out classes and places."""
+    words = PLAIN.findall(text)
+    if not words:
+        return
+    rng = random.Random(zlib.crc32(text.encode("utf-8", "replace")))
+    for kind in rng.sample(range(len(ALPHABETS) * len(LENGTHS)), draws):
+        piece = joined_piece(words, kind, rng.randrange(len(words)))
+        if piece:
+            yield kind, score(piece, list(ALPHABETS)[kind // len(LENGTHS)])
+
+
+@functools.cache
+def fixed_nulls() -> Counter:
+    """Null counts by (class, score) from the license texts, so that a small corpus can be judged too."""
+    words = PLAIN.findall(" ".join(TEMPLATES.values()))
+    counts: Counter = Counter()
+    for kind in range(len(ALPHABETS) * len(LENGTHS)):
+        for i in range(FIXED_DRAWS):
+            piece = joined_piece(words, kind, i * len(words) // FIXED_DRAWS)
+            if piece:
+                counts[kind, score(piece, list(ALPHABETS)[kind // len(LENGTHS)])] += 1
+    return counts
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the fixed patterns' matches, in code points."""
     out = []
@@ -130,42 +184,45 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
 
 
-SCAN = "doc_id long, base array<struct<start: long, kind: int, end: long>>, candidates array<struct<start: long, end: long, length_class: int, score: int>>, nulls array<struct<length_class: int, score: int, n: long>>"
+SCAN = "doc_id long, base array<struct<start: long, kind: int, end: long>>, candidates array<struct<start: long, end: long, class: int, score: int>>, nulls array<struct<class: int, score: int, n: long>>"
 
 
 def spans_of(text: str, nulls: Counter | None = None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, int]]]:
-    """The fixed patterns' spans, and (start, end, length class, score) of other tokens; plain words are counted into nulls."""
+    """The fixed patterns' spans, and (start, end, class, score) of other tokens; plain words and pieces of joined ones are counted into nulls."""
     base, found = base_spans(text), []
     for m in TOKEN.finditer(text):
         token, (s, e) = m[0], m.span()
         if is_ordinary(token):
             if nulls is not None:
-                nulls[length_class(e - s), score(token)] += 1
-        elif e - s >= LEAST_CANDIDATE and not any(b < e and s < f for b, _, f in base):
-            found.append((s, e, length_class(e - s), score(token)))
+                if name := inferred_encoding(token):
+                    nulls[token_class(name, e - s), score(token)] += 1
+        elif e - s >= LEAST_CANDIDATE and not any(b < e and s < f for b, _, f in base) and (name := inferred_encoding(token)):
+            found.append((s, e, token_class(name, e - s), score(token)))
+    if nulls is not None:
+        nulls.update(joined_nulls(text))
     return base, found
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
-    candidate = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("length_class", pa.int32()), ("score", pa.int32())])
-    null = pa.struct([("length_class", pa.int32()), ("score", pa.int32()), ("n", pa.int64())])
+    candidate = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("class", pa.int32()), ("score", pa.int32())])
+    null = pa.struct([("class", pa.int32()), ("score", pa.int32()), ("n", pa.int64())])
     for batch in slices(batches):
         nulls: Counter = Counter()
         bases, candidates = [], []
         for text in batch.column("text").to_pylist():
             base, found = spans_of(text, nulls) if text else ([], [])
             bases.append([{"start": s, "kind": k, "end": e} for s, k, e in base])
-            candidates.append([{"start": s, "end": e, "length_class": k, "score": v} for s, e, k, v in found])
-        seen = [{"length_class": k, "score": v, "n": n} for (k, v), n in nulls.items()]
+            candidates.append([{"start": s, "end": e, "class": k, "score": v} for s, e, k, v in found])
+        seen = [{"class": k, "score": v, "n": n} for (k, v), n in nulls.items()]
         counts = [seen] + [[]] * (len(bases) - 1) if bases else []
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(bases, pa.list_(span)), pa.array(candidates, pa.list_(candidate)), pa.array(counts, pa.list_(null))], ["doc_id", "base", "candidates", "nulls"])
 
 
 def thresholds(nulls: dict[tuple[int, int], int], found: dict[tuple[int, int], int], q: float = FALSE_DISCOVERY) -> dict[int, int]:
-    """For each length class the least score that Benjamini-Hochberg rejects at rate q, from counts by (class, score).
+    """For each class the least score that Benjamini-Hochberg rejects at rate q, from counts by (class, score).
 
-    A candidate's p-value is the share of ordinary tokens of its class that score as high, plus one in both counts.
+    A candidate's p-value is the share of ordinary tokens and joined pieces of its class that score as high, plus one in both counts.
     """
     out = {}
     for k in {c for c, _ in found}:
@@ -180,30 +237,30 @@ def thresholds(nulls: dict[tuple[int, int], int], found: dict[tuple[int, int], i
 
 
 def _scanned(docs: DataFrame, q: float) -> tuple[DataFrame, dict[int, int]]:
-    """The stored scan of docs, and the least score of a find for each length class."""
+    """The stored scan of docs, and the least score of a find for each class."""
     taken = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scanned = stored(taken.mapInArrow(_scan, SCAN), "secrets")
 
     def counts(column: str, n: str) -> dict[tuple[int, int], int]:
-        """At most len(LENGTHS) * (BUCKETS + 1) rows."""
-        rows = scanned.select(F.explode(column).alias("x")).groupBy("x.length_class", "x.score").agg(F.expr(f"sum({n})").alias("n")).collect()
-        return {(r.length_class, r.score): r.n for r in rows}
+        """At most len(ALPHABETS) * len(LENGTHS) * (BUCKETS + 1) rows."""
+        rows = scanned.select(F.explode(column).alias("x")).groupBy("x.class", "x.score").agg(F.expr(f"sum({n})").alias("n")).collect()
+        return {(r["class"], r.score): r.n for r in rows}
 
-    return scanned, thresholds(counts("nulls", "x.n"), counts("candidates", "1L"), q)
+    return scanned, thresholds(fixed_nulls() + Counter(counts("nulls", "x.n")), counts("candidates", "1L"), q)
 
 
 def scan(docs: DataFrame, q: float = FALSE_DISCOVERY) -> DataFrame:
     """One row per document: doc_id and spans array<struct<start, kind, end>> (code points, end exclusive) in order.
 
     Kinds: 0 assign, 1 access, 2 hex (fixed patterns) and 3 random, found by the test battery: tokens that are not
-    plain words are scored, null scores are counted by length class over all plain long words of the corpus, and
-    Benjamini-Hochberg per class at rate q decides. A token that overlaps a fixed pattern's span is not added.
+    plain words are scored, null scores are counted by encoding and length over plain long words and joined shorter
+    ones of all documents and of fixed texts, and Benjamini-Hochberg per class at rate q decides. A token that overlaps a fixed pattern's span is not added.
 
     Null or empty text: no spans. Null doc_id: scanned, returned as null. Repeated rows are each returned. An empty
     table gives no rows. Columns besides doc_id and text are not read.
     """
     scanned, cut = _scanned(docs, q)
-    passes = " or ".join(f"(c.length_class = {k} and c.score >= {s})" for k, s in cut.items()) or "false"
+    passes = " or ".join(f"(c.class = {k} and c.score >= {s})" for k, s in cut.items()) or "false"
     added = f"transform(filter(candidates, c -> {passes}), c -> struct(c.start as start, 3 as kind, c.end as end))"
     return scanned.select("doc_id", F.expr(f"array_sort(concat(base, {added}))").alias("spans"))
 

@@ -56,3 +56,24 @@ def test_scan(spark):
     red = {r.doc_id: r.text for r in secrets.redact(df).collect()}
     assert red[402] == "[SECRET]" and red[404] == "password: 'a' [SECRET]" and red[401] == "" and red[1] == texts[1]
     assert sum("[SECRET]" in (t or "") for t in red.values()) >= 38
+
+
+def test_long_keys_in_ordinary_prose(spark):
+    rng = random.Random(7)
+    words = "the of a report was sent to every office in town and people who read it there said that most pages were about water prices for next year".split()
+    plain = ["sendEveryReportToTheNextOffice", "most_pages_were_about_water_prices", "docs/town/office/report/prices", "NextYearsWaterPricesForEveryTown"]
+    for n_docs in (30, 300):
+        rows, planted = [], {}
+        for i in range(n_docs):
+            w = rng.choices(words, k=rng.randint(40, 90))
+            if i % 6 == 0:
+                chars = secrets.ALPHABETS[("base62", "base64")[i // 6 % 2]]
+                planted[i] = "".join(rng.choices(chars, k=(40, 64)[i // 12 % 2]))
+            w.insert(rng.randrange(len(w)), planted.get(i) or rng.choice(plain))
+            rows.append((i, " ".join(w)))
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        found = {r.doc_id: [rows[r.doc_id][1][s.start : s.end] for s in r.spans] for r in secrets.scan(df).collect()}
+        assert not any(found[i] for i in range(n_docs) if i not in planted)
+        assert sum(found[i] == [k] for i, k in planted.items()) >= 0.8 * len(planted)
+        red = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+        assert all((k in red[i]) == (not found[i]) for i, k in planted.items())
