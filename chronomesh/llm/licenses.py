@@ -43,6 +43,7 @@ TEMPLATES: dict[str, str] = {
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "Rights-reserved-line": "All rights reserved.",
     "Rights-reserved": "All rights reserved. No part of this publication may be reproduced without permission.",
 }
 

@@ -50,3 +50,9 @@ def test_against_brute_force(spark):
     expect = {(None if i == 9 else i, n): v for i, t in enumerate(texts) for n, v in brute(t, licenses.TEMPLATES, 0.8).items()}
     assert got == expect and len(got) > 20
     assert licenses.scan(df.limit(0)).count() == 0
+
+
+def test_bare_rights_notice(spark):
+    rows = [(1, "some prose ends here\nAll rights reserved."), (2, "all rights are reserved"), (3, licenses.TEMPLATES["Rights-reserved"])]
+    got = {(r.doc_id, r.license, r.containment, r.first_word) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, "Rights-reserved-line", 1.0, 4), (3, "Rights-reserved-line", 1.0, 0), (3, "Rights-reserved", 1.0, 0)}
