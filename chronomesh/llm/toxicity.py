@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,14 +55,14 @@ def stems_of(found) -> frozenset[str]:
 
 
 def signature(text: str) -> int:
-    """Copies of a text share it, edited ones too as a rule; support of a unit is counted over distinct ones."""
-    return zlib.crc32(text[:60].lower().encode())
+    """Copies of a text share it, whatever their case and blanks; support of a unit is counted over distinct ones."""
+    return xxhash.xxh64_intdigest(" ".join(text.lower().split()).encode("utf-8", "replace"))
 
 
 def pattern_votes(text: str, hit: bool) -> list[int]:
     """Votes of the pattern voters: 1 toxic, -1 not, 0 none."""
-    letters = sum(map(str.isalpha, text[:2000]))
-    upper = sum(map(str.isupper, text[:2000]))
+    letters = sum(map(str.isalpha, text))
+    upper = sum(map(str.isupper, text))
     return [int(letters > 20 and upper > 0.6 * letters), int(text.count("!!") >= 3), int("***" in text), -int(not hit and len(text) > 400), -int(not hit and len(text) <= 400)]
 
 

@@ -59,3 +59,11 @@ def test_edge_cases(spark):
     assert toxicity.detect(d.limit(0), lab).count() == 0
     none = {r.doc_id: r.predicted for r in toxicity.detect(d, lab.limit(0)).collect()}
     assert none[None] == 1 and none[901] == 0
+
+
+def test_whole_texts_are_judged():
+    quiet, loud = "calm words here " * 200, "LOUD WORDS HERE " * 900
+    assert toxicity.pattern_votes(quiet + loud, True)[0] == 1 and toxicity.pattern_votes(loud[:2400] + quiet * 4, True)[0] == 0
+    opening = "report of the town office to all people who read these pages " * 2
+    assert toxicity.signature(opening + "one") != toxicity.signature(opening + "two")
+    assert toxicity.signature("One  text\n") == toxicity.signature("one TEXT")
