@@ -27,11 +27,12 @@ query("panel_discard", with_("daily", body=f"select subject, t - 5 t, roi, {r6('
 query("panel_shapes", with_("subj", body="select subject, count(distinct t) times, count(distinct roi) rois, count(x) = count(distinct t) * count(distinct roi) complete from subj group by subject"))(lambda s, d: panel.check_shapes(fx.subjects(s, d)))
 
 
-def _vertices(s, d):
-    """Monthly quantity by part (vertex); brands are parcels."""
+def _vertices(s, d, below: int | None = 300):
+    """Monthly quantity by part (vertex), of all parts or of those whose key is below a limit; brands are parcels."""
     date = F.col("l_shipdate").cast("date")
     t = ((F.year(date) - 1995) * 12 + F.month(date) - 1).cast("long")
-    rows = fx.read(s, d, "lineitem").filter("l_partkey < 300").groupBy(F.lit(0).cast("long").alias("subject"), t.alias("t"), F.col("l_partkey").alias("vertex")).agg(F.sum("l_quantity").alias("x"))
+    items = fx.read(s, d, "lineitem") if below is None else fx.read(s, d, "lineitem").filter(F.col("l_partkey") < below)
+    rows = items.groupBy(F.lit(0).cast("long").alias("subject"), t.alias("t"), F.col("l_partkey").alias("vertex")).agg(F.sum("l_quantity").alias("x"))
     brand = F.substring_index("p_brand", "#", -1).cast("long")
     return rows, fx.read(s, d, "part").select(F.col("p_partkey").alias("vertex"), brand.alias("parcel")), fx.read(s, d, "part").select(brand.alias("parcel")).distinct().union(s.range(900, 901).toDF("parcel"))
 
@@ -46,6 +47,7 @@ query("parcellate_mean", with_(**_VERTICES, body=f"""select c.subject, c.t, p.pa
     left join (select subject, t, parcel, avg(x) x from z join a using (vertex) group by all) m on m.subject = c.subject and m.t = c.t and m.parcel = p.parcel"""))(
     lambda s, d: rounded(panel.parcellate(*_vertices(s, d)), "x")
 )
+query("parcellate_whole")(lambda s, d: rounded(panel.parcellate(*_vertices(s, d, None)), "x"))
 query("atlas_renumber", "select p_partkey vertex, coalesce(k, 0) parcel from part left join (select b, row_number() over (order by b) + 10 k from (select distinct cast(split_part(p_brand, '#', 2) as bigint) b from part) where b > 3) on b = cast(split_part(p_brand, '#', 2) as bigint)")(
     lambda s, d: panel.renumber(_vertices(s, d)[1], skip=3, offset=10)
 )
