@@ -24,29 +24,38 @@ GROUP_LIMIT = 200_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+def lowered(text: bytes) -> bytes:
+    """A UTF-8 text with A-Z in lower case."""
+    return text.translate(_LOWER)
+
+
+def of_hashes(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """SimHash of consecutive runs of `counts` 64-bit hashes as uint64: a bit is 1 if set in over half of a run; zero for an empty one."""
+    out = np.zeros(len(counts), np.uint64)
+    full = np.flatnonzero(counts)
+    if not len(full):
+        return out
+    ends = np.cumsum(counts[full])
+    planes = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    sums = np.add.reduceat(planes, ends - counts[full], axis=0, dtype=np.int32)
+    bits = (2 * sums > counts[full][:, None]).astype(np.uint8)
+    out[full] = np.packbits(bits, axis=1).view(">u8").ravel().astype(np.uint64)
+    return out
+
+
 def fingerprints(texts: list[bytes | None], shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
     """The 64-bit SimHash of each UTF-8 text as uint64: a bit is 1 if set in over half of its shingles' hashes."""
     flat: list[int] = []
     counts = np.zeros(len(texts), np.int64)
     digest, before = xxhash.xxh64_intdigest, 0
     for i, text in enumerate(texts):
-        words = text.translate(_LOWER).split() if text else []
+        words = lowered(text).split() if text else []
         if len(words) >= shingle:
             flat.extend(map(digest, map(b" ".join, zip(*(words[k:] for k in range(shingle)))), repeat(seed)))
         elif words:
             flat.append(digest(b" ".join(words), seed))
         counts[i], before = len(flat) - before, len(flat)
-    out = np.zeros(len(texts), np.uint64)
-    full = np.flatnonzero(counts)
-    if not len(full):
-        return out
-    hashes = np.array(flat, np.uint64)
-    ends = np.cumsum(counts[full])
-    planes = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    sums = np.add.reduceat(planes, ends - counts[full], axis=0, dtype=np.int32)
-    bits = (2 * sums > counts[full][:, None]).astype(np.uint8)
-    out[full] = np.packbits(bits, axis=1).view(">u8").ravel().astype(np.uint64)
-    return out
+    return of_hashes(np.array(flat, np.uint64), counts)
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:

@@ -3,9 +3,9 @@ import random
 import zlib
 
 import corpus_pipeline
-from chronomesh.llm import mixing, packing, secrets, simhash
+from chronomesh.llm import mixing, packing, secrets
+from tests.llm.test_nearcopies import brute_roots
 from tests.llm.test_secrets import brute as brute_spans
-from tests.llm.test_simhash import brute_components, brute_fingerprint
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -19,7 +19,7 @@ def corpus():
         text = " ".join("".join(rng.choices(parts[lang], k=rng.randint(1, 4))) for _ in range(rng.randint(30, 90)))
         rows.append([i, text, lang, f"s{i % 5}", len(text)])
     rows += [[200 + i, rows[i][1], rows[i][2], "s9", rows[i][4]] for i in range(0, 60, 3)]
-    rows += [[300, None, "en", "s1", 0], [301, "", None, None, 0], [302, "12 34 --", "en", "s1", 8], [303, rows[7][1] + " password=hunter2222 end", "de", "s1", 900], [None, rows[9][1] + " ending thering", None, "s2", 5], [5, rows[5][1], rows[5][2], "s0", rows[5][4]]]
+    rows += [[300, None, "en", "s1", 0], [301, "", None, None, 0], [302, "12 34 --", "en", "s1", 8], [303, " ".join(rows[7][1].split()[::-1]) + " password=hunter2222 end", "de", "s1", 900], [None, rows[9][1] + " ending thering", None, "s2", 5], [5, rows[5][1], rows[5][2], "s0", rows[5][4]]]
     return [tuple(r) for r in rows]
 
 
@@ -39,7 +39,7 @@ def test_stages_against_plain_versions(spark, tmp_path):
     assert sorted(language, key=key) == sorted((r for r in corpus() if r[0] not in (300, 301, 302)), key=key)
 
     ordered = sorted(language, key=key)
-    root = brute_components([brute_fingerprint(r[1]) for r in ordered], 2)
+    root = brute_roots([r[1] for r in ordered])
     assert sorted(near, key=key) == sorted({ordered[i] for i in root}, key=key)
 
     spans = lambda t: [(s, e) for s, _, e in brute_spans(t)]
