@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,10 +25,6 @@ SENT_ROWS = 65_536
 
 ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     """The finishing steps of the public SplitMix64 generator."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -35,67 +32,47 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_power_tables: dict[int, np.ndarray] = {}
+#: Odd multipliers of the two hashes; the left part of a run is multiplied before the right one is added.
+LEFT = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    found = _power_tables.get(base)
-    if found is None or len(found) < n:
-        found = np.ones(max(n, 1 << 16), np.uint64)
-        found[1:] = np.uint64(base)
-        np.multiply.accumulate(found, out=found)
-        _power_tables[base] = found
-    return found[:n]
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """The 128-bit XXH3 of each word's bytes, as rows of two uint64."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), ">u8").reshape(-1, 2).astype(np.uint64)
 
 
-class Hasher:
-    """64-bit hashes of words and of word windows: polynomials over mixed values modulo 2^64, from prefix sums.
+def run_hashes(words: np.ndarray, size: int, left: np.uint64) -> np.ndarray:
+    """A hash of each run of `size` neighbouring word hashes, in log(size) steps.
 
-    Two hashers of different seeds are independent; the second verifies what the first finds equal.
+    Runs of twice the length are made of two neighbours, each step mixed in a way that is not linear, so that what
+    collides in sums or polynomials of words (texts of Thue-Morse form) doesn't here.
     """
-
-    def __init__(self, seed: int):
-        rng = np.random.default_rng(seed)
-        self.table = rng.integers(0, 2**64, 256, dtype=np.uint64)
-        self.bases = [int(b) | 1 for b in rng.integers(2**62, 2**63, 2)]
-        self.inverses = [pow(b, -1, 2**64) for b in self.bases]
-
-    def _ranges(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int) -> np.ndarray:
-        n = len(values)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(values * _powers(self.bases[k], n), out=sums[1:])
-        return _mixed((sums[ends] - sums[starts]) * _powers(self.inverses[k], n + 1)[starts] + (ends - starts).astype(np.uint64))
-
-    def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return self._ranges(self.table[data], starts, ends, 0)
-
-    def windows(self, words: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-        return self._ranges(words, starts, starts + size, 1)
-
-
-PRIMARY, CHECK = Hasher(20), Hasher(21)
-
-
-def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the maximal runs of bytes other than 32 and 9 to 13."""
-    inside = np.concatenate([[False], ~_SPACE[data], [False]])
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    return edges[::2], edges[1::2]
+    out, covered, power, length = None, 0, words, 1
+    while length <= size:
+        if size & length:
+            piece = power[covered : covered + len(words) - size + 1]
+            out = _mixed(piece + np.uint64(length)) if out is None else _mixed(out * left + piece)
+            covered += length
+        if 2 * length <= size:
+            power = _mixed(power[:-length] * left + power[length:])
+        length *= 2
+    return out
 
 
 def window_hashes(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For each window of `size` words within a text: the text's place, the first word's place in it, the primary
-    hash, and 32 bits of the independent one."""
-    data = np.frombuffer(b" ".join(texts), np.uint8)
-    begins, ends = word_bounds(data)
-    text_starts = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
-    text_of = np.searchsorted(text_starts, begins, "right") - 1
-    starts = np.arange(max(0, len(begins) - size + 1))
-    starts = starts[text_of[starts] == text_of[starts + size - 1]]
+    hash, and 32 bits of one that starts from other bits of the words' hashes."""
+    split = [t.split() for t in texts]
+    counts = np.array([len(w) for w in split], np.int64)
+    words = word_hashes([w for part in split for w in part])
+    first_word = np.cumsum(counts) - counts
+    text_of = np.repeat(np.arange(len(texts)), counts)
+    if len(words) < size:
+        return np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.uint64), np.empty(0, np.uint32)
+    starts = np.flatnonzero(text_of[: len(words) - size + 1] == text_of[size - 1 :])
     owner = text_of[starts]
-    first_word = np.searchsorted(text_of, np.arange(len(texts)))
-    check = CHECK.windows(CHECK.words(data, begins, ends), starts, size)
-    return owner, (starts - first_word[owner]).astype(np.int32), PRIMARY.windows(PRIMARY.words(data, begins, ends), starts, size), (check >> np.uint64(32)).astype(np.uint32)
+    primary, check = (run_hashes(words[:, k], size, LEFT[k])[starts] for k in (0, 1))
+    return owner, (starts - first_word[owner]).astype(np.int32), primary, (check >> np.uint64(32)).astype(np.uint32)
 
 
 OCCURRENCES = "doc_id long, start int, n int, hash long, verify int"
@@ -153,8 +130,8 @@ class WindowIndex:
 
     Runs are tables of the session's catalog whose files lie in the shared folder. A new batch is dealt out and
     sorted by hash once and merge-joined with each run as it lies; its own new windows become the next run, which is
-    merged with the run before it once the two are of like size. 64 bits of hash find a match, 32 of an independent
-    hash verify it.
+    merged with the run before it once the two are of like size. 64 bits of hash find a match, 32 of another hash of
+    the words' bytes verify it.
     """
 
     def __init__(self, spark: SparkSession, size: int = WINDOW, merge_share: float = MERGE_SHARE):

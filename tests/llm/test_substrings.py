@@ -53,3 +53,29 @@ def test_edge_cases(spark):
     assert sorted(got, key=str) == sorted([(None, 30, 0), (5, 31, 30), (5, 31, 30), (6, 30, 30)], key=str)
     got = [(r.doc_id, r.n_removed) for r in substrings.remove_repeats(spark.createDataFrame([(7, text, 0, ""), (7, text, 0, "")], SCHEMA)).collect()]
     assert got == [(7, 0), (7, 0)]
+
+
+def test_hashes_tell_thue_morse_texts_apart(spark):
+    """Words of Thue-Morse letters and their complements collide in polynomials modulo 2 ** 64; here no word goes."""
+    bits = [bin(i).count("1") & 1 for i in range(2048)]
+    rest = " ".join(f"w{i}" for i in range(19))
+    for n in (64, 512, 1024, 2048):
+        word, other = ("".join("ab"[b ^ flip] for b in bits[:n]) for flip in (0, 1))
+        rows = [(1, f"{word} {rest}"), (2, f"{other} {rest}"), (3, f"{word} {rest}")]
+        got = {r.doc_id: r.n_removed for r in substrings.remove_repeats(spark.createDataFrame([(d, t, 0, "") for d, t in rows], SCHEMA), batches=1).collect()}
+        assert got == {1: 0, 2: 0, 3: 20}
+    letters = [" ".join("ab"[b ^ flip] for b in bits[:640]) for flip in (0, 1)]  # windows of Thue-Morse words
+    rows = [(1, letters[0]), (2, letters[1])]
+    got = {r.doc_id: r.n_removed for r in substrings.remove_repeats(spark.createDataFrame([(d, t, 0, "") for d, t in rows], SCHEMA), batches=2).collect()}
+    assert got == {d: n[1] for d, n in brute(rows, 20).items()}
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 16, 20, 33])
+def test_window_hashes_of_any_size(size):
+    rng = random.Random(size)
+    texts = [" ".join(rng.choices("abc", k=rng.randint(0, 60))).encode() for _ in range(30)]
+    owner, start, primary, check = substrings.window_hashes(texts, size)
+    seen = {}
+    for o, s, h, c in zip(owner.tolist(), start.tolist(), primary.tolist(), check.tolist()):
+        assert seen.setdefault((h, c), texts[o].split()[s : s + size]) == texts[o].split()[s : s + size]
+    assert len(seen) == len({tuple(t.split()[s : s + size]) for t in texts for s in range(len(t.split()) - size + 1)})
