@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -43,7 +44,58 @@ def test_edge_cases(spark):
 
 
 def test_backoff_prefers_longest():
-    scorer = langid.Scorer((["a", "b"], {"cat": (1.0, -1.0)}, {" do": (2.0, -2.0), "o": (-9.0, 9.0), " ": (0.0, 0.0), "og ": (4.0, -4.0)}))
-    assert scorer.word("cat") == (1.0, -1.0)
-    assert scorer.word("dog") == (2.0, -2.0)  # " do", "og " and the last blank, averaged
+    base = [[0.0, 0.0]] * 6
+    scorer = langid.Scorer(langid.Model(["a", "b"], base, {"cat": ((0, 2.0),)}, {" do": ((0, 4.0),), "o": ((1, 18.0),), " ": (), "og ": ((0, 8.0),)}))
+    assert scorer.word("cat") == (((0, 1.0),), ((0, 2.0),))
+    assert scorer.word("dog") == (((3, 2 / 3), (1, 1 / 3)), ((0, 4.0),))  # " do", "og " and the last blank, averaged
     assert scorer.predict("zzz")[0] == "a" and scorer.predict("")[0] == "und"
+
+
+def test_words():
+    assert langid.words_of("The CAT-2, x_y") == ["the", "cat", "x", "y"]
+    assert langid.words_of("½ ² Ⅷ ३ 12 -- _") == []
+    assert langid.words_of("हिन्दी भाषा, Été cafe\u0301") == ["हिन्दी", "भाषा", "été", "cafe\u0301"]
+
+
+def brute_predictions(train, texts):
+    """The method over plain tables: every count kept, every score a full vector."""
+    counts = {}
+    for text, lang in train:
+        for word in langid.words_of(text):
+            padded = f" {word} "
+            for unit in [(0, word)] + [(k, padded[i : i + k]) for k in range(1, 6) for i in range(len(padded) - k + 1)]:
+                counts.setdefault(unit, {}).setdefault(lang, 0)
+                counts[unit][lang] += 1
+    langs = sorted({lang for _, lang in train})
+    size = {(k, lang): [n.get(lang, 0) for (o, _), n in counts.items() if o == k and lang in n] for k in range(6) for lang in langs}
+
+    def vector(unit):
+        seen, least = counts.get(unit, {}), 2 if unit[0] == 0 else 4
+        seen = {lang: n for lang, n in seen.items() if n >= least}
+        return seen and [math.log((seen.get(lang, 0) + 0.1) / (sum(size[unit[0], lang]) + 0.1 * (len(size[unit[0], lang]) + 1))) for lang in langs]
+
+    out = []
+    for text in texts:
+        total, words = [0.0] * len(langs), langid.words_of(text)
+        for word in words:
+            held = [vector((0, word))] if vector((0, word)) else []
+            padded, i = f" {word} ", 0
+            while not vector((0, word)) and i < len(padded):
+                k = next((k for k in range(min(5, len(padded) - i), 0, -1) if vector((k, padded[i : i + k]))), 0)
+                held += [vector((k, padded[i : i + k]))] if k else []
+                i += max(1, k - 1)
+            total = [x + sum(h[j] for h in held) / max(1, len(held)) for j, x in enumerate(total)]
+        best = max(range(len(langs)), key=lambda j: (total[j], -j))
+        out.append((langs[best], 1 / sum(math.exp(x - total[best]) for x in total)) if words else ("und", 0.0))
+    return out
+
+
+def test_against_brute_force(spark):
+    data = rows(120, 3) + [(500, "थाना हिन्दी ½", "hi", ""), (501, "थाना हिन्दी भाषा थाना", "hi", ""), (502, "½ ²", "hi", ""), (503, "andsch thado", None, "")]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, score string")
+    model = langid.fit(df)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(df, model).collect()}
+    expect = brute_predictions([(t, lang) for _, t, lang, _ in data if lang], [r[1] for r in data])
+    for (i, *_), (lang, score) in zip(data, expect):
+        assert got[i][0] == lang and abs(got[i][1] - score) < 1e-9
+    assert got[502] == ("und", 0.0)
