@@ -26,7 +26,10 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 @lru_cache(maxsize=2)
 def encoder(vocabulary: str):
-    """Encoder for a byte-level BPE vocabulary file of the tokenizers library, run by tiktoken, which gives the same ids faster."""
+    """Encoder for a byte-level BPE vocabulary file of the tokenizers library, run by tiktoken, which gives the same ids faster.
+
+    Strings of special tokens in a text become those tokens, as they do by that library's default.
+    """
     import json
 
     import public_tokenizers
@@ -37,9 +40,9 @@ def encoder(vocabulary: str):
     byte_of = {chr(b): b for b in keep} | {chr(256 + i): b for i, b in enumerate(rest)}
     with open(vocabulary, encoding="utf-8") as f:
         made = json.load(f)
-    special = {t["content"] for t in made.get("added_tokens", [])}
+    special = {t["content"]: t["id"] for t in made.get("added_tokens", [])}
     ranks = {bytes(byte_of[c] for c in word): i for word, i in made["model"]["vocab"].items() if word not in special}
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 def tier_of(length: int, window: int) -> int:
@@ -130,7 +133,8 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, steps: int = ST
 
     Each task tokenises and packs its own documents in chunks, so no token is shuffled and a chunk's memory is
     bounded; a chunk leaves no padding. tier is the sequence's size (a power of two up to window), step_group
-    numbers groups of sequences of equal token counts. Special tokens' strings in a text are ordinary text.
+    numbers groups of sequences of equal token counts. A special token's string in a text is that token, as by the
+    tokenizers library's default.
 
     Null or empty text: one piece of the end id alone. Null doc_id: packed, returned as null. Repeated rows are
     packed each. An empty table gives no rows. Columns besides doc_id and text are not read.
@@ -144,7 +148,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, steps: int = ST
         held = 0
         for batch in slices(batches):
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                found = encode.encode_to_numpy(text, disallowed_special=()) if text else np.empty(0, np.uint32)
+                found = encode.encode_to_numpy(text, allowed_special="all") if text else np.empty(0, np.uint32)
                 tokens.append(np.append(found.astype("<u4", copy=False), np.uint32(END_ID)).astype("<u4", copy=False))
                 ids.append(doc)
                 held += len(tokens[-1])
