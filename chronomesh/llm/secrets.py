@@ -41,6 +41,16 @@ ALPHABETS = {
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
+# Fixed value: letters by their usual frequency in text of Latin script.
+FREQUENT = "etaoinshrdlcumwfgypbvkjxqz"
+
+
+def _by_frequency(alphabet: str) -> str:
+    """An alphabet's symbols, frequent letters first whatever their case, then digits and others: bins of neighbours then tell text from random symbols."""
+    return "".join(sorted(alphabet, key=lambda c: (FREQUENT.find(c.lower()) if c.isalpha() else 26, c)))
+
+
+_RANKS = {name: {c: i for i, c in enumerate(_by_frequency(a))} for name, a in ALPHABETS.items()}
 _PLACES = {name: {c: i for i, c in enumerate(a)} for name, a in ALPHABETS.items()}
 _SETS = {name: frozenset(a) for name, a in ALPHABETS.items()}
 BUCKETS = 100
@@ -70,20 +80,40 @@ def inferred_encoding(token: str) -> str | None:
     return next((name for name, chars in _SETS.items() if held <= chars), None)
 
 
-def randomness(token: str, name: str | None = None) -> tuple[float, float, float] | None:
-    """p-values under uniform random symbols: chi-squared over up to 8 bins, runs about the middle, lag-1 correlation."""
+def _kind(c: str) -> int:
+    """Digit, lower case, upper case, or another symbol."""
+    return 0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3
+
+
+_KINDS_OF = {name: {c: _kind(c) for c in a} for name, a in ALPHABETS.items()}
+#: Share of neighbouring symbols of one kind under uniform random symbols.
+_SAME = {name: sum((n / len(a)) ** 2 for n in Counter(map(_kind, a)).values()) for name, a in ALPHABETS.items()}
+
+
+def kind_runs(token: str, name: str) -> float:
+    """p-value of as few runs of one kind of symbol (digits, lower, upper case, others) under uniform random symbols."""
+    kinds, p, n = _KINDS_OF[name], _SAME[name], len(token) - 1
+    if p >= 1 or n < 1:
+        return 1.0
+    held = [kinds[c] for c in token]
+    same = sum(x == y for x, y in zip(held, held[1:]))
+    return max(1e-300, 0.5 * math.erfc((same - 0.5 - n * p) / math.sqrt(2 * n * p * (1 - p))))
+
+
+def randomness(token: str, name: str | None = None) -> tuple[float, float, float, float] | None:
+    """p-values under uniform random symbols: chi-squared over up to 8 bins of letters of like frequency, runs about the middle, runs of one kind of symbol, lag-1 correlation."""
     name = name or inferred_encoding(token)
     if name is None:
         return None
-    places, size, n = _PLACES[name], len(ALPHABETS[name]), len(token)
+    places, ranks, size, n = _PLACES[name], _RANKS[name], len(ALPHABETS[name]), len(token)
     codes = [places[c] for c in token]
     bins = min(8, size)
     counts = [0] * bins
     share = [0] * bins
     for i in range(size):
         share[i * bins // size] += 1
-    for c in codes:
-        counts[c * bins // size] += 1
+    for c in token:
+        counts[ranks[c] * bins // size] += 1
     chi = sum((o - n * s / size) ** 2 / (n * s / size) for o, s in zip(counts, share))
     uniform = chi_squared_tail(chi, bins - 1)
     high = [2 * c >= size for c in codes]
@@ -99,7 +129,7 @@ def randomness(token: str, name: str | None = None) -> tuple[float, float, float
     middle = sum(codes) / n
     var = sum((c - middle) ** 2 for c in codes)
     serial = 0.0 if not var else sum((x - middle) * (y - middle) for x, y in zip(codes, codes[1:])) / var
-    return uniform, runs_p, normal_tails(serial * math.sqrt(n)) if var else 1e-300
+    return uniform, runs_p, kind_runs(token, name), normal_tails(serial * math.sqrt(n)) if var else 1e-300
 
 
 def score(token: str, name: str | None = None) -> int:
