@@ -20,6 +20,10 @@ BITS = 2
 FANOUT = 8
 #: Block groups of more distinct fingerprints than this are dealt out anew by sub-blocks of their other bits.
 GROUP_LIMIT = 200_000
+#: A task indexes whole groups of about so many codes at a time.
+HELD_CODES = 200_000
+#: Fingerprints of more documents than this are dealt out by doc_id too where documents get their components; up to so many of them are broadcast.
+HOT_ROWS, SENT_CODES = 500, 500_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -161,19 +165,40 @@ def _block_keys(code: str, radius: int, limit: int, distinct: DataFrame) -> Data
 
 
 def code_links(distinct: DataFrame, code: str, radius: int = BITS, limit: int = GROUP_LIMIT) -> DataFrame:
-    """Edges (u, v) that join all of these distinct 64-bit codes that are linked within radius: a spanning set, not all pairs."""
+    """Edges (u, v) that join all of these distinct 64-bit codes that are linked within radius: a spanning set, not all pairs.
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-        if table is None or not table.num_rows:
-            return
-        index = GrayIndex(table.column(0).to_numpy(), table.column(1).to_numpy().astype(np.int64).view(np.uint64))
+    Codes are not null and distinct, so there are no ties; no codes give no rows.
+    """
+
+    def found(keys: list[np.ndarray], codes: list[np.ndarray]) -> pa.RecordBatch:
+        index = GrayIndex(np.concatenate(keys), np.concatenate(codes).view(np.uint64))
         root = merged(len(index.codes), index.pairs(radius))
         own = np.flatnonzero(root != np.arange(len(root)))
-        u, v = index.codes[own].view(np.int64), index.codes[root[own]].view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(index.codes[own].view(np.int64)), pa.array(index.codes[root[own]].view(np.int64))], ["u", "v"])
 
-    return _block_keys(code, radius, limit, distinct).repartition("key").mapInArrow(search, "u long, v long").distinct()
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole groups are indexed together as they come, sorted by key, until enough codes are held."""
+        keys, codes, held, enough = [], [], 0, HELD_CODES
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, value = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
+            if held >= enough:  # the last group may go on: what lies before it is complete
+                last = np.concatenate(keys)
+                whole = int(np.searchsorted(last == last[-1], True))
+                if whole:
+                    all_codes = np.concatenate(codes)
+                    yield found([last[:whole]], [all_codes[:whole]])
+                    keys, codes, held = [last[whole:]], [all_codes[whole:]], len(last) - whole
+                enough = max(HELD_CODES, 2 * held)
+            keys.append(key)
+            codes.append(value)
+            held += len(key)
+        if held:
+            yield found(keys, codes)
+
+    dealt = _block_keys(code, radius, limit, distinct).repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(search, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, radius: int = BITS, shingle: int = SHINGLE, limit: int = GROUP_LIMIT) -> DataFrame:
@@ -195,13 +220,19 @@ def near_duplicates(docs: DataFrame, radius: int = BITS, shingle: int = SHINGLE,
 
     taken = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     coded = stored(taken.mapInArrow(run, "doc_id long, code long"), "simhash")
-    distinct = stored(coded.groupBy("code").agg(F.min("doc_id").alias("least")), "simhash-codes")
+    distinct = stored(coded.groupBy("code").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-codes")
     roots = connected_components(code_links(distinct.select("code"), "code", radius, limit))
     linked = roots.join(distinct, roots.node == distinct.code)
     least = linked.groupBy("root").agg(F.min("least").alias("reached"))
     reached = linked.join(least, "root").select("code", "reached")
-    codes = distinct.join(reached, "code", "left").select("code", F.coalesce("reached", "least").alias("component"))
-    return coded.join(codes, "code").select(
+    codes = distinct.join(reached, "code", "left").select("code", "n", F.coalesce("reached", "least").alias("component"))
+    # copies of one text share a code: a code of many documents is repeated once for each HOT_ROWS of them
+    parts = F.ceil(F.col("n") / HOT_ROWS).cast("int")
+    hot = distinct.filter(F.col("n") > HOT_ROWS).select("code", parts.alias("parts"))
+    hot = F.broadcast(hot) if hot.count() <= SENT_CODES else hot
+    dealt = coded.join(hot, "code", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"), F.lit(0)))
+    codes = codes.select("code", "component", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    return dealt.join(codes, ["code", "part"]).select(
         F.expr(f"nullif(doc_id, {NULL_ID + 1}L - 1L)").alias("doc_id"),
         F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"),
         F.expr(f"nullif(component, {NULL_ID + 1}L - 1L)").alias("component_id"),
