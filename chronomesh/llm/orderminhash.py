@@ -29,8 +29,9 @@ def fingerprint(text: str) -> Column:
 
     K-mers are pairs of neighbouring words, the text's ends counting as words. Each is numbered among its equals, and
     a hash of k-mer and number deals it to one of 2^BUCKET_BITS buckets and orders it there (one-permutation hashing).
-    A bucket's least two are put in text order and hashed as a tuple, led by the bucket's number. Sorting packed longs
-    keeps it at n log n within the row. In a text of over 2^POSITION_BITS words neighbours share positions.
+    A bucket's least two are put in text order and hashed as a tuple, led by the bucket's number; a bucket of one takes
+    the least of the next filled bucket as its second, the first bucket following the last, so each tuple has an order.
+    Sorting packed longs keeps it at n log n within the row. In a text of over 2^POSITION_BITS words neighbours share positions.
     """
     shift, top, low = POSITION_BITS, 64 - BUCKET_BITS, (1 << POSITION_BITS) - 1
     pair = "xxhash64(coalesce(get(w, i - 1), '^'), i = 0, coalesce(get(w, i), '$'), i = size(w))"
@@ -40,10 +41,9 @@ def fingerprint(text: str) -> Column:
     span = _let("r[j]", "a", f"transform(sequence(a, coalesce(get(r, j + 1), size(s)) - 1), q -> {numbered})")
     dealt = f"sort_array(flatten(transform(sequence(0, size(r) - 1), j -> {span})))"
     heads = f"filter(sequence(0, size(p) - 1), q -> q = 0 or shiftrightunsigned(p[q], {top}) <> shiftrightunsigned(p[greatest(q - 1, 0)], {top}))"
-    first, second = "p[q]", "get(p, q + 1)"
+    first, second = "p[q]", "p[(q + 1) % size(p)]"
     one, two = f"shiftrightunsigned({first}, {shift})", f"shiftrightunsigned({second}, {shift})"
-    mates = f"shiftrightunsigned({first}, {top}) = shiftrightunsigned({second}, {top})"
-    ordered = f"case when {mates} and ({first} & {low}L) <= ({second} & {low}L) then xxhash64({one}, {two}) when {mates} then xxhash64({two}, {one}) else xxhash64({one}) end"
+    ordered = f"case when size(p) = 1 then xxhash64({one}) when ({first} & {low}L) <= ({second} & {low}L) then xxhash64({one}, {two}) else xxhash64({two}, {one}) end"
     value = f"shiftrightunsigned(shiftleft(shiftrightunsigned({first}, {top}), {top}) | shiftrightunsigned({ordered}, {BUCKET_BITS}), 32)"
     made = _let(packed, "s", _let(runs, "r", _let(dealt, "p", f"transform({heads}, q -> {value})")))
     return F.expr(_let(words_sql(text), "w", made))
@@ -96,13 +96,14 @@ def neighbours(docs: DataFrame) -> DataFrame:
     after = successors(sizes.select(F.col("doc_id").alias("id")))
     # sent: the document next_id gives its predecessor `id` as many characters as that replaces
     sent = after.join(sizes, after.id == sizes.doc_id).select("next_id", F.col("id").alias("to"), (F.col("n") / 4).cast("int").alias("quarter"))
-    heads = base.join(sent.hint("shuffle_merge"), base.doc_id == sent.next_id).select("to", F.expr("left(text, quarter)").alias("head"), fingerprint("text").alias("next_values"))
+    made = base.withColumn("values", fingerprint("text"))  # once, where the documents are read; both joins take it from one exchange
+    heads = made.join(sent.hint("shuffle_merge"), made.doc_id == sent.next_id).select("to", F.expr("left(text, quarter)").alias("head"), F.col("values").alias("next_values"))
     heads = heads.groupBy("to").agg(F.min(F.struct("head", "next_values")).alias("next"))
     n = "char_length(text)"
     edited = F.expr(f"concat(left(text, {n} - {n} div 4), left(next.head, cast({n} div 4 as int)))")
-    joined = base.join(heads.hint("shuffle_merge"), base.doc_id == heads["to"])
-    joined = joined.select("doc_id", "text", edited.alias("edited"), F.col("next.next_values").alias("next_values"))
-    joined = joined.withColumn("values", fingerprint("text")).withColumn("edited_values", fingerprint("edited"))
+    joined = made.join(heads.hint("shuffle_merge"), made.doc_id == heads["to"])
+    joined = joined.select("doc_id", "text", "values", edited.alias("edited"), F.col("next.next_values").alias("next_values"))
+    joined = joined.withColumn("edited_values", fingerprint("edited"))
     return joined.withColumn("doc_id", F.expr(f"nullif(doc_id, {NULL_ID + 1}L - 1L)"))
 
 

@@ -31,7 +31,11 @@ def brute(spark, texts):
             v = second[h, n] >> 24
             signed = v - (1 << 40) if v >> 39 else v
             buckets.setdefault(v >> 34, []).append((signed, i, v))
-        tuples = {b: [v for _, _, v in sorted(sorted(x)[:2], key=lambda y: y[1])] for b, x in buckets.items()}
+        least, tuples = {b: sorted(x)[:2] for b, x in buckets.items()}, {}
+        ring = sorted(buckets, key=lambda b: b - 64 if b >= 32 else b)  # a bucket of one takes the next filled one's least
+        for at, b in enumerate(ring):
+            two = least[b] + (least[ring[(at + 1) % len(ring)]][:1] if len(least[b]) == 1 and len(numbered) > 1 else [])
+            tuples[b] = [v for _, _, v in sorted(two, key=lambda y: y[1])]
         ends = hashes(spark, "case when y is null then xxhash64(x) else xxhash64(x, y) end", [(t[0], t[1] if len(t) > 1 else None) for t in tuples.values()], "x long, y long")
         out.append({((b << 58) | (ends[t[0], t[1] if len(t) > 1 else None] >> 6)) >> 32 for b, t in tuples.items()})
     return out
