@@ -10,24 +10,23 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronomesh.llm.common import bucket_of_id, slices
+from chronomesh.llm.common import bucket_of_id, slices, stored
 
 # Seed lexicon of plain English insults.
 SEEDS = ("clown", "disgusting", "dumb", "fool", "idiot", "jerk", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
 PATTERNS = ("shouting", "exclaims", "masked", "clean long", "clean short")
 
-WORD = re.compile(r"[^\W\d_]+")
+WORD, ASCII_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*+"), re.compile("[a-z]+")
 PREFIXES = (3, 4, 5, 6, 7, 8)
 #: Voters and classifier are fitted on about so many labelled rows at most, chosen by hashed ids.
 FIT_ROWS = 10_000
-#: Units that are counted, that vote, and that the classifier reads, at most.
-CANDIDATES, VOTERS, FEATURES = 20_000, 96, 4_000
-LEAST_SEEN, LEAST_ODDS = 5, 2.0
-LABEL_TRUST = 0.95
+#: A unit is a candidate if so many distinct toxic texts hold it, and a voter if its log odds are so high and telling (odds times the root of its support).
+LEAST_SEEN, LEAST_ODDS, LEAST_TELLING = 5, 2.0, 8.0
 
 
 def units(text: str, stems: frozenset[str] | None = None) -> set[str]:
@@ -35,7 +34,8 @@ def units(text: str, stems: frozenset[str] | None = None) -> set[str]:
 
     stems: only these beginnings (without stars) are looked for.
     """
-    seen = Counter(WORD.findall(text.lower()))
+    low = text.lower()
+    seen = Counter(ASCII_WORD.findall(low) if low.isascii() else WORD.findall(low))
     held: set[str] = set(seen)
     begun: dict[str, int] = {}
     for word, n in seen.items():
@@ -74,41 +74,40 @@ class LabelModel(NamedTuple):
     correlations: np.ndarray
     prior: float
 
-    def posterior(self, votes: np.ndarray, labels: np.ndarray | None = None) -> np.ndarray:
-        """P(toxic) of each row. labels: given ones count as one more voter that is right with LABEL_TRUST."""
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        """P(toxic) of each row of votes."""
         logs = np.log(self.tables)
         odds = np.full(len(votes), math.log(self.prior / (1 - self.prior)))
-        if labels is not None:
-            odds += math.log(LABEL_TRUST / (1 - LABEL_TRUST)) * (2 * labels - 1)
         for j in range(votes.shape[1]):
             odds += self.weights[j] * (logs[j, 1] - logs[j, 0])[votes[:, j] + 1]
         return 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
 
 
-def fit_label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 25) -> LabelModel:
-    """EM over votes (rows, voters) in -1, 0, 1, starting from labels, which stay one voter among the others.
+def fit_label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 25) -> LabelModel:
+    """EM over votes (rows, voters) in -1, 0, 1, from first posteriors `start`.
 
-    Given the class, voters are taken as independent but for the correlation of what is left of their votes within
-    the classes; a voter's evidence is divided by one plus its correlations with the others, so that a family of
-    voters that say the same counts about once.
+    Every voter's accuracy is estimated, that of given labels too where they are one of the voters. Given the class,
+    voters are taken as independent but for the correlation of what is left of their votes within the classes; a
+    voter's evidence is divided by one plus its correlations with the others, so that a family of voters that say the
+    same counts about once.
     """
     n, m = votes.shape
-    p = np.clip(labels.astype(float), 0.02, 0.98)
+    p = np.clip(start.astype(float), 0.02, 0.98)
     for _ in range(rounds):
         tables = np.empty((m, 2, 3))
         for y, mass in enumerate((1 - p, p)):
             for s in (-1, 0, 1):
-                tables[:, y, s + 1] = ((votes == s) * mass[:, None]).sum(0) + 0.5
+                tables[:, y, s + 1] = mass @ (votes == s) + 0.5
             tables[:, y] /= tables[:, y].sum(1, keepdims=True)
         means = tables[:, :, 2] - tables[:, :, 0]
-        left = votes - (p[:, None] * means[:, 1] + (1 - p)[:, None] * means[:, 0])
-        cov = left.T @ left / n
+        left = (votes - (p[:, None] * means[:, 1] + (1 - p)[:, None] * means[:, 0])).astype(np.float32)
+        cov = (left.T @ left).astype(float) / n
         scale = np.sqrt(np.maximum(np.diag(cov), 1e-12))
         corr = cov / np.outer(scale, scale)
         np.fill_diagonal(corr, 0.0)
         weights = 1 / (1 + np.maximum(corr - 0.05, 0).sum(1))
         model = LabelModel(tables, weights, corr, float(np.clip(p.mean(), 0.01, 0.99)))
-        before, p = p, model.posterior(votes, labels)
+        before, p = p, model.posterior(votes)
         if np.abs(before - p).max() < 1e-4:
             break
     return model
@@ -177,20 +176,23 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS) -> Classifier:
     """Fit on (doc_id, text, toxic): units whose presence is telling become voters beside the seeds and patterns.
 
     About `rows` labelled rows at most take part, those whose hashed id lies below a cut that follows from their
-    count. What comes to the driver is bounded: CANDIDATES counts, and the rows' votes and features.
+    count. What comes to the driver is bounded by these rows: the counts of their units, and their votes and features.
+
+    Rows with null text or label don't take part; empty texts do, with pattern votes alone. Repeated rows count each, but
+    a unit's support counts distinct texts. Ties between units go to the first by name. No rows give the seeds alone.
     """
     usable = labelled.filter("text is not null and toxic is not null")
     share = min(1.0, rows / max(1, usable.count()))
-    taken = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < int(share * (1 << 32))).select("text", "toxic")
-    positive = {r.unit: r.n for r in _counted(taken, 1, None).filter(F.col("n") >= LEAST_SEEN).orderBy(F.desc("n"), "unit").limit(CANDIDATES).collect()}
+    taken = stored(usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < int(share * (1 << 32))).select("text", "toxic"), "toxicity-sample")
+    positive = {r.unit: r.n for r in _counted(taken, 1, None).filter(F.col("n") >= LEAST_SEEN).collect()}
     candidates = set(positive) | set(SEEDS)
     negative = {r.unit: r.n for r in _counted(taken, 0, candidates).collect()}
     totals = {r.toxic: r.n for r in taken.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     base = math.log((totals.get(1, 0) + 1) / (totals.get(0, 0) + 1))
     odds = {u: math.log((positive.get(u, 0) + 0.5) / (negative.get(u, 0) + 0.5)) - base for u in candidates}
-    telling = sorted((u for u in positive if odds[u] >= LEAST_ODDS), key=lambda u: (-positive[u] * min(odds[u], 6.0), u))
-    voters = [*SEEDS, *distinct_units(telling, positive, negative)[:VOTERS]]
-    features = sorted(candidates, key=lambda u: (u not in voters, -abs(odds[u]) * math.sqrt(positive.get(u, 0) + negative.get(u, 0) + 1), u))[:FEATURES]
+    telling = sorted((u for u in positive if odds[u] >= LEAST_ODDS and odds[u] * math.sqrt(positive[u]) >= LEAST_TELLING), key=lambda u: (-positive[u] * min(odds[u], 6.0), u))
+    voters = [*SEEDS, *distinct_units(telling, positive, negative)]
+    features = sorted(candidates)
     place, voting = {u: i for i, u in enumerate(features)}, {u: j for j, u in enumerate(voters)}
     sent = taken.sparkSession.sparkContext.broadcast((place, frozenset(voters), stems_of([*features, *voters])))
 
@@ -207,8 +209,10 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS) -> Classifier:
     sample = taken.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(read, "held array<int>, patterns array<int>, toxic int").collect()
     rows_ = [np.array(r.held, int) for r in sample]
     patterns = np.array([r.patterns for r in sample], int).reshape(len(sample), len(PATTERNS))
-    votes = np.zeros((len(sample), len(voters) + len(PATTERNS)), int)
-    votes[:, len(voters) :] = patterns
+    given = np.array([r.toxic for r in sample], float)
+    votes = np.zeros((len(sample), len(voters) + len(PATTERNS) + 1), np.int8)
+    votes[:, len(voters) : -1] = patterns
+    votes[:, -1] = 2 * given - 1  # the given labels are one more voter, of an accuracy that is estimated like the others'
     back = {i: voting[u] for u, i in place.items() if u in voting}
     for i, held in enumerate(rows_):
         for k in held.tolist():
@@ -216,8 +220,7 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS) -> Classifier:
                 votes[i, back[k]] = 1
     if not len(sample):
         return Classifier({u: 3.0 for u in SEEDS}, [0.0] * len(PATTERNS), -2.0, frozenset(SEEDS), frozenset())
-    given = np.array([r.toxic for r in sample], float)
-    posterior = fit_label_model(votes, given).posterior(votes, given)
+    posterior = fit_label_model(votes, given).posterior(votes)
     w, v, b = fit_linear(rows_, patterns.astype(float), posterior, len(features))
     return Classifier({u: float(x) for u, x in zip(features, w) if x}, [float(x) for x in v], float(b), frozenset(voters), stems_of([*features, *voters]))
 
@@ -243,11 +246,11 @@ def score(docs: DataFrame, classifier: Classifier) -> DataFrame:
 def detect(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, rows: int = FIT_ROWS) -> DataFrame:
     """Fit on labelled documents whose crc32(doc_id) mod folds is not held; score all: doc_id, held_out, score, predicted.
 
-    Labels that repeat a doc_id count once, the largest; null labels and ids are left out of the fit.
+    Null and empty texts are scored by score(), repeated rows each; a score of exactly 0.5 counts as toxic. Labels that repeat a doc_id count once, the largest; null labels and ids are left out of the fit.
     """
     out = bucket_of_id("doc_id", folds) == held
     known = labels.filter(~out).filter("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     share = min(1.0, 2 * rows / max(1, known.count()))  # fewer labels meet the texts; fit() takes its share of these
     near = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 32)) < int(share * (1 << 32)))
-    fitted = fit(docs.select("doc_id", "text").join(near, "doc_id"), rows)
+    fitted = fit(stored(docs.select("doc_id", "text").join(near, "doc_id"), "toxicity-labelled"), rows)
     return score(docs, fitted).select("doc_id", out.alias("held_out"), "score", "predicted")
