@@ -19,6 +19,8 @@ WIDTH, HEIGHT = 16, 12
 FRAME = WIDTH * HEIGHT
 FPS = 25
 PAD = 32
+#: Frames that are coded or decoded in one step.
+BLOCK_FRAMES = 4096
 HISTOGRAM_BINS = 16
 #: A frame opens a shot if its histogram difference exceeds the running mean by so many running deviations, and a floor.
 SENSITIVITY, FLOOR, MEMORY = 3.0, 0.25, 0.9
@@ -68,8 +70,12 @@ def predictions(samples: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def encode_frames(samples: np.ndarray) -> list[bytes]:
-    """Lossless JPEG frames of 8-bit samples (n, height, width), all coded at once."""
+def encode_frames(samples: np.ndarray, block: int = BLOCK_FRAMES) -> list[bytes]:
+    """Lossless JPEG frames of 8-bit samples (n, height, width), coded in blocks of frames, so memory doesn't grow with n."""
+    return [f for at in range(0, len(samples), block) for f in _encode_block(samples[at : at + block])]
+
+
+def _encode_block(samples: np.ndarray) -> list[bytes]:
     n, height, width = samples.shape
     x = samples.astype(np.int16)
     diff = (x - predictions(x, width)).reshape(n, -1)
@@ -95,8 +101,11 @@ def encode_frames(samples: np.ndarray) -> list[bytes]:
     return [head + packed[a:b].replace(b"\xff", b"\xff\x00") + tail for a, b in zip(base[:-1].tolist(), base[1:].tolist())]
 
 
-def write_avi(frames: list[bytes], width: int = WIDTH, height: int = HEIGHT, fps: int = FPS, payload: int | None = None) -> bytes:
-    """A RIFF AVI file of MJPG frames with an idx1 index; payload, the bytes stored, goes into an INFO comment."""
+def write_avi(frames: list[bytes], width: int = WIDTH, height: int = HEIGHT, fps: int = FPS, payload: int | None = None, opendml: bool = False) -> bytes:
+    """A RIFF AVI file of MJPG frames with an idx1 index; payload, the bytes stored, goes into an INFO comment.
+
+    opendml: frames are listed by an OpenDML index (indx in the stream's header, ix00 among the frames) instead.
+    """
 
     def chunk(name: bytes, body: bytes) -> bytes:
         return name + struct.pack("<I", len(body)) + body + b"\0" * (len(body) % 2)
@@ -105,13 +114,24 @@ def write_avi(frames: list[bytes], width: int = WIDTH, height: int = HEIGHT, fps
     main = struct.pack("<14I", 1_000_000 // fps, largest * fps, 0, 0x10, len(frames), 0, 1, largest, width, height, 0, 0, 0, 0)
     stream = b"vidsMJPG" + struct.pack("<IHHIIIIIIII4H", 0, 0, 0, 0, 1, fps, 0, len(frames), largest, 0xFFFFFFFF, 0, 0, 0, width, height)
     bitmap = struct.pack("<IiiHH4sIiiII", 40, width, height, 1, 8, b"MJPG", width * height, 0, 0, 0, 0)
-    head = chunk(b"LIST", b"hdrl" + chunk(b"avih", main) + chunk(b"LIST", b"strl" + chunk(b"strh", stream) + chunk(b"strf", bitmap)))
-    parts, index, at = [], [], 4
+
+    def header(more: bytes = b"") -> bytes:
+        return chunk(b"LIST", b"hdrl" + chunk(b"avih", main) + chunk(b"LIST", b"strl" + chunk(b"strh", stream) + chunk(b"strf", bitmap) + more))
+
+    head, parts, index, at = header(), [], [], 4
     for f in frames:
         parts.append(chunk(b"00dc", f))
         index.append(b"00dc" + struct.pack("<III", 0x10, at, len(f)))
         at += len(parts[-1])
     info = b"" if payload is None else chunk(b"LIST", b"INFO" + chunk(b"ICMT", b"payload=%d\0" % payload))
+    if opendml:
+        listed = struct.pack("<HBBI4sQI", 2, 0, 1, len(frames), b"00dc", 0, 0)
+        above = lambda at: chunk(b"indx", struct.pack("<HBBI4s12xQII", 4, 0, 0, 1, b"00dc", at, 0, len(frames)))
+        movi = 12 + len(header(above(0))) + len(info) + 8  # where the movi list's name lies
+        base = movi + at
+        listed += b"".join(struct.pack("<II", movi + struct.unpack_from("<I", x, 8)[0] + 8, len(f)) for x, f in zip(index, frames))
+        body = b"AVI " + header(above(base)) + info + chunk(b"LIST", b"movi" + b"".join(parts) + chunk(b"ix00", listed))
+        return b"RIFF" + struct.pack("<I", len(body)) + body
     body = b"AVI " + head + info + chunk(b"LIST", b"movi" + b"".join(parts)) + chunk(b"idx1", b"".join(index))
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
@@ -129,42 +149,86 @@ def _chunks(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
         at += 8 + size + size % 2
 
 
+def _opendml_frames(data: bytes, indexes: list[tuple[int, int]]) -> list[bytes]:
+    """Frames that OpenDML indexes list: each entry of an index of indexes names a chunk, whose entries are places in the file."""
+    frames = []
+    for a, b in indexes:
+        width, _, kind, n = struct.unpack_from("<HBBI", data, a)
+        if kind or a + 24 + 16 * n > b:
+            raise BadMedia("not an index of indexes")
+        for k in range(n):
+            at = struct.unpack_from("<Q", data, a + 24 + 16 * k)[0]
+            if at + 32 > len(data):
+                raise BadMedia("an index lies beyond the end")
+            size = struct.unpack_from("<I", data, at + 4)[0]
+            width, _, kind, m, name, base, _ = struct.unpack_from("<HBBI4sQI", data, at + 8)
+            if width != 2 or kind != 1 or 24 + 8 * m > size:
+                raise BadMedia("not an index of chunks")
+            for i in range(m):
+                start, length = struct.unpack_from("<II", data, at + 32 + 8 * i)
+                length &= 0x7FFFFFFF  # the first bit marks frames that aren't key frames
+                if base + start + length > len(data):
+                    raise BadMedia("a frame runs over the end")
+                frames.append(data[base + start : base + start + length])
+    return frames
+
+
 def read_avi(data: bytes) -> tuple[dict, list[bytes]]:
-    """Header values and the frames that the idx1 index lists; without an index, those that the movi list holds."""
+    """Header values and the frames that the OpenDML index or the idx1 index lists; without an index, those that the movi lists hold.
+
+    Files of several RIFF parts (AVIX) are read as one.
+    """
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise BadMedia("not an AVI file")
     head: dict = {}
-    movi, index = None, None
-    stack = list(_chunks(data, 12, min(len(data), 8 + struct.unpack_from("<I", data, 4)[0])))
+    lists, index, wide = [], None, []
+    stack, at = [], 0
+    while data[at : at + 4] == b"RIFF" and data[at + 8 : at + 12] in (b"AVI ", b"AVIX"):
+        end = min(len(data), at + 8 + struct.unpack_from("<I", data, at + 4)[0])
+        stack += list(_chunks(data, at + 12, end))
+        at = end + end % 2
     while stack:
         name, a, b = stack.pop(0)
         if name == b"LIST":
             kind = data[a : a + 4]
             if kind == b"movi":
-                movi = (a, b)
+                lists.append((a, b))
             else:
                 stack += list(_chunks(data, a + 4, b))
         elif name == b"avih":
             v = struct.unpack_from("<14I", data, a)
             head |= {"us_per_frame": v[0], "n_frames": v[4], "width": v[8], "height": v[9]}
-        elif name == b"strh":
+        elif name == b"strh" and "codec" not in head and data[a : a + 4] == b"vids":
             head |= {"codec": data[a + 4 : a + 8].decode("latin-1"), "scale": struct.unpack_from("<I", data, a + 20)[0], "rate": struct.unpack_from("<I", data, a + 24)[0]}
+        elif name == b"indx" and data[a + 8 : a + 12][2:] in (b"dc", b"db"):
+            wide.append((a, b))
         elif name == b"idx1":
             index = [(data[i : i + 4], *struct.unpack_from("<III", data, i + 4)) for i in range(a, b - 15, 16)]
         elif name == b"ICMT":
             head["comment"] = data[a:b].rstrip(b"\0").decode("latin-1")
-    if movi is None:
+    if not lists:
         raise BadMedia("no movi list")
-    if index is None:
-        return head, [data[a:b] for name, a, b in _chunks(data, movi[0] + 4, movi[1]) if name[2:] in (b"dc", b"db")]
+    if wide:
+        return head, _opendml_frames(data, wide)
+    if index is None or len(lists) > 1:
+        return head, [data[a:b] for m in lists for a, b in _listed(data, *m)]
     # offsets count from the movi list's name, or, in some writers, from the file's start
     frames = [x for x in index if x[0][2:] in (b"dc", b"db")]
-    base = movi[0]
+    base = lists[0][0]
     if frames and data[base + frames[0][2] : base + frames[0][2] + 4] != frames[0][0]:
         base = 0
     return head, [data[base + at + 8 : base + at + 8 + size] for _, _, at, size in frames]
 
 
+def _listed(data: bytes, a: int, b: int) -> Iterator[tuple[int, int]]:
+    """Places of the frames in a movi list, those in `rec ` lists included."""
+    for name, x, y in _chunks(data, a + 4, b):
+        if name == b"LIST":
+            yield from _listed(data, x, y)
+        elif name[2:] in (b"dc", b"db"):
+            yield x, y
+
+
 def _parse_frame(frame: bytes) -> tuple[int, int, bytes, tuple]:
     """Height, width, entropy-coded bytes and Huffman table of a gray lossless frame."""
     if frame[:2] != bytes([0xFF, SOI]):
@@ -191,16 +255,25 @@ def _parse_frame(frame: bytes) -> tuple[int, int, bytes, tuple]:
     raise BadMedia("no scan")
 
 
-def decode_frames(frames: list[bytes]) -> np.ndarray:
-    """Samples (n, height, width) of frames of one shape: all frames are decoded in step, one sample of each at a time."""
-    parsed = [_parse_frame(f) for f in frames]
-    if not parsed:
+def decode_frames(frames: list[bytes], block: int = BLOCK_FRAMES) -> np.ndarray:
+    """Samples (n, height, width) of frames of one shape: a block of frames is decoded in step, one sample of each at a time."""
+    if not frames:
         return np.empty((0, 0, 0), np.uint8)
+    made = [_decode_block(frames[at : at + block]) for at in range(0, len(frames), block)]
+    if len({m.shape[1:] for m in made}) > 1:
+        raise BadMedia("frames differ in shape")
+    return made[0] if len(made) == 1 else np.concatenate(made)
+
+
+def _decode_block(frames: list[bytes]) -> np.ndarray:
+    parsed = [_parse_frame(f) for f in frames]
     height, width, _, table = parsed[0]
+    if not height or not width or any(p[0] * p[1] > 8 * len(p[2]) for p in parsed):  # a sample takes a bit at least
+        raise BadMedia("a scan is too short for its frame")
     if any((p[0], p[1], p[3]) != (height, width, table) for p in parsed):
         if len(parsed) == 1:
             raise BadMedia("unreadable frame")
-        made = [decode_frames([f]) for f in frames]
+        made = [_decode_block([f]) for f in frames]
         if len({m.shape for m in made}) > 1:
             raise BadMedia("frames differ in shape")
         return np.concatenate(made)
@@ -248,6 +321,27 @@ def zigzag() -> np.ndarray:
     return np.array([8 * r + c for r, c in cells])
 
 
+# The typical Huffman tables of ITU-T T.81, annex K.3, which motion-JPEG frames without tables of their own
+# use: numbers of codes by length, and the first symbols; the symbols that are left follow in ascending order.
+DC_COUNTS = {0: (0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0), 1: (0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0)}
+AC_COUNTS = {0: (0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125), 1: (0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119)}
+AC_FIRST = {
+    0: "01 02 03 00 04 11 05 12 21 31 41 06 13 51 61 07 22 71 14 32 81 91 a1 08 23 42 b1 c1 15 52 d1 f0 24 33 62 72 82",
+    1: "00 01 02 03 11 04 05 21 31 06 12 41 51 07 61 71 13 22 32 81 08 14 42 91 a1 b1 c1 09 23 33 52 f0 15 62 72 d1 0a 16 24 34 e1 25 f1",
+}
+
+
+def default_tables() -> dict[int, dict[tuple[int, int], int]]:
+    """The typical tables by class (0 DC, 16 AC) and number (0 luminance, 1 chrominance): (length, code) -> symbol."""
+    every = [0x00, 0xF0, *(run << 4 | size for run in range(16) for size in range(1, 11))]
+    out = {}
+    for n in (0, 1):
+        first = [int(x, 16) for x in AC_FIRST[n].split()]
+        for kind, counts, symbols in ((0, DC_COUNTS[n], list(range(12))), (0x10, AC_COUNTS[n], first + sorted(set(every) - set(first)))):
+            out[kind | n] = {(length, code): symbol for symbol, (code, length) in huffman_codes(list(counts), symbols).items()}
+    return out
+
+
 class _Bits:
     """Bits of entropy-coded bytes, most significant first."""
 
@@ -276,8 +370,8 @@ class _Bits:
 
 
 def decode_baseline(frame: bytes) -> np.ndarray:
-    """Luma samples (height, width) of a sequential Huffman-coded DCT frame of 8 bits that brings its own tables."""
-    at, quant, tables, restart, parts = 2, {}, {}, 0, []
+    """Luma samples (height, width) of a sequential Huffman-coded DCT frame of 8 bits. Tables it doesn't bring are the typical ones."""
+    at, quant, tables, restart, parts = 2, {}, default_tables(), 0, []
     while True:
         if at + 4 > len(frame) or frame[at] != 0xFF:
             raise BadMedia("no scan")
@@ -286,6 +380,8 @@ def decode_baseline(frame: bytes) -> np.ndarray:
         if marker == DQT:
             while body:
                 wide, n = body[0] >> 4, body[0] & 15
+                if len(body) < 65 + 64 * wide:
+                    raise BadMedia("a quantisation table is too short")
                 quant[n] = np.frombuffer(body[1 : 65 + 64 * wide], ">u2" if wide else "u1").astype(float)
                 body = body[65 + 64 * wide :]
         elif marker == DHT:
@@ -306,10 +402,14 @@ def decode_baseline(frame: bytes) -> np.ndarray:
             break
     if not parts or set(uses) != {p[0] for p in parts}:
         raise BadMedia("only one scan of all components is decoded")
+    if not height or not width or any(not 1 <= x <= 4 for p in parts for x in p[1:3]) or any(p[3] not in quant for p in parts):
+        raise BadMedia("a frame without size, sampling factors or quantisation tables")
     end = frame.rfind(bytes([0xFF, EOI]))
     pieces = re.split(rb"\xff[\xd0-\xd7]", frame[at : end if end > 0 else len(frame)])
     wide, tall = max(p[1] for p in parts), max(p[2] for p in parts)
     across, down = -(-width // (8 * wide)), -(-height // (8 * tall))
+    if across * down * 2 > 8 * (len(frame) - at):  # a block takes two symbols at least
+        raise BadMedia("a scan is too short for its frame")
     order = zigzag()
     k = np.arange(8)
     basis = np.cos((2 * k[None] + 1) * k[:, None] * np.pi / 16) * np.where(k == 0, np.sqrt(1 / 8), 0.5)[:, None]
@@ -411,7 +511,8 @@ def clips(media: DataFrame, column: str = "media", key: str = "doc_id") -> DataF
     """Timed clip rows of AVI motion-JPEG bytes: key, clip, first_frame, end_frame, start_ms, end_ms, error.
 
     Frames are found through the RIFF index and decoded as intra frames. Null bytes give no rows; bytes that can't be
-    decoded give one row that has only key and error. An empty table gives no rows.
+    decoded, for whatever damage, give one row that has only key and error. A file of no frames gives no rows, and so does
+    an empty table. Null keys and repeated rows are returned as they are; other columns are not read.
     """
     schema = f"{key} long, clip int, first_frame int, end_frame int, start_ms long, end_ms long, error string"
 
@@ -422,11 +523,11 @@ def clips(media: DataFrame, column: str = "media", key: str = "doc_id") -> DataF
                 if data is None:
                     continue
                 try:
-                    head, frames = read_avi(data)
+                    head, frames = read_avi(data)  # frames are slices; pixels are bounded by the file's own bytes
                     fps = head["rate"] / head["scale"] if head.get("scale") and head.get("rate") else 1e6 / (head.get("us_per_frame") or 40_000)
                     rows += [(k, i, *x, None) for i, x in enumerate(shots(intra_frames(frames), fps))]
-                except (BadMedia, struct.error, IndexError, KeyError) as e:
-                    rows.append((k, None, None, None, None, None, str(e)))
+                except Exception as e:  # whatever is wrong with one file is that file's row
+                    rows.append((k, None, None, None, None, None, str(e) if isinstance(e, BadMedia) else f"{type(e).__name__}: {e}"))
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], [c.split()[0] for c in schema.split(", ")])
 
@@ -434,7 +535,10 @@ def clips(media: DataFrame, column: str = "media", key: str = "doc_id") -> DataF
 
 
 def encode_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, media): each document's text as an AVI file. Null text counts as empty; repeated rows are each stored."""
+    """(doc_id, media): each document's text as an AVI file. Null text counts as empty; repeated rows are each stored.
+
+    A null doc_id is returned as null, an empty table gives no rows, columns besides doc_id and text are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=1 << 20):
