@@ -44,7 +44,8 @@ def test_sampled_tokens_follow_targets_and_tables_agree(spark):
     kept = {r.doc_id for r in mixing.sample(df).collect()}
     assert kept == {i for i, r in plan.items() if r.selected}
     table = {r.doc_id: r["__mix_probability"] for r in mixing.mix(df, local_cells=3).collect()}
-    assert all(abs(table[i] - r.probability) < 1e-6 for i, r in plan.items())
+    local = {r.doc_id: r["__mix_probability"] for r in mixing.mix(df).collect()}
+    assert all(abs(table[i] - p) < 1e-9 for i, p in local.items())
 
 
 def test_edge_cases(spark):
@@ -55,3 +56,21 @@ def test_edge_cases(spark):
     assert [(r.source, r.lang, r.n_tokens) for r in got if r.doc_id is None] == [("unknown", "unknown", 1)]
     assert mixing.mixture(df.limit(0)).count() == 0
     assert mixing.sample(df).columns == df.columns
+
+
+def test_stated_shares_and_topic_column(spark):
+    data = [(i, "one two three " * (1 + i % 7), "en", f"s{i % 3}", ("a", "b", "c", None)[i % 4]) for i in range(3000)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, subject string")
+    margins = (mixing.Margin("source", 1.0, {"s0": 0.2, "s1": 0.6}), mixing.Margin("lang"), mixing.Margin("topic", 1.0, {"a": 0.5, "unknown": 0.1, "nowhere": 0.0}))
+    got = mixing.mix(df, 0.2, margins, topic="subject").collect()
+    expected = lambda column, value: sum(r["__mix_tokens"] * r["__mix_probability"] for r in got if r[column] == value)
+    total = sum(r["__mix_tokens"] * r["__mix_probability"] for r in got)
+    for column, value, share in (("__mix_source", "s0", 0.2), ("__mix_source", "s1", 0.6), ("__mix_source", "s2", 0.2), ("__mix_topic", "a", 0.5), ("__mix_topic", "unknown", 0.1), ("__mix_topic", "b", 0.2)):
+        assert abs(expected(column, value) / total - share) < 0.01
+    assert all(r["__mix_tokens"] == 3 * (1 + r.doc_id % 7) for r in got)
+
+
+def test_tokens(spark):
+    texts = [None, "", "  ", "a bc", "internationally 12345, x-y", "日本語 é!"]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", mixing.tokens().alias("n")).collect()
+    assert {r.i: r.n for r in got} == {0: 1, 1: 1, 2: 1, 3: 2, 4: 9, 5: 3}
