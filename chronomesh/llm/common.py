@@ -22,9 +22,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or, only where that is unset, a local one."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where it is unset, a local one, which only a local session may use."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         path = _own_dirs.setdefault(app, "file://" + tempfile.mkdtemp(prefix="chronomesh-"))
     if not spark.sparkContext.getCheckpointDir():
