@@ -1,4 +1,4 @@
-"""NumPy kernels for single groups: optimiser, clustering, hidden Markov models, dictionary learning."""
+"""NumPy kernels for single groups: optimiser, clustering, hidden Markov models."""
 
 from __future__ import annotations
 
@@ -141,26 +141,3 @@ def categorical_hmm(obs: np.ndarray, symbols: int, k: int, seed: int, rounds: in
         emit = np.stack([np.bincount(obs, gamma[:, c], symbols) for c in range(k)]) + 1e-12
         emit /= emit.sum(1, keepdims=True)
     return {"score": score, "labels": viterbi(np.log(emit[:, obs].T + 1e-300), start, trans)}
-
-
-def ksvd(x: np.ndarray, k: int, rounds: int = 20, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Dictionary of k unit atoms with one coefficient for each row of x: atoms, coefficients (rows, k)."""
-    rng = np.random.default_rng(seed)
-    atoms = rng.standard_normal((k, x.shape[1]))
-    atoms /= np.linalg.norm(atoms, axis=1, keepdims=True)
-    for _ in range(rounds):
-        dots = x @ atoms.T
-        best = np.abs(dots).argmax(1)
-        for c in range(k):
-            own = x[best == c]
-            if not len(own):
-                continue
-            step = (own @ atoms[c]) @ own
-            norm = np.linalg.norm(step)
-            if norm:
-                atoms[c] = step / norm
-    atoms = atoms * np.sign(atoms[np.arange(k), np.abs(atoms).argmax(1)])[:, None]
-    atoms = atoms[np.lexsort(atoms.T[::-1])]
-    dots = x @ atoms.T
-    best = np.abs(dots).argmax(1)
-    return atoms, np.where(np.arange(k) == best[:, None], dots, 0.0)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chronomesh.functions.stats import ratio
 from chronomesh.operators.edges import mirrored
 from chronomesh.operators.graph_prep import Graph
+from chronomesh.sources.shared import shared_folder
 
 
 def _present(g: Graph) -> DataFrame:
@@ -125,20 +126,18 @@ def participation_signed(g: Graph, labels: DataFrame) -> DataFrame:
     return parts[0].join(parts[1], [*g.keys, "i"])
 
 
-def two_core(g: Graph, rounds: int = 1000) -> DataFrame:
-    """Edges left after nodes with one edge are taken away again and again; rounds stop at the fixed point."""
-    edges = g.edges.filter("w <> 0").select(*g.keys, "i", "j", "w")
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
+def two_core(g: Graph) -> DataFrame:
+    """Edges left after nodes with one edge are taken away again and again, until none is left to take.
 
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chronomesh-"))
+    Each round is a job whose result goes to the checkpoint folder; a dangling chain takes as many as it has nodes.
+    """
+    edges = g.edges.filter("w <> 0").select(*g.keys, "i", "j", "w")
+    shared_folder(edges.sparkSession)
     before = edges.count()
-    for _ in range(rounds):
+    while True:
         k = mirrored(edges).groupBy(*g.keys, "i").agg(F.count("*").alias("k")).filter("k > 1").select(*g.keys, "i")
         edges = edges.join(k, [*g.keys, "i"], "left_semi").join(k.withColumnRenamed("i", "j"), [*g.keys, "j"], "left_semi").select(*g.keys, "i", "j", "w").checkpoint()
         after = edges.count()
         if after == before:
             return edges
         before = after
-    return edges

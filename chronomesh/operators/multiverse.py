@@ -213,22 +213,29 @@ def decision_matrix(results: DataFrame, columns: list[str], levels: dict[str, li
     """results with a numeric column for each decision or level (first level dropped), and (column, kind) of these.
 
     Booleans and the texts True/False are 0/1, numbers stay, other texts become one column per level. A decision's
-    levels are few; they are collected unless given.
+    levels are few; they are collected unless given, all in one pass.
     """
     made: dict[str, tuple[Column, str]] = {}
     types = dict(results.dtypes)
+    text = {c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("nan")) for c in columns}
+    known, open_ = dict(levels or {}), []
+    for c in columns:
+        if types[c] not in ("boolean", "double", "float", "int", "bigint", "smallint") and not known.get(c):
+            open_.append(c)
+    if open_:  # one pass over the universes for all decisions
+        row = results.agg(*[F.collect_set(text[c]).alias(f"s{k}") for k, c in enumerate(open_)]).first()
+        known |= {c: row[f"s{k}"] for k, c in enumerate(open_)}
     for c in sorted(columns):
         if types[c] == "boolean":
             made[f"x_{c}"] = (F.col(f"`{c}`").cast("double"), "binary")
-        elif types[c] in ("double", "float", "int", "bigint", "smallint"):
+        elif c not in known:
             made[f"x_{c}"] = (F.col(f"`{c}`").cast("double"), "numeric")
         else:
-            text = F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("nan"))
-            found = sorted((levels or {}).get(c) or [r[0] for r in results.select(text).distinct().collect()])
+            found = sorted(known[c])
             if set(found) <= {"True", "False"}:
-                made[f"x_{c}"] = ((text == "True").cast("double"), "binary")
+                made[f"x_{c}"] = ((text[c] == "True").cast("double"), "binary")
             else:
-                made |= {f"x_{c}_{v}": ((text == v).cast("double"), "categorical") for v in found[1:]}
+                made |= {f"x_{c}_{v}": ((text[c] == v).cast("double"), "categorical") for v in found[1:]}
     return results.withColumns({k: v for k, (v, _) in made.items()}), [(k, kind) for k, (_, kind) in made.items()]
 
 
@@ -383,6 +390,15 @@ def kde(results: DataFrame, y: str, points: int = 1000, weight: str | None = Non
     return each.select("k", "x", "density")
 
 
+def integration_curves(results: DataFrame, y: str, columns: list[str], bic: str | None = None, points: int = 1000, widen: float = 1.0) -> DataFrame:
+    """(method, k, x, density): the outcomes' density under each weighting, on one grid; bma only with a BIC column."""
+    parts = []
+    for method in ["uniform", *(["bma"] if bic else []), "myh", "myhn", "mli"]:
+        w = weights(results, y, method, columns, bic)
+        parts.append(kde(w, y, points, "w", widen).select(F.lit(method).alias("method"), "k", "x", "density"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def outcome_bins(results: DataFrame, y: str, columns: list[str], bins: int = 10) -> DataFrame:
     """(decision, value, bin, share): a level's share of the universes in each of equal bins of y, closed on the right."""
     lo, hi = F.min(y).over(everything()), F.max(y).over(everything())

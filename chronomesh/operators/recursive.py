@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from chronomesh.functions.kernels import nelder_mead
 from chronomesh.operators.panel import standardise
@@ -88,18 +89,24 @@ def fit_garch(x: np.ndarray) -> np.ndarray:
 
 
 def dcc_recursion(eps: np.ndarray, s: np.ndarray, a: float, b: float) -> np.ndarray:
-    """Correlations R_t: Q_t = S (1 - a - b) + a z z' + b Q_{t-1}, z = eps_{t-1} sqrt(diag Q_{t-1}), R_t = Q_t normalised."""
+    """Correlations R_t from residuals up to and including t: Q_t = S (1 - a - b) + a z z' + b Q_{t-1} with Q_{-1} = S and
+    z = eps_t sqrt(diag Q_{t-1}); R_t is Q_t normalised."""
     n, p = eps.shape
     q, out = s.copy(), np.empty((n, p, p))
     for t in range(n):
-        if t:
-            z = eps[t - 1] * np.sqrt(np.diag(q))
-            q = s * (1 - a - b) + a * np.outer(z, z) + b * q
+        z = eps[t] * np.sqrt(np.diag(q))
+        q = s * (1 - a - b) + a * np.outer(z, z) + b * q
         d = 1 / np.sqrt(np.diag(q))
         out[t] = q * np.outer(d, d)
     return out
 
 
+def dcc_forecasts(eps: np.ndarray, s: np.ndarray, a: float, b: float) -> np.ndarray:
+    """Correlations that are known before each time, by which the likelihood judges its residuals: S at first, then R_{t-1}."""
+    d = 1 / np.sqrt(np.diag(s))
+    return np.concatenate([(s * np.outer(d, d))[None], dcc_recursion(eps[:-1], s, a, b)])
+
+
 def fit_dcc(eps: np.ndarray) -> tuple[float, float]:
     s = np.cov(eps.T)
 
@@ -107,31 +114,52 @@ def fit_dcc(eps: np.ndarray) -> tuple[float, float]:
         a, b = theta
         if a < 0 or b < 0 or a + b >= 1:
             return 1e10
-        total = 0.0
-        for t, r in enumerate(dcc_recursion(eps, s, a, b)):
-            sign, logdet = np.linalg.slogdet(r)
-            if sign <= 0:
-                return 1e10
-            total += logdet + eps[t] @ np.linalg.solve(r, eps[t])
-        return total
+        r = dcc_forecasts(eps, s, a, b)
+        sign, logdet = np.linalg.slogdet(r)
+        if (sign <= 0).any():
+            return 1e10
+        return float(logdet.sum() + (eps * np.linalg.solve(r, eps[:, :, None])[:, :, 0]).sum())
 
     return tuple(min((nelder_mead(cost, np.array(x), rounds=120) for x in ((0.05, 0.9), (0.25, 0.25))), key=cost))
 
 
-def dynamic_conditional_correlation(p: DataFrame, theta: tuple[float, float] | None = None) -> DataFrame:
-    """(subject, t, i, j, w, h): DCC correlations and covariances h. Series are demeaned before the GARCH fits.
-
-    The univariate fits run in parallel over (subject, roi); a second kernel per subject fits and runs the recursion,
-    or only runs it under fixed theta.
-    """
+def garch_residuals(p: DataFrame) -> DataFrame:
+    """(subject, t, roi, x, sd, omega, alpha, beta): residuals of a GARCH(1, 1) fit to each demeaned series, its conditional deviations and parameters."""
     kind = p.schema["roi"].dataType.simpleString()
 
     def univariate(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("t")
         x = rows["x"].to_numpy(float)
         x = x - x.mean()
-        h = garch_variances(x, fit_garch(x)) if np.any(x) else np.ones(len(x))
-        return rows[["subject", "t", "roi"]].assign(x=x / np.sqrt(h), sd=np.sqrt(h))
+        theta = fit_garch(x) if np.any(x) else np.array([1.0, 0.0, 0.0])
+        h = garch_variances(x, theta) if np.any(x) else np.ones(len(x))
+        return rows[["subject", "t", "roi"]].assign(x=x / np.sqrt(h), sd=np.sqrt(h), omega=theta[0], alpha=theta[1], beta=theta[2])
+
+    return p.groupBy("subject", "roi").applyInPandas(univariate, f"subject long, t long, roi {kind}, x double, sd double, omega double, alpha double, beta double")
+
+
+def garch_parameters(residuals: DataFrame) -> DataFrame:
+    """(subject, roi, omega, alpha, beta) of garch_residuals()."""
+    return residuals.groupBy("subject", "roi").agg(*[F.first(c).alias(c) for c in ("omega", "alpha", "beta")])
+
+
+def dcc_parameters(residuals: DataFrame) -> DataFrame:
+    """(subject, a, b): the correlation recursion's parameters, fitted to garch_residuals()."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        a, b = fit_dcc(_wide(rows)[0])
+        return pd.DataFrame({"subject": [rows["subject"].iloc[0]], "a": [a], "b": [b]})
+
+    return residuals.groupBy("subject").applyInPandas(run, "subject long, a double, b double")
+
+
+def dynamic_conditional_correlation(p: DataFrame, theta: tuple[float, float] | None = None) -> DataFrame:
+    """(subject, t, i, j, w, h): DCC correlations and covariances h. Series are demeaned before the GARCH fits.
+
+    The univariate fits run in parallel over (subject, roi); a second kernel per subject fits and runs the recursion,
+    or only runs it under fixed theta. The fitted parameters are those of garch_parameters() and dcc_parameters().
+    """
+    kind = p.schema["roi"].dataType.simpleString()
 
     def joint(rows: pd.DataFrame) -> pd.DataFrame:
         eps, names, times = _wide(rows)
@@ -142,8 +170,7 @@ def dynamic_conditional_correlation(p: DataFrame, theta: tuple[float, float] | N
         out["h"] = _long(0, times, names, r * sd[:, :, None] * sd[:, None, :])["w"]
         return out
 
-    residuals = p.groupBy("subject", "roi").applyInPandas(univariate, f"subject long, t long, roi {kind}, x double, sd double")
-    return residuals.groupBy("subject").applyInPandas(joint, f"subject long, t long, i {kind}, j {kind}, w double, h double")
+    return garch_residuals(p).groupBy("subject").applyInPandas(joint, f"subject long, t long, i {kind}, j {kind}, w double, h double")
 
 
 def dcc_filter(residuals: DataFrame, a: float, b: float) -> DataFrame:

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronomesh.functions.kernels import categorical_hmm, gaussian_hmm, kmeans, ksvd
+from chronomesh.functions.kernels import categorical_hmm, gaussian_hmm, kmeans
 from chronomesh.functions.stats import ratio
 from chronomesh.operators.dynamic import sliding_window
 
@@ -139,28 +139,34 @@ def _subject_centroids(features: DataFrame, k: int, n_init: int, seed: int | Non
 
 
 def _group_centroids(rows: DataFrame, k: int, n_init: int, seed: int | None) -> DataFrame:
-    """Centroids (state, c) of rows (f). Rows are subjects' centroids; one kernel clusters them in a task of its own."""
+    """Centroids (state, c, inertia) of rows (f). Rows are subjects' centroids; one kernel clusters them in a task of its own."""
 
     def fit(found: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(found["f"].to_list())
-        c, _, _ = kmeans(x[np.lexsort(x.T[::-1])], k, n_init, seed)
-        return pd.DataFrame({"state": range(len(c)), "c": list(c)})
+        c, _, total = kmeans(x[np.lexsort(x.T[::-1])], k, n_init, seed)
+        return pd.DataFrame({"state": range(len(c)), "c": list(c), "inertia": total})
 
-    return rows.select("f", F.lit(0).alias("g")).groupBy("g").applyInPandas(fit, "state int, c array<double>")
+    return rows.select("f", F.lit(0).alias("g")).groupBy("g").applyInPandas(fit, "state int, c array<double>, inertia double")
+
+
+def _two_level(features: DataFrame, n_states: int, subject_clusters: int, n_init: int, seed: int | None, group_init: int = 50) -> tuple[DataFrame, DataFrame]:
+    own = _subject_centroids(features, subject_clusters, n_init, seed)
+    found = _group_centroids(own, n_states, group_init, seed).collect()  # n_states rows
+    made = features.sparkSession.createDataFrame([(r.state, r.c, r.inertia) for r in found], "state int, c array<double>, inertia double")
+    return assign(features, made.select("state", "c")).select("subject", "t", "state"), made
 
 
 def two_level(features: DataFrame, n_states: int, subject_clusters: int, n_init: int = 50, seed: int | None = 0, group_init: int = 50) -> tuple[DataFrame, DataFrame]:
     """k-means within each subject, then over the subjects' centroids: (subject, t, state) and (state, c)."""
-    own = _subject_centroids(features, subject_clusters, n_init, seed)
-    centroids = _group_centroids(own, n_states, group_init, seed).cache()
-    return assign(features, centroids).select("subject", "t", "state"), centroids
+    labels, centroids = _two_level(features, n_states, subject_clusters, n_init, seed, group_init)
+    return labels, centroids.select("state", "c")
 
 
 def kmeans_cluster(edges: DataFrame, n_states: int = 5, strategy: str = "pooled", subject_clusters: int = 5, standardised: bool = False, n_init: int = 50, seed: int | None = 0) -> dict[str, DataFrame]:
     """k-means states of any time-resolved connectivity: state_tc, centroids, inertia.
 
-    pooled: Spark's distributed k-means over all rows, best of several seeds; two_level: subject kernels, then one
-    over their centroids.
+    pooled: Spark's distributed k-means over all rows, best of n_init seeds; two_level: subject kernels, then one
+    over their centroids. inertia is that of the last clustering: of all rows, or of the subjects' centroids.
     """
     features = edge_features(edges)
     if standardised:
@@ -169,20 +175,22 @@ def kmeans_cluster(edges: DataFrame, n_states: int = 5, strategy: str = "pooled"
         rows = rows.withColumn("x", (F.col("x") - F.avg("x").over(whole)) / (F.stddev_pop("x").over(whole) + 1e-8))
         features = rows.groupBy("subject", "t").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("f"))
     if strategy == "two_level":
-        labels, centroids = two_level(features, n_states, subject_clusters, n_init, seed)
+        labels, centroids = _two_level(features, n_states, subject_clusters, n_init, seed)
+        total, centroids = centroids.agg(F.max("inertia").alias("inertia")), centroids.select("state", "c")
     elif strategy == "pooled":
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.functions import array_to_vector
 
         vectors = features.withColumn("features", array_to_vector("f")).cache()
-        fits = [KMeans(k=n_states, seed=(seed or 0) + s, maxIter=100, tol=1e-9).fit(vectors) for s in range(min(n_init, 5))]
+        fits = [KMeans(k=n_states, seed=(seed or 0) + s, maxIter=100, tol=1e-9).fit(vectors) for s in range(n_init)]
         best = min(fits, key=lambda m: m.summary.trainingCost)
         centres = sorted(c.tolist() for c in best.clusterCenters())
+        vectors.unpersist()
         centroids = edges.sparkSession.createDataFrame(list(enumerate(centres)), "state int, c array<double>")
-        labels = assign(features, centroids).select("subject", "t", "state")
+        labels, total = assign(features, centroids).select("subject", "t", "state"), inertia(features, centroids)
     else:
         raise ValueError(f"unknown strategy {strategy}")
-    return {"state_tc": labels, "centroids": centroids, "inertia": inertia(features, centroids)}
+    return {"state_tc": labels, "centroids": centroids, "inertia": total}
 
 
 def sliding_window_clustering(p: DataFrame, n_states: int = 5, subject_clusters: int = 5, size: int = 29, step: int = 15, shape: str = "gaussian", std: float = 10.0, n_init: int = 50, seed: int | None = 0) -> tuple[DataFrame, DataFrame]:
@@ -196,19 +204,56 @@ def coactivation_patterns(p: DataFrame, n_states: int = 5, subject_clusters: int
     return labels, centroids, outer_states(centroids)
 
 
-def ksvd_states(p: DataFrame, n_states: int = 5, rounds: int = 20, seed: int = 0) -> DataFrame:
-    """(subject, t, state, weight, atom): the atom that best fits each row of a subject's panel, with one coefficient.
+def encode_atoms(features: DataFrame, atoms: DataFrame) -> DataFrame:
+    """(subject, t, state, weight): the atom (state, c) of a dictionary that best fits each (subject, t, f), with one coefficient.
 
-    A dictionary is learned over each subject's rows; group by a constant subject to learn one over all.
+    Atoms have unit length and are few by construction. Ties go to the smaller state.
     """
+    dot = F.aggregate(F.zip_with("f", "c", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    scored = features.crossJoin(F.broadcast(atoms)).select("subject", "t", F.struct((-F.abs(dot)).alias("least"), "state", dot.alias("weight")).alias("m"))
+    return scored.groupBy("subject", "t").agg(F.min("m").alias("m")).select("subject", "t", F.col("m.state").alias("state"), F.col("m.weight").alias("weight"))
 
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("t")
-        atoms, gamma = ksvd(np.stack(rows["f"].to_list()), n_states, rounds, seed)
-        best = np.abs(gamma).argmax(1)
-        return pd.DataFrame({"subject": rows["subject"], "t": rows["t"], "state": best, "weight": gamma[np.arange(len(best)), best], "atom": [atoms[b] for b in best]})
 
-    return panel_features(p).groupBy("subject").applyInPandas(lambda r: fit(r), "subject long, t long, state int, weight double, atom array<double>")
+def dictionary(features: DataFrame, n_states: int = 5, rounds: int = 20, seed: int = 0) -> DataFrame:
+    """Atoms (state, c) of a dictionary learned over all rows (subject, t, f) of all subjects by approximate K-SVD, one coefficient a row.
+
+    Each round, the rows that an atom fits best are summed with their coefficients where they lie; n_states sums come to the driver.
+    """
+    features = features.select("f").persist()
+    first = features.first()
+    rng = np.random.default_rng(seed)
+    atoms = rng.standard_normal((n_states, len(first.f) if first else 0))
+    atoms /= np.maximum(np.linalg.norm(atoms, axis=1, keepdims=True), 1e-300)
+    for _ in range(rounds if first else 0):
+
+        def partial(batches, atoms=atoms):
+            total = np.zeros_like(atoms)
+            for rows in batches:
+                if len(rows):
+                    x = np.stack(rows["f"].to_list())
+                    dots = x @ atoms.T
+                    best = np.abs(dots).argmax(1)
+                    np.add.at(total, best, dots[np.arange(len(best)), best][:, None] * x)
+            yield pd.DataFrame({"state": range(len(atoms)), "v": list(total)})
+
+        sums = features.mapInPandas(partial, "state int, v array<double>").select("state", F.posexplode("v").alias("k", "v")).groupBy("state", "k").agg(F.sum("v").alias("v")).collect()
+        step = np.zeros_like(atoms)
+        for r in sums:
+            step[r.state, r.k] = r.v
+        norm = np.linalg.norm(step, axis=1, keepdims=True)
+        atoms = np.where(norm > 0, step / np.where(norm > 0, norm, 1.0), atoms)
+    features.unpersist()
+    if first:
+        atoms = atoms * np.where(atoms[np.arange(n_states), np.abs(atoms).argmax(1)] < 0, -1.0, 1.0)[:, None]
+        atoms = atoms[np.lexsort(atoms.T[::-1])]
+    return features.sparkSession.createDataFrame([(k, a.tolist()) for k, a in enumerate(atoms)] if first else [], "state int, c array<double>")
+
+
+def ksvd_states(p: DataFrame, n_states: int = 5, rounds: int = 20, seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """K-SVD states of all subjects together: (subject, t, state, weight), atoms (state, c), and their outer products as state matrices."""
+    features = panel_features(p)
+    atoms = dictionary(features, n_states, rounds, seed)
+    return encode_atoms(features, atoms), atoms, outer_states(atoms)
 
 
 def _best_restart(features: DataFrame, fits: int, one, schema: str, respect_subjects: bool) -> DataFrame:
@@ -220,6 +265,12 @@ def _best_restart(features: DataFrame, fits: int, one, schema: str, respect_subj
     return made.join(best, ["g", "seed"])
 
 
+def _gaussian_rows(rows: pd.DataFrame, n_states: int) -> tuple[pd.DataFrame, dict, np.ndarray]:
+    rows = rows.sort_values(["subject", "t"])
+    m = gaussian_hmm(np.stack(rows["f"].to_list()), n_states, int(rows["seed"].iloc[0]))
+    return rows, m, np.lexsort(m["means"].T[::-1])
+
+
 def gaussian_hmm_states(p: DataFrame, n_states: int = 5, restarts: int = 20, respect_subjects: bool = False) -> DataFrame:
     """(subject, t, state, score): Viterbi labels of a Gaussian HMM with full covariances, best of several restarts.
 
@@ -227,15 +278,24 @@ def gaussian_hmm_states(p: DataFrame, n_states: int = 5, restarts: int = 20, res
     """
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["subject", "t"])
-        x = np.stack(rows["f"].to_list())
-        m = gaussian_hmm(x, n_states, int(rows["seed"].iloc[0]))
-        order = np.lexsort(m["means"].T[::-1])
+        rows, m, order = _gaussian_rows(rows, n_states)
         return rows[["g", "seed", "subject", "t"]].assign(state=np.argsort(order)[m["labels"]], score=m["score"])
 
     return _best_restart(panel_features(p), restarts, one, "g long, seed int, subject long, t long, state int, score double", respect_subjects).select("subject", "t", "state", "score")
 
 
+def gaussian_hmm_matrices(p: DataFrame, n_states: int = 5, restarts: int = 20) -> DataFrame:
+    """(state, i, j, w): the states' covariances, i <= j as places of regions, of the fit that gaussian_hmm_states() takes without respect_subjects."""
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, m, order = _gaussian_rows(rows, n_states)
+        covs = m["covs"][order]
+        a, b = np.triu_indices(covs.shape[1])
+        return pd.DataFrame({"g": 0, "seed": rows["seed"].iloc[0], "state": np.repeat(np.arange(len(covs)), len(a)), "i": np.tile(a, len(covs)), "j": np.tile(b, len(covs)), "w": covs[:, a, b].ravel(), "score": m["score"]})
+
+    return _best_restart(panel_features(p), restarts, one, "g long, seed int, state int, i int, j int, w double, score double", False).select("state", "i", "j", "w")
+
+
 def discrete_hmm_states(p: DataFrame, n_states: int = 5, state_ratio: float = 0.6, subject_clusters: int = 5, size: int = 29, step: int = 15, shape: str = "gaussian", std: float = 10.0, restarts: int = 20, n_init: int = 50, seed: int | None = 0) -> tuple[DataFrame, DataFrame]:
     """Categorical HMM over the labels of sliding_window_clustering: (subject, t, state) and mean matrices (state, i, j, w).
 

@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from chronomesh.functions import kernels, special
+from chronomesh.functions.stats import exact_medians
 from chronomesh.operators import dynamic, edges, panel, phase, recursive, states, static, wavelet
 from chronomesh.operators import graph_measures as gm
 from chronomesh.operators import graph_paths as gp
@@ -117,6 +118,50 @@ def test_dcc_recovers_correlation(spark):
     assert mean(0, 1) > 0.7 and abs(mean(0, 2)) < 0.25
 
 
+def test_dcc_times(spark):
+    """R_t holds the residuals of t, as computed by hand for two series; the likelihood's correlations don't."""
+    eps, r, a, b = np.array([[1.0, 2.0], [-1.0, 0.5]]), 0.5, 0.1, 0.6
+    s = np.array([[1.0, r], [r, 1.0]])
+    q0 = np.array([[0.3 + 0.1 * 1 + 0.6, 0.5 * 0.3 + 0.1 * 2 + 0.6 * 0.5], [0, 0.3 + 0.1 * 4 + 0.6]])
+    first = q0[0, 1] / math.sqrt(q0[0, 0] * q0[1, 1])
+    q1 = [0.3 + 0.1 * q0[0, 0] + 0.6 * q0[0, 0], 0.5 * 0.3 - 0.1 * 0.5 * math.sqrt(q0[0, 0] * q0[1, 1]) + 0.6 * q0[0, 1], 0.3 + 0.1 * 0.25 * q0[1, 1] + 0.6 * q0[1, 1]]
+    got = recursive.dcc_recursion(eps, s, a, b)
+    assert np.allclose(got[:, 0, 1], [first, q1[1] / math.sqrt(q1[0] * q1[2])]) and np.allclose(got[:, 0, 0], 1)
+    assert np.allclose(recursive.dcc_forecasts(eps, s, a, b)[:, 0, 1], [0.5, first])
+
+
+def test_dcc_parameters(spark):
+    x = RNG.standard_normal((80, 3)) * (1 + np.abs(np.sin(np.arange(80) / 9)))[:, None]
+    residuals = recursive.garch_residuals(array_panel(spark, x))
+    theta = {r.roi: (r.omega, r.alpha, r.beta) for r in recursive.garch_parameters(residuals).collect()}
+    assert len(theta) == 3 and all(min(v) >= 0 and v[1] + v[2] < 1 for v in theta.values())
+    for r in residuals.filter("t = 1").collect():
+        own = x[:, r.roi] - x[:, r.roi].mean()
+        assert math.isclose(r.sd**2, theta[r.roi][0] + theta[r.roi][1] * own[0] ** 2 + theta[r.roi][2] * np.mean(own**2), rel_tol=1e-9)
+    ab = recursive.dcc_parameters(residuals).first()
+    assert ab.a >= 0 and ab.b >= 0 and ab.a + ab.b < 1
+    free, fixed = (cube(recursive.dynamic_conditional_correlation(array_panel(spark, x), t)) for t in (None, (ab.a, ab.b)))
+    assert all(math.isclose(free[k], fixed[k], abs_tol=1e-9) for k in free)
+
+
+def test_wavelet_smoothing_over_scales():
+    _, step = wavelet.scales(0.007, 0.15, 15)
+    assert np.allclose(wavelet.scale_window(step), np.array([1, 2, 2, 1]) / 6)
+    assert np.allclose(wavelet.scale_window(0.6), [0.5, 0.5]) and np.allclose(wavelet.scale_window(0.4), [0.25, 0.5, 0.25]) and np.allclose(wavelet.scale_window(5), [1])
+    w = np.zeros((8, 64))
+    w[4] = 1.0  # constant in time: only neighbouring scales see it
+    for step in (0.316, 0.4, 5.0):
+        made, box = wavelet.smooth(w, 1.0, np.full(8, 2.0), step)[:, 30], wavelet.scale_window(step)
+        assert np.allclose(made, np.convolve(w[:, 30], box)[(len(box) - 1) // 2 :][:8])
+
+
+def test_coherence_by_scale(spark):
+    x = RNG.standard_normal((120, 2))
+    rows = wavelet.coherence_by_scale(array_panel(spark, np.column_stack([x, x[:, 0]])), 1.0, 0.05, 0.4, 6).collect()
+    assert len(rows) == 3 * 6 * 120 and all(0 <= r.c <= 1 for r in rows)
+    assert all(math.isclose(r.c, 1, abs_tol=1e-6) for r in rows if (r.i, r.j) == (0, 2))
+
+
 def test_wavelet_coherence_of_equal_series():
     s, step = wavelet.scales(0.01, 0.15, 12)
     w = wavelet.transform(RNG.standard_normal(256), 1.0, s)
@@ -187,12 +232,60 @@ def test_states_find_planted_clusters(spark):
     labels = np.repeat([0, 1, 0, 1], 25)
     x = np.stack([np.array([[3, 0, 0], [0, 3, -3]])[labels] + 0.2 * rng.standard_normal((100, 3)) for _ in range(3)])
     df = array_panel(spark, x)
-    for found in (states.coactivation_patterns(df, 2, 2, n_init=3)[0], states.gaussian_hmm_states(df, 2, 2), states.ksvd_states(df, 2)):
+    for found in (states.coactivation_patterns(df, 2, 2, n_init=3)[0], states.gaussian_hmm_states(df, 2, 2), states.ksvd_states(df, 2)[0]):
         got = {(r.subject, r.t): r.state for r in found.collect()}
         same = np.mean([got[s, t] == labels[t] for s, t in got])
         assert max(same, 1 - same) > 0.97 and len(got) == 300
 
 
+def test_dictionary_is_pooled_over_subjects(spark):
+    """Subjects that see one pattern each share a dictionary: equal states mean equal patterns."""
+    rng = np.random.default_rng(2)
+    a, b = np.array([3.0, 0, 1]), np.array([0, -2.0, 2])
+    shown = [[a] * 40, [b] * 40, [a] * 20 + [b] * 20]
+    x = np.stack([np.array(rows) * rng.choice([-1, 1], (40, 1)) + 0.05 * rng.standard_normal((40, 3)) for rows in shown])
+    found, atoms, matrices = states.ksvd_states(array_panel(spark, x), 2)
+    got = {(r.subject, r.t): (r.state, r.weight) for r in found.collect()}
+    first = {got[0, t][0] for t in range(40)}
+    assert len(first) == 1 and {got[1, t][0] for t in range(40)} == {0, 1} - first
+    assert {got[2, t][0] for t in range(20)} == first and not {got[2, t][0] for t in range(20, 40)} & first
+    learned = {r.state: np.array(r.c) for r in atoms.collect()}
+    k = first.pop()
+    assert abs(abs(learned[k] @ a) / np.linalg.norm(a) - 1) < 1e-3 and abs(abs(learned[1 - k] @ b) / np.linalg.norm(b) - 1) < 1e-3
+    assert all(math.isclose(w, learned[z] @ x[s, t], abs_tol=1e-9) for (s, t), (z, w) in got.items())
+    assert all(math.isclose(r.w, learned[r.state][r.i] * learned[r.state][r.j]) for r in matrices.collect())
+
+
+def test_two_level_inertia_is_that_of_the_centroids(spark):
+    rng = np.random.default_rng(3)
+    x = np.stack([np.repeat([[0.9, 0.1, 0.2], [0.1, 0.8, -0.3]], 15, axis=0) + 0.1 * rng.standard_normal((30, 3)) for _ in range(3)])
+    rows = [(s, t, i, j, float(x[s, t, k])) for s in range(3) for t in range(30) for k, (i, j) in enumerate([(0, 1), (0, 2), (1, 2)])]
+    df = spark.createDataFrame(rows, "subject long, t long, i long, j long, w double")
+    got = states.kmeans_cluster(df, 2, "two_level", 2, n_init=4)
+    own = np.vstack([kernels.kmeans(x[s], 2, 4, 0)[0] for s in range(3)])
+    centres = np.array([r.c for r in got["centroids"].orderBy("state").collect()])
+    expect = ((own[:, None] - centres[None]) ** 2).sum(2).min(1).sum()
+    assert math.isclose(got["inertia"].first().inertia, expect, rel_tol=1e-9)
+    pooled = states.kmeans_cluster(df, 2, n_init=2)
+    centres, flat = np.array([r.c for r in pooled["centroids"].collect()]), x.reshape(-1, 3)
+    assert math.isclose(pooled["inertia"].first().inertia, ((flat[:, None] - centres[None]) ** 2).sum(2).min(1).sum(), rel_tol=1e-9)
+
+
+def test_hmm_covariances(spark):
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.multivariate_normal([4, 0], [[1, 0.8], [0.8, 1]], 150), rng.multivariate_normal([-4, 0], [[1, -0.5], [-0.5, 1]], 150)])
+    got = {(r.state, r.i, r.j): r.w for r in states.gaussian_hmm_matrices(array_panel(spark, x), 2, 2).collect()}
+    assert len(got) == 6 and abs(got[0, 0, 1] + 0.5) < 0.2 and abs(got[1, 0, 1] - 0.8) < 0.2 and abs(got[0, 0, 0] - 1) < 0.3
+
+
+def test_exact_medians(spark):
+    rng = np.random.default_rng(5)
+    groups = {"a": rng.normal(size=5001), "b": rng.integers(0, 3, 4000).astype(float), "c": np.array([7.0]), "d": np.array([1.0, 2.0]), "e": np.full(999, 5.0), "f": np.r_[np.zeros(500), np.ones(500)]}
+    rows = [(k, float(v)) for k, x in groups.items() for v in x] + [("a", None), ("none", None)]
+    got = {r.k: r.median for r in exact_medians(spark.createDataFrame(rows, "k string, x double"), ["k"], "x").collect()}
+    assert got == {k: float(np.median(x)) for k, x in groups.items()}
+
+
 def test_kmeans_is_seeded():
     x = np.vstack([RNG.normal(c, 0.1, (30, 2)) for c in (0, 3, 6)])
     a, b = kernels.kmeans(x, 3, 5, 1), kernels.kmeans(x, 3, 5, 1)
@@ -284,7 +377,7 @@ def test_centralities_and_modules():
     assert math.isclose(r.sum(), 1) and np.allclose(r, 0.15 / 12 / (0.15 / 12 + 0.85 * (M @ (r / M.sum(0)))).sum() + 0.85 * (M @ (r / M.sum(0))), atol=1e-3)
     blocks = np.kron(np.eye(2), np.ones((5, 5))) - np.eye(10) + 0.01
     assert len(set(gp.louvain(blocks)[:5])) == 1 and len(set(gp.louvain(blocks))) == 2
-    levels, balance = gp.spectral_levels(np.kron(np.eye(2), np.ones((4, 4))) + 0.1)
+    levels, balance, _ = gp.spectral_levels(np.kron(np.eye(2), np.ones((4, 4))) + 0.1)
     assert len(set(levels[0])) == 1 and len(set(levels[1])) == 2 and balance["h_bal"] == balance["h_int"] - balance["h_seg"]
 
 
@@ -300,6 +393,25 @@ def test_two_core(spark):
     for i, j in [(0, 1), (1, 2), (0, 2), (2, 3), (3, 4), (5, 6)]:
         m[i, j] = m[j, i] = 1
     assert {(r.i, r.j) for r in gm.two_core(prep.from_matrix(m, spark)).collect()} == {(0, 1), (1, 2), (0, 2)}
+    chain = np.diag(np.ones(24), 1)
+    assert gm.two_core(prep.from_matrix(chain + chain.T, spark)).count() == 0
+
+
+def test_backbone_of_equal_weights():
+    m = np.ones((5, 5)) - np.eye(5)
+    assert gp.in_rank(m)[:3] == [(3, 4), (2, 4), (2, 3)]
+    assert gp.spanning_tree(m) == [(3, 4), (2, 4), (1, 4), (0, 4)]
+    assert (gp.backbone(m, 2.4) != 0).sum() // 2 == 6
+
+
+def test_partition_levels(spark):
+    g = prep.from_matrix(np.kron(np.eye(2), np.ones((4, 4))) - np.eye(8) + 0.1 * (1 - np.eye(8)), spark)
+    modules, balance = gp.nested_partition(g)
+    rows = {r.level: r for r in gp.partition_levels(g).collect()}
+    assert rows[0].modules == 1 and rows[1].modules == 2 and rows[1].share == 0 and len(rows) == 8
+    b = balance.first()
+    assert math.isclose(b.h_int, rows[0].h / 8) and math.isclose(b.h_seg, sum(rows[k].h for k in range(1, 8)) / 8) and math.isclose(b.h_bal, b.h_int - b.h_seg)
+    assert modules.count() == 64
 
 
 def test_directed_participation_and_borders(spark):
