@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chronomesh.operators.graph_prep import Graph
 from chronomesh.operators.panel import scaffold
 
-DAYS, HOURS, MONTHS, DIMS = 30, 720, 83, 8
+DAYS, HOURS, MONTHS, DIMS = 30, 720, 83, 64
 
 
 def read(spark: SparkSession, d: str, table: str) -> DataFrame:
@@ -44,9 +44,9 @@ def monthly(spark: SparkSession, d: str) -> DataFrame:
 
 
 def embed(spark: SparkSession, d: str) -> DataFrame:
-    """Embeddings as series: subject is the label, time the place among its vectors, regions the first dimensions."""
+    """Embeddings as series: subject is the label, time the place among its vectors, regions its dimensions."""
     place = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
-    rows = read(spark, d, "embeddings").select(F.col("label").cast("long").alias("subject"), (place - 1).cast("long").alias("t"), F.slice("embedding", 1, DIMS).alias("e"))
+    rows = read(spark, d, "embeddings").select(F.col("label").cast("long").alias("subject"), (place - 1).cast("long").alias("t"), F.col("embedding").alias("e"))
     return rows.select("subject", "t", F.posexplode("e").alias("roi", "x")).select("subject", "t", F.col("roi").cast("long").alias("roi"), F.col("x").cast("double").alias("x"))
 
 
@@ -65,7 +65,7 @@ def trade(spark: SparkSession, d: str) -> Graph:
 
 
 def signed(spark: SparkSession, d: str) -> Graph:
-    """Correlations of the monthly panel's first twelve months' worth of nations as a signed graph."""
+    """Correlations of the monthly panel's nations as a signed graph."""
     from chronomesh.operators.static import pearson
 
     edges = pearson(monthly(spark, d)).select("subject", F.lit(0).cast("long").alias("t"), F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.coalesce(F.round("w", 6), F.lit(0.0)).alias("w"))
@@ -118,9 +118,10 @@ def corr_sql(n: str = "n", sx: str = "sx", sy: str = "sy", sxy: str = "sxy", sxx
     return f"case when {vx} > 1e-12 * {n} * {sxx} and {vy} > 1e-12 * {n} * {syy} then greatest(-1.0, least(1.0, ({n} * {sxy} - {sx} * {sy}) / sqrt({vx} * {vy}))) end"
 
 
-def with_(*names: str, body: str, recursive: bool = False, **more: str) -> str:
-    """body under the named fixtures and further expressions in order."""
-    parts = [f"{n} as ({SQL[n]})" for n in names] + [f"{n} as ({q})" for n, q in more.items()]
+def with_(*names: str, body: str, recursive: bool = False, once: bool = False, **more: str) -> str:
+    """body under the named fixtures and further expressions in order. once: each expression is evaluated once."""
+    held = "as materialized" if once else "as"
+    parts = [f"{n} {held} ({SQL[n]})" for n in names] + [f"{n} {held} ({q})" for n, q in more.items()]
     return f"with {'recursive ' if recursive else ''}{', '.join(parts)} {body}"
 
 

@@ -187,14 +187,71 @@ query("nsp_calibrate", with_("subj", h="select subject, t, sum(case when roi < '
     body=f"select subject, t, {r6('h_int')} h_int, {r6('h_seg')} h_seg, {r6('h_int - h_seg')} h_bal from c"))(
     lambda s, d: rounded(gp.calibrate(fx.subjects(s, d).groupBy("subject", "t").agg(F.sum(F.when(F.col("roi") < "m", F.col("x")).otherwise(0.0)).alias("h_int"), F.sum(F.when(F.col("roi") > "m", F.col("x")).otherwise(0.0)).alias("h_seg")), s.createDataFrame([(2.0, 1.5)], "h_int double, h_seg double")), "h_int", "h_seg", "h_bal")
 )
-query("eff_local_wei")(lambda s, d: rounded(gp.efficiency(_w(s, d), True), "efficiency"))
-query("betweenness_wei")(lambda s, d: rounded(gp.betweenness_centrality(_top(s, d, 0.2, prep.invert), True), "betweenness"))
+
+
+def _closure(first: str, join: str, name: str = "m", rounds: int = 5) -> dict[str, str]:
+    """Squarings of a path table: join forms paths of twice the length out of {x} (as x and y)."""
+    return {f"{name}{k}": join.replace("{x}", first if k == 1 else f"{name}{k - 1}") for k in range(1, rounds + 1)}
+
+
+_SHORTER = "select x.i, y.j, min(x.w + y.w) w from {x} x join {x} y on x.j = y.i group by all"
+_NEAR = {
+    "lo": "select b.i u, b.j a, cbrt(b.w) r from b",
+    "dm": "select x.u, x.a i, y.a j, case when x.a = y.a then 0.0 else coalesce(cbrt(1 / b.w), 1e300) end w from lo x join lo y on y.u = x.u left join b on b.i = x.a and b.j = y.a",
+    **_closure("dm", "select x.u, x.i, y.j, min(x.w + y.w) w from {x} x join {x} y on y.u = x.u and x.j = y.i group by all"),
+    "ef": "select m5.u, sum(case when m5.w < 1e299 then p.r * q.r / m5.w else 0.0 end) / (any_value(k) * (any_value(k) - 1)) q from m5 join lo p on p.u = m5.u and p.a = m5.i join lo q on q.u = m5.u and q.a = m5.j join k on k.i = m5.u where m5.i <> m5.j group by m5.u",
+}
+query("eff_local_wei", with_("trade", "nodes", **{x: _T[x] for x in ("e", "u", "b", "k")}, **_NEAR, once=True, body=f"select n.i, {r6('coalesce(q, 0.0)')} efficiency from nodes n left join ef on ef.u = n.i"))(
+    lambda s, d: rounded(gp.efficiency(_w(s, d), True).select("i", "efficiency"), "efficiency")
+)
+_WEIGHTED = {
+    "e": top_sql(0.2),
+    "b": "select i, j, 1.0 / w w from e union all select j, i, 1.0 / w from e",
+    "dm": "select a.i i, c.i j, case when a.i = c.i then 0.0 else coalesce(b.w, 1e300) end w from nodes a cross join nodes c left join b on b.i = a.i and b.j = c.i",
+    **_closure("dm", _SHORTER),
+    "st": "select m5.i s, b.i u, b.j v from m5 join b on b.i = m5.j join m5 n on n.i = m5.i and n.j = b.j where n.w < 1e299 and abs(m5.w + b.w - n.w) <= 1e-9",
+    "pa": "select i s, i v, 1.0::double c from nodes union all select pa.s, st.v, pa.c from pa join st on st.s = pa.s and st.u = pa.v",
+    "pn": "select s, v, sum(c) c from pa group by all",
+    "bt": "select x.v i, sum(x.c * y.c / z.c) q from pn x join pn y on y.s = x.v join pn z on z.s = x.s and z.v = y.v join m5 a on a.i = x.s and a.j = x.v join m5 c on c.i = x.v and c.j = y.v join m5 o on o.i = x.s and o.j = y.v where x.s <> x.v and x.v <> y.v and x.s <> y.v and abs(a.w + c.w - o.w) <= 1e-9 group by x.v",
+}
+query("betweenness_wei", with_("trade", "nodes", **_WEIGHTED, recursive=True, body=f"select n.i, {r6('coalesce(q, 0.0)')} betweenness from nodes n left join bt using (i)"))(
+    lambda s, d: rounded(gp.betweenness_centrality(_top(s, d, 0.2, prep.invert), True).select("i", "betweenness"), "betweenness")
+)
+_TREE = {
+    "e": top_sql(0.2),
+    "rk": "select i, j, w / max(w) over () w, row_number() over (order by w desc, i desc, j desc) r from e",
+    "dm": "select i, j, r from rk union all select j, i, r from rk union all select i, i, 0 from nodes",
+    **_closure("dm", "select x.i, y.j, min(greatest(x.r, y.r)) r from {x} x join {x} y on x.j = y.i group by all"),
+    "tr": "select rk.* from rk join m5 using (i, j) where rk.r = m5.r",
+    "re": "select *, row_number() over (order by r) q from rk where r not in (select r from tr)",
+}
+query("backbone", with_("trade", "nodes", **_TREE, body=f"select i, j, {r6('w')} w from tr union all select i, j, {r6('w')} from re where q <= 2 * (select count(*) from nodes) - (select count(*) from tr)"))(
+    lambda s, d: rounded(gp.backbone_edges(_w(s, d), 4).select("i", "j", "w"), "w")
+)
+
+
+def _sorted_weights(edges, *keys: str):
+    """The weights in descending order, whatever edges bear them."""
+    from pyspark.sql import Window
+
+    return edges.select(*keys, F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("w"))).cast("long").alias("place"), "w")
+
+
+def _ringed(s, edges):
+    far = F.least(F.col("j") - F.col("i"), F.lit(25) - (F.col("j") - F.col("i")))
+    kept = _sorted_weights(edges.filter(far <= 3))
+    return kept.withColumn("ring", F.lit("within 3"))
+
+
 query("swp")(lambda s, d: rounded(gp.small_world_propensity(_w(s, d)), "propensity", "delta_c", "delta_l", "alpha", "delta"))
 query("sigma")(lambda s, d: rounded(gp.small_world_sigma(_w(s, d)), "sigma"))
 query("randomise")(lambda s, d: prep.randomise(_w(s, d), 3))
 query("regular")(lambda s, d: gp.regular_lattice(_w(s, d), 3))
 query("louvain")(lambda s, d: gp.communities(_w(s, d)))
-query("backbone")(lambda s, d: gp.backbone_edges(_w(s, d), 4))
+query("regular_weights", t_sql(f"select row_number() over (order by w desc) place, {r6('w')} w, 'within 3' ring from u"))(
+    lambda s, d: rounded(_ringed(s, gp.regular_lattice(_w(s, d), 3)), "w")
+)
+query("nsp_partition")(lambda s, d: rounded(gp.partition_levels(fx.signed(s, d)).select("level", "modules", "share", "h"), "share", "h"))
 query("nsp")(lambda s, d: rounded(gp.nested_partition(fx.signed(s, d))[1], "h_int", "h_seg", "h_bal"))
 query("nsp_levels")(lambda s, d: gp.nested_partition(fx.signed(s, d))[0])
 

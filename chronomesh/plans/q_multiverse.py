@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronomesh.functions.stats import clean_zero
+from chronomesh.functions.stats import clean_zero, exact_medians
 from chronomesh.operators import multiverse as mv
 from chronomesh.plans import fixtures as fx
 from chronomesh.plans.fixtures import r6
 from chronomesh.plans.registry import query, rounded
+from chronomesh.sources.shared import stored
 
 DECISIONS = {
     "status": ["all", "F", "O", "P"],
@@ -41,13 +42,15 @@ def outcomes(s, d) -> DataFrame:
     top = ranked.groupBy(*keys).agg(F.collect_list(F.struct("v", "o_orderkey")).alias("top"))
     marked = rows.join(F.broadcast(top), keys)  # one row per group of decisions
     kept = marked.withColumn("trim", F.explode(F.when(F.array_contains("top", F.struct("v", "o_orderkey")), F.array(F.lit("none"))).otherwise(F.array(F.lit("none"), F.lit("drop3")))))
-    sums = kept.groupBy(*keys, "trim").agg(F.avg("v").alias("mean"), F.median("v").alias("median"), F.count("*").alias("n"))
+    sums = kept.groupBy(*keys, "trim").agg(F.avg("v").alias("mean"), F.count("*").alias("n"))
+    sums = sums.join(exact_medians(kept, [*keys, "trim"], "v"), [*keys, "trim"])
     long = sums.unpivot([*keys, "trim", "n"], ["mean", "median"], "agg", "outcome")
     return F.broadcast(space(s)).join(long, NAMES, "left").select("universe", *NAMES, F.round("outcome", 6).alias("outcome"), F.col("n").alias("n"))
 
 
 def results(s, d) -> DataFrame:
-    return outcomes(s, d).withColumn("bic", F.round(F.col("outcome") / 5000, 6))
+    """The outcomes, written once: what weighs and compares universes reads them several times."""
+    return stored(outcomes(s, d).withColumn("bic", F.round(F.col("outcome") / 5000, 6)), "outcomes")
 
 
 def _options(k: str) -> str:
@@ -125,11 +128,42 @@ _MLI = {
     "nr": "select universe, max(ch) err from (select *, min(dist) over (partition by universe) least from pr) where dist = least group by universe",
 }
 query("mv_mli", run_sql("select universe, round((max(err) over () - err) / (max(err) over () * count(*) over () - sum(err) over ()), 9) + 0.0 w from nr", **_MLI))(lambda s, d: mv.mli_weights(results(s, d), "outcome", NAMES).select("universe", clean_zero(F.col("w"), 9).alias("w")))
-query("mv_compare")(lambda s, d: mv.compare_integration(results(s, d), "outcome", NAMES, "bic", 10_000.0))
+_WEIGHTED = {
+    "wu": "select 'uniform' method, universe, outcome, 1.0 / count(*) over () w from res",
+    "wl": "select 'bma' method, universe, outcome, w from wt",
+    "wm": "select 'myh' method, universe, outcome, c / sum(c) over () w from cj",
+    "wn": "select 'myhn' method, universe, outcome, (max(c) over () - c) / (max(c) over () * count(*) over () - sum(c) over ()) w from cj",
+    "wi": "select 'mli' method, universe, outcome, (max(err) over () - err) / (max(err) over () * count(*) over () - sum(err) over ()) w from nr join res using (universe)",
+    "wa": "select * from wu union all select * from wl union all select * from wm union all select * from wn union all select * from wi",
+    "wr": "select *, sum(w) over (partition by method order by outcome, universe) cw, row_number() over (partition by method order by w, universe) k, max(w) over (partition by method) hw from wa",
+}
+
+
+def _figures(x: str) -> str:
+    return f"case when {x} = 0 then 0.0 else round_even({x} * pow(10.0, 2 - floor(log10(abs({x})))), 0) / pow(10.0, 2 - floor(log10(abs({x})))) end"
+
+
+query("mv_compare", run_sql(f"""select method, {_figures('median')} median, {_figures('mean')} mean, {_figures('gini')} gini, {_figures('hw')} highest_w, u highest_universe, {_figures('median')} - 10000.0 median_error, {_figures('mean')} - 10000.0 mean_error
+    from (select method, min(outcome) filter (where cw >= 0.5 - 1e-12) median, sum(w * outcome) mean, case when abs(g) < 1e-12 then 0.0 else g end gini, hw, case when n = 1 then u end u from
+    (select *, 2 * sum(k * w) over p / (count(*) over p * sum(w) over p) - (count(*) over p + 1) / count(*) over p g, count(*) filter (where hw - w < 1e-12) over p n, min(universe) filter (where hw - w < 1e-12) over p u from wr window p as (partition by method))
+    group by method, g, hw, n, u)""", **_BMA, **_MYH, **_MLI, **_WEIGHTED))(lambda s, d: mv.compare_integration(results(s, d), "outcome", NAMES, "bic", 10_000.0))
+query("mv_curves", run_sql(f"""select method, k, round(x, 4) + 0.0 x, round(sum(w * exp(-((x - outcome) / h) * ((x - outcome) / h) / 2)) / any_value(h * sqrt(2 * pi()) * sw), 9) + 0.0 density from
+    (select method, cast(k as integer) k, lo + (hi - lo) * k / 19.0 x, sw, sqrt((syy / sw - (sy / sw) * (sy / sw)) / (1 - sw2 / (sw * sw))) * pow(sw * sw / sw2, -0.2) h from
+    (select method, min(outcome) lo, max(outcome) hi, sum(w) sw, sum(w * w) sw2, sum(w * outcome) sy, sum(w * outcome * outcome) syy from wa group by method) cross join (select unnest(range(20)) k)) join wa using (method) group by method, k, x""", **_BMA, **_MYH, **_MLI, **_WEIGHTED))(
+    lambda s, d: mv.integration_curves(results(s, d), "outcome", NAMES, "bic", 20).select("method", "k", clean_zero(F.col("x"), 4).alias("x"), clean_zero(F.col("density"), 9).alias("density"))
+)
 query("mv_tstat", run_sql(f"select segment, count(*) n, round(avg(z), 3) + 0.0 mean, round(stddev_samp(z) / sqrt(count(*)), 3) + 0.0 sem, round(avg(z) / (stddev_samp(z) / sqrt(count(*))), 3) + 0.0 t from (select segment, outcome - 1000 z from res) group by segment"))(
     lambda s, d: rounded(mv.t_test(results(s, d).withColumn("z", F.col("outcome") - 1000), "z", ["segment"]), "mean", "sem", "t", digits=3)
 )
-query("mv_tpvalues")(lambda s, d: rounded(mv.confidence_intervals(mv.t_p_values(mv.t_test(results(s, d).withColumn("z", F.col("outcome") - 1000), "z", ["segment"]))), "mean", "sem", "t", "p", "low", "high"))
+#: Student's t with an odd number of degrees f has a closed form: P(|T| <= t) = 2 / pi (a + sin a (cos a + 2/3 cos^3 a + ..)), tan a = t / sqrt(f).
+_WITHIN = "2 / pi() * (atan({t} / sqrt(f)) + case when f > 1 then sin(atan({t} / sqrt(f))) * list_sum(list_transform(range(0, cast((f - 1) / 2 as bigint)), lambda m: exp(list_sum(list_transform(range(0, m + 1), lambda q: case when q = 0 then 0.0 else ln(2.0 * q) - ln(2.0 * q + 1) end))) * pow(cos(atan({t} / sqrt(f))), 2 * m + 1))) else 0.0 end)"
+_TESTS = {
+    "te": "select segment, count(*) n, avg(z) mean, stddev_samp(z) / sqrt(count(*)) sem, count(*) - 1.0 f from (select segment, outcome - 1000 z from res) group by segment",
+    "bi": f"select segment, n, mean, sem, f, 0.0::double lo, 64.0::double hi, 0 k from te union all select segment, n, mean, sem, f, case when {_WITHIN.format(t='((lo + hi) / 2)')} < 0.95 then (lo + hi) / 2 else lo end, case when {_WITHIN.format(t='((lo + hi) / 2)')} < 0.95 then hi else (lo + hi) / 2 end, k + 1 from bi where k < 50",
+}
+query("mv_tpvalues", run_sql(f"select segment, n, {r6('mean')} mean, {r6('sem')} sem, {r6('mean / sem')} t, {r6('1 - ' + _WITHIN.format(t='abs(mean / sem)'))} p, round(mean - lo * sem, 4) + 0.0 low, round(mean + lo * sem, 4) + 0.0 high from bi where k = 50", **_TESTS).replace("with ", "with recursive ", 1))(
+    lambda s, d: rounded(rounded(mv.confidence_intervals(mv.t_p_values(mv.t_test(results(s, d).withColumn("z", F.col("outcome") - 1000), "z", ["segment"]))), "mean", "sem", "t", "p"), "low", "high", digits=4)
+)
 _RANK = {"rr": "select *, row_number() over (order by outcome, universe) rank from res"}
 query("mv_speccurve", run_sql("select rank, universe, outcome, outcome > 1000 significant from rr", **_RANK))(lambda s, d: mv.specification_curve(results(s, d), "outcome", NAMES, F.col("outcome") > 1000)[0])
 query("mv_specpanel", run_sql(" union all ".join(f"select rank, '{c}' decision, {c} as value from rr" for c in NAMES), **_RANK))(lambda s, d: mv.specification_curve(results(s, d), "outcome", NAMES)[1])

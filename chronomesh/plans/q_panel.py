@@ -27,18 +27,17 @@ query("panel_discard", with_("daily", body=f"select subject, t - 5 t, roi, {r6('
 query("panel_shapes", with_("subj", body="select subject, count(distinct t) times, count(distinct roi) rois, count(x) = count(distinct t) * count(distinct roi) complete from subj group by subject"))(lambda s, d: panel.check_shapes(fx.subjects(s, d)))
 
 
-def _vertices(s, d, below: int | None = 300):
-    """Monthly quantity by part (vertex), of all parts or of those whose key is below a limit; brands are parcels."""
+def _vertices(s, d):
+    """Monthly quantity by part (vertex); brands are parcels."""
     date = F.col("l_shipdate").cast("date")
     t = ((F.year(date) - 1995) * 12 + F.month(date) - 1).cast("long")
-    items = fx.read(s, d, "lineitem") if below is None else fx.read(s, d, "lineitem").filter(F.col("l_partkey") < below)
-    rows = items.groupBy(F.lit(0).cast("long").alias("subject"), t.alias("t"), F.col("l_partkey").alias("vertex")).agg(F.sum("l_quantity").alias("x"))
+    rows = fx.read(s, d, "lineitem").groupBy(F.lit(0).cast("long").alias("subject"), t.alias("t"), F.col("l_partkey").alias("vertex")).agg(F.sum("l_quantity").alias("x"))
     brand = F.substring_index("p_brand", "#", -1).cast("long")
     return rows, fx.read(s, d, "part").select(F.col("p_partkey").alias("vertex"), brand.alias("parcel")), fx.read(s, d, "part").select(brand.alias("parcel")).distinct().union(s.range(900, 901).toDF("parcel"))
 
 
 _VERTICES = {
-    "v": "select cast(0 as bigint) subject, (year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 t, l_partkey vertex, sum(l_quantity) x from lineitem where l_partkey < 300 group by all",
+    "v": "select cast(0 as bigint) subject, (year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 t, l_partkey vertex, sum(l_quantity) x from lineitem group by all",
     "z": "select subject, t, vertex, (x - avg(x) over w) / case when stddev_pop(x) over w = 0 then 1.0 else stddev_pop(x) over w end x from v window w as (partition by subject, vertex)",
     "a": "select p_partkey vertex, cast(split_part(p_brand, '#', 2) as bigint) parcel from part",
     "p": "select distinct parcel from a union all select 900",
@@ -47,7 +46,6 @@ query("parcellate_mean", with_(**_VERTICES, body=f"""select c.subject, c.t, p.pa
     left join (select subject, t, parcel, avg(x) x from z join a using (vertex) group by all) m on m.subject = c.subject and m.t = c.t and m.parcel = p.parcel"""))(
     lambda s, d: rounded(panel.parcellate(*_vertices(s, d)), "x")
 )
-query("parcellate_whole")(lambda s, d: rounded(panel.parcellate(*_vertices(s, d, None)), "x"))
 query("atlas_renumber", "select p_partkey vertex, coalesce(k, 0) parcel from part left join (select b, row_number() over (order by b) + 10 k from (select distinct cast(split_part(p_brand, '#', 2) as bigint) b from part) where b > 3) on b = cast(split_part(p_brand, '#', 2) as bigint)")(
     lambda s, d: panel.renumber(_vertices(s, d)[1], skip=3, offset=10)
 )
@@ -106,12 +104,19 @@ query("fc_ledoit_wolf", with_("subj", c="select subject, t, roi, x - avg(x) over
     body=f"select subject, i, j, {r6('(1 - least(beta, delta) / delta) * s + case when i = j then least(beta, delta) / delta * mu else 0.0 end')} w from s join z using (subject)"))(
     lambda s, d: rounded(static.covariance(fx.subjects(s, d), "LedoitWolf", diagonal=True), "w")
 )
-query("fc_partial3", with_("subj", u="select * from subj where roi in ('click', 'error', 'view')", p=pairs_sql("u"), s=f"select subject, i, j, {_SUMS} from p group by all", r=f"select subject, i, j, {corr_sql()} r from s",
-    k="select subject, max(case when i = 'click' and j = 'error' then r end) ab, max(case when i = 'click' and j = 'view' then r end) ac, max(case when i = 'error' and j = 'view' then r end) bc from r group by all",
-    body=f"""select subject, 'click' i, 'error' j, {r6('(ab - ac * bc) / sqrt((1 - ac * ac) * (1 - bc * bc))')} w from k union all
-    select subject, 'click', 'view', {r6('(ac - ab * bc) / sqrt((1 - ab * ab) * (1 - bc * bc))')} from k union all
-    select subject, 'error', 'view', {r6('(bc - ab * ac) / sqrt((1 - ab * ab) * (1 - ac * ac))')} from k"""))(
-    lambda s, d: rounded(static.partial(fx.subjects(s, d).filter("roi in ('click', 'error', 'view')")), "w")
+
+
+def _swept(variables: int) -> dict[str, str]:
+    """Sweeps of a covariance table (subject, i, j, v) with places 1.. on all variables in turn: what is left is minus the inverse."""
+    step = """select a.subject, a.i, a.j, case when a.i = {k} and a.j = {k} then -1 / d.v when a.i = {k} or a.j = {k} then a.v / d.v else a.v - b.v * c.v / d.v end v
+        from {x} a join {x} d on d.subject = a.subject and d.i = {k} and d.j = {k} join {x} b on b.subject = a.subject and b.i = a.i and b.j = {k} join {x} c on c.subject = a.subject and c.i = {k} and c.j = a.j"""
+    return {f"w{k}": step.format(k=k, x=f"w{k - 1}") for k in range(1, variables + 1)}
+
+
+query("fc_partial", with_("subj", nm="select roi, row_number() over (order by roi) k from (select distinct roi from subj)", r="select subject, t, k, x from subj join nm using (roi)",
+    w0="select a.subject, a.k i, b.k j, covar_samp(a.x, b.x) v from r a join r b on a.subject = b.subject and a.t = b.t group by all", **_swept(5), once=True,
+    body=f"select a.subject, p.roi i, q.roi j, {r6('a.v / sqrt(d.v * e.v)')} w from w5 a join w5 d on d.subject = a.subject and d.i = a.i and d.j = a.i join w5 e on e.subject = a.subject and e.i = a.j and e.j = a.j join nm p on p.k = a.i join nm q on q.k = a.j where a.i < a.j"))(
+    lambda s, d: rounded(static.partial(fx.subjects(s, d)), "w")
 )
 
 # --- windows ---
@@ -178,8 +183,8 @@ query("leida_v1", with_("daily", **_phase("daily", fx.DAYS), **_LEIDA, body=f"se
 _ETS = {"z": "select subject, t, roi, (x - avg(x) over w) / stddev_samp(x) over w x from embed window w as (partition by subject, roi)", "p": pairs_sql("z"), "e": f"select {PAIRS}, x * y w from p"}
 query("edge_ts", with_("embed", **_ETS, body=f"select {PAIRS}, {r6('w')} w from e"))(lambda s, d: rounded(edges.edge_series(fx.embed(s, d)), "w"))
 query("edge_rms", with_("embed", **_ETS, body=f"select subject, t, {r6('sqrt(avg(w * w))')} rms from e group by all"))(lambda s, d: rounded(edges.edge_rms(edges.edge_series(fx.embed(s, d))), "rms"))
-query("edge_fc", with_("embed", **_ETS, body=f"""select a.subject, a.i i1, a.j j1, b.i i2, b.j j2, {r6('sum(a.w * b.w) / sqrt(sum(a.w * a.w) * sum(b.w * b.w))')} w
-    from e a join e b on a.subject = b.subject and a.t = b.t and (a.i, a.j) < (b.i, b.j) group by all"""))(lambda s, d: rounded(edges.edge_connectivity(edges.edge_series(fx.embed(s, d))), "w"))
+query("edge_fc", with_("subj", **{k: v.replace("embed", "subj") for k, v in _ETS.items()}, body=f"""select a.subject, a.i i1, a.j j1, b.i i2, b.j j2, {r6('sum(a.w * b.w) / sqrt(sum(a.w * a.w) * sum(b.w * b.w))')} w
+    from e a join e b on a.subject = b.subject and a.t = b.t and (a.i, a.j) < (b.i, b.j) group by all"""))(lambda s, d: rounded(edges.edge_connectivity(edges.edge_series(fx.subjects(s, d))), "w"))
 query("edge_labels", with_("daily", body="select distinct a.roi i, b.roi j, a.roi || '–' || b.roi as label from daily a join daily b on a.roi < b.roi"))(lambda s, d: edges.edge_labels(edges.edge_series(fx.daily(s, d))))
 query("edges_lower", with_("daily", **_static("daily"), body=f"select j i, i j, {r6(corr_sql())} w from s"))(lambda s, d: rounded(edges.lower_triangle(static.pearson(fx.daily(s, d))).drop("subject"), "w"))
 query("edges_mirrored", with_("daily", **_static("daily"), c=f"select i, j, {r6(corr_sql())} w from s", body="select i, j, w from c union all select j, i, w from c union all select distinct roi, roi, 1.0 from daily"))(
@@ -203,12 +208,14 @@ query("garch_filter", with_("daily", g="select t, roi, x, avg(x * x) over (parti
     body="select cast(0 as bigint) subject, t, roi, round(h, 3) + 0.0 h from h"))(lambda s, d: rounded(recursive.garch_filter(fx.daily(s, d), _THETA), "h", digits=3))
 _Z3 = "select t, roi, (x - avg(x) over w) / stddev_samp(x) over w x from daily window w as (partition by roi)"
 query("dcc_filter", with_("daily", z=_Z3, p="select a.t, a.roi i, b.roi j, a.x, b.x y from z a join z b on a.t = b.t and a.roi <= b.roi", c="select i, j, corr(x, y) s from p group by all",
-    u="select t, i, j, s, x, y, s q from p join c using (i, j) where t = 0", own="select i roi, t, x from p where i = j",
-    dg="""select t, i roi, 1e0 q, x from p where t = 0 and i = j union all select p.t, p.i, 1e0 * (1 - 0.05 - 0.9) + 0.05 * dg.x * dg.x * dg.q + 0.9 * dg.q, p.x from dg join p on p.t = dg.t + 1 and p.i = p.j and p.i = dg.roi""",
-    rec="""select t, i, j, s, x, y, q from u union all select p.t, r.i, r.j, r.s, p.x, p.y, r.s * (1 - 0.05 - 0.9) + 0.05 * r.x * sqrt(di.q) * r.y * sqrt(dj.q) + 0.9 * r.q
+    u="select t, i, j, s, s * (1 - 0.05 - 0.9) + 0.05 * x * y + 0.9 * s q from p join c using (i, j) where t = 0",
+    dg="""select t, i roi, (1 - 0.05 - 0.9) + 0.05 * x * x + 0.9 q from p where t = 0 and i = j union all select p.t, p.i, 1e0 * (1 - 0.05 - 0.9) + 0.05 * p.x * p.x * dg.q + 0.9 * dg.q from dg join p on p.t = dg.t + 1 and p.i = p.j and p.i = dg.roi""",
+    rec="""select t, i, j, s, q from u union all select p.t, r.i, r.j, r.s, r.s * (1 - 0.05 - 0.9) + 0.05 * p.x * sqrt(di.q) * p.y * sqrt(dj.q) + 0.9 * r.q
         from rec r join p on p.t = r.t + 1 and p.i = r.i and p.j = r.j join dg di on di.roi = r.i and di.t = r.t join dg dj on dj.roi = r.j and dj.t = r.t""", recursive=True,
     body=f"select cast(0 as bigint) subject, r.t, r.i, r.j, {r6('r.q / sqrt(di.q * dj.q)')} w from rec r join dg di on di.roi = r.i and di.t = r.t join dg dj on dj.roi = r.j and dj.t = r.t where r.i < r.j"))(
     lambda s, d: rounded(recursive.dcc_filter(panel.standardise(fx.daily(s, d), 1), 0.05, 0.9), "w")
 )
+query("dcc_parameters")(lambda s, d: rounded(recursive.dcc_parameters(recursive.garch_residuals(fx.subjects(s, d))), "a", "b", digits=3))
 query("dcc_fit")(lambda s, d: rounded(recursive.dynamic_conditional_correlation(fx.daily(s, d)), "w", "h", digits=4))
 query("wavelet")(lambda s, d: rounded(wavelet.wavelet_coherence(fx.hourly(s, d)), "w"))
+query("wavelet_scales")(lambda s, d: rounded(wavelet.coherence_by_scale(fx.daily(s, d), 1.0, 0.05, 0.4, 6), "period", "c"))

@@ -41,13 +41,13 @@ query("state_group_mean", with_("states", c=_CELLS, o="select subject, state, co
 
 
 def _centroids(s, d):
-    """Mean embedding of the first four labels as fixed centroids."""
-    rows = fx.embed(s, d).filter("subject < 4").groupBy("subject", "roi").agg(F.round(F.avg("x"), 6).alias("x"))
+    """Mean embedding of each label as fixed centroids."""
+    rows = fx.embed(s, d).groupBy("subject", "roi").agg(F.round(F.avg("x"), 6).alias("x"))
     return rows.groupBy(F.col("subject").cast("int").alias("state")).agg(F.transform(F.array_sort(F.collect_list(F.struct("roi", "x"))), lambda v: v["x"]).alias("c"))
 
 
 _NEAR = {
-    "c": "select cast(subject as integer) state, roi, round(avg(x), 6) x from embed where subject < 4 group by all",
+    "c": "select cast(subject as integer) state, roi, round(avg(x), 6) x from embed group by all",
     "q": "select e.subject, e.t, c.state, sum((e.x - c.x) * (e.x - c.x)) dd from embed e join c using (roi) group by all",
     "b": "select subject, t, arg_min(state, dd) state, sqrt(min(dd)) distance from q group by all",
 }
@@ -66,6 +66,18 @@ query("kmeans_pooled")(lambda s, d: states.kmeans_cluster(dynamic.sliding_window
 query("kmeans_two_level")(lambda s, d: states.kmeans_cluster(dynamic.sliding_window(_small(s, d), 7, 3), 3, "two_level", 3, n_init=10)["state_tc"])
 query("swc")(lambda s, d: states.sliding_window_clustering(_small(s, d), 3, 3, 9, 3, n_init=10)[0])
 query("cap")(lambda s, d: states.coactivation_patterns(_small(s, d), 3, 3, n_init=10)[0])
-query("ksvd")(lambda s, d: states.ksvd_states(_small(s, d), 3).drop("atom"))
+query("ksvd")(lambda s, d: rounded(states.ksvd_states(_small(s, d), 3)[0], "weight", digits=4))
+query("ksvd_atoms")(lambda s, d: rounded(states.ksvd_states(_small(s, d), 3)[1].select("state", F.posexplode("c").alias("place", "c")), "c", digits=4))
+
+
+def _atoms(s, d):
+    """The labels' mean embeddings, scaled to unit length, as a fixed dictionary."""
+    norm = F.sqrt(F.aggregate("c", F.lit(0.0), lambda a, x: a + x * x))
+    return _centroids(s, d).select("state", F.transform("c", lambda x: F.round(x / norm, 6)).alias("c"))
+
+
+query("ksvd_encode", with_("embed", c=_NEAR["c"], a="select state, roi, round(x / sqrt(sum(x * x) over (partition by state)), 6) x from c", q="select e.subject, e.t, a.state, sum(e.x * a.x) v from embed e join a using (roi) group by all",
+    body=f"select subject, t, arg_max(state, abs(v)) state, {r6('arg_max(v, abs(v))')} weight from q group by subject, t"))(lambda s, d: rounded(states.encode_atoms(states.panel_features(fx.embed(s, d)), _atoms(s, d)), "weight"))
 query("ghmm")(lambda s, d: rounded(states.gaussian_hmm_states(_small(s, d), 3, 4), "score", digits=3))
+query("ghmm_covariances")(lambda s, d: rounded(states.gaussian_hmm_matrices(_small(s, d), 3, 4), "w", digits=2))
 query("dhmm")(lambda s, d: states.discrete_hmm_states(_small(s, d), 3, 1.0, 3, 9, 3, restarts=4, n_init=5)[0])

@@ -181,3 +181,9 @@ def list_scans(paths: DataFrame, subject: str | None = None, task: str | None =
 def scan_directory(spark: SparkSession, path: str) -> DataFrame:
     """(path) of all files below a directory; contents are not read."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+
+
+def read_props(rows: DataFrame, column: str, schema: str) -> DataFrame:
+    """rows with the JSON text in a column replaced by the fields of a schema (`k long, ..`); what is missing or malformed is null."""
+    fields = [f.split()[0] for f in schema.split(",")]
+    return rows.withColumn("_props", F.from_json(column, schema)).drop(column).select("*", *[F.col(f"_props.{f}").alias(f) for f in fields]).drop("_props")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from chronomesh.functions.stats import corr_from_sums
+from chronomesh.sources.shared import fresh_path
 
 
 def bucketed(events: DataFrame, bucket: str = "1 hour", watermark: str = "1 day", ts: str = "ts", roi: str = "event_type", value: str = "value") -> DataFrame:
@@ -75,8 +76,22 @@ def online_runs(events: DataFrame, user: str = "user_id", ts: str = "ts", state:
     return typed.withWatermark("ts", watermark).groupBy("user").applyInPandasWithState(step, RUNS, "state string, first string, n long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Process all that a stream's source holds now into an in-memory table of the driver, and return it; for small results."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Process all that a stream's source holds now into Parquet in the shared folder, and return that table.
+
+    append: each micro-batch adds its rows under its own number, so one that is run again replaces what it wrote.
+    complete: the last micro-batch's rows are the result.
+    """
+    spark, schema = stream.sparkSession, stream.schema
+    path = fresh_path(spark, "stream")
+    last: list[int] = []
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/rows/{batch:08d}")
+        last.append(batch)
+
+    query = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    if not last:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/rows/{max(last):08d}" if mode == "complete" else f"{path}/rows/*")

@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pytest
 
-from chronomesh.sources import readers, writers
+from chronomesh.sources import readers, shared, writers
 from chronomesh.streaming import online
 
 
@@ -77,5 +77,20 @@ def test_online_runs_over_batches(spark, tmp_path):
     for part in (rows[:3] + rows[5:6], rows[3:5] + rows[6:]):
         spark.createDataFrame(part, "user_id long, ts string, event_type string").selectExpr("user_id", "cast(ts as timestamp) ts", "event_type").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("user_id long, ts timestamp, event_type string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = online.run_available(online.online_runs(stream), "runs_test")
+    got = online.run_available(online.online_runs(stream))
     assert sorted((r.user, r.state, r.length) for r in got.collect()) == [(1, "a", 2), (1, "b", 2), (2, "c", 1)]
+
+
+def test_json_fields(spark):
+    df = spark.createDataFrame([(1, '{"k": 3, "z": "x"}'), (2, "{}"), (3, None), (4, "no json")], "i int, props string")
+    assert [(r.i, r.k) for r in readers.read_props(df, "props", "k long").orderBy("i").collect()] == [(1, 3), (2, None), (3, None), (4, None)]
+
+
+def test_shared_folder_is_required_on_a_cluster(spark):
+    class Session:
+        conf, sparkContext = type("Conf", (), {"get": staticmethod(lambda *a: None)}), type("Context", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError):
+        shared.shared_folder(Session())
+    path = shared.fresh_path(spark, "x")
+    assert path.startswith(shared.shared_folder(spark) + "/x-")
