@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,6 +118,44 @@ def border_edges(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return each.join(a, "i").join(b, "j").filter("la <> lb").select("i", "j")
 
 
+def polylines(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys.., line, place, i): undirected edges (keys.., i, j) as lines that each pass an edge once.
+
+    Lines end where other than two edges meet; what has no such end is a ring, which starts and ends at its smallest node.
+    Lines are numbered by their first edge. A key's edges are one kernel's; repeated edges and loops count once or not.
+    """
+    kind = edges.schema["i"].dataType.simpleString()
+    types = ", ".join(f"{k} {edges.schema[k].dataType.simpleString()}" for k in keys)
+
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        beside: dict = {}
+        for i, j in sorted({(min(a, b), max(a, b)) for a, b in zip(rows["i"], rows["j"]) if a != b}):
+            beside.setdefault(i, []).append(j)
+            beside.setdefault(j, []).append(i)
+        open_ = {(a, b) for a, near in beside.items() for b in near}
+        ends = [n for n in sorted(beside) if len(beside[n]) != 2]
+        lines = []
+        for start in [*ends, *sorted(beside)]:  # rings have no end and come last
+            for nxt in sorted(beside[start]):
+                if (start, nxt) not in open_:
+                    continue
+                line = [start]
+                while (line[-1], nxt) in open_:
+                    open_ -= {(line[-1], nxt), (nxt, line[-1])}
+                    line.append(nxt)
+                    if len(beside[nxt]) != 2:
+                        break
+                    nxt = next(n for n in beside[nxt] if n != line[-2])
+                lines.append(line)
+        out = pd.DataFrame([(k, p, n) for k, line in enumerate(lines) for p, n in enumerate(line)], columns=["line", "place", "i"])
+        for place, k in enumerate(keys):
+            out.insert(place, k, rows[k].iloc[0])
+        return out
+
+    by = edges.groupBy(*keys) if keys else edges.withColumn("_all", F.lit(0)).groupBy("_all")
+    return by.applyInPandas(walk, f"{types}{', ' * bool(types)}line int, place int, i {kind}")
+
+
 def participation_signed(g: Graph, labels: DataFrame) -> DataFrame:
     """(keys.., i, positive, negative): participation over the positive and over the negative weights."""
     parts = []

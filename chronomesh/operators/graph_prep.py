@@ -99,11 +99,18 @@ def normalise(g: Graph) -> DataFrame:
     return g.with_w(F.col("w") / F.when(top > 0, top).otherwise(F.raise_error(F.lit("all weights are zero")).cast("double")))
 
 
-def minmax_scale(g: Graph, low: float = 0.0, high: float = 1.0) -> DataFrame:
-    """Finite weights of all pairs scaled into low..high; a constant graph becomes low. Absent pairs take part as zeros."""
+def minmax_scale(g: Graph, low: float = 0.0, high: float = 1.0, diagonal: float | None = None) -> DataFrame:
+    """Finite weights of all pairs scaled into low..high; a constant graph becomes low. Absent pairs take part as zeros.
+
+    diagonal: the diagonal's value, if it is to take part in the least and the largest weight.
+    """
+    if not high > low:
+        raise ValueError("high must lie above low")
     full = Graph(g.all_pairs(), g.nodes, g.keys)
     finite = F.when(~F.isnan("w") & (F.abs("w") != float("inf")), F.col("w"))
     a, b = F.min(finite).over(g.over()), F.max(finite).over(g.over())
+    if diagonal is not None:
+        a, b = F.least(a, F.lit(float(diagonal))), F.greatest(b, F.lit(float(diagonal)))
     scaled = F.when(a == b, F.lit(low)).otherwise(F.lit(low) + (F.col("w") - a) / F.when(a == b, F.lit(1.0)).otherwise(b - a) * (high - low))
     return full.with_w(F.when(finite.isNotNull(), scaled).otherwise(F.col("w")))
 
@@ -136,6 +143,20 @@ def randomise(g: Graph, seed: int = 0) -> DataFrame:
     return places.join(weights, [*g.keys, "place"]).filter("w <> 0").select(*g.keys, "i", "j", "w")
 
 
+def from_directed(directed: DataFrame, keys: list[str], tolerance: float = 1e-8) -> DataFrame:
+    """(keys.., i, j, w) with i < j of a matrix whose both triangles are given; one that isn't symmetric raises an error.
+
+    Loops are left out, absent and NaN entries count as 0. Weights of both directions may differ by the tolerance, and by
+    1e-5 of their size.
+    """
+    clean = F.when(F.isnan("w") | F.col("w").isNull() | (F.abs("w") == float("inf")), F.lit(0.0)).otherwise(F.col("w"))
+    upper = F.col("i") < F.col("j")
+    folded = directed.filter("i <> j").select(*keys, F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), F.when(upper, clean).otherwise(0.0).alias("up"), F.when(upper, 0.0).otherwise(clean).alias("down"))
+    both = folded.groupBy(*keys, F.col("a").alias("i"), F.col("b").alias("j")).agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    same = F.abs(F.col("up") - F.col("down")) <= tolerance + 1e-5 * F.abs("down")
+    return both.select(*keys, "i", "j", F.when(same, F.col("up")).otherwise(F.raise_error(F.lit("the matrix is not symmetric")).cast("double")).alias("w"))
+
+
 def postprocess(g: Graph, digits: int = 6) -> DataFrame:
     """NaN and infinite weights become 0, others are rounded."""
     bad = F.isnan("w") | (F.abs("w") == float("inf")) | F.col("w").isNull()

@@ -236,6 +236,27 @@ def confound_columns(names: list[str], strategy: list[str]) -> list[str]:
     return [n for n in names if wanted and n.startswith(wanted)]
 
 
+def kept_times(confounds: DataFrame, shortest: int = 5) -> DataFrame:
+    """(subject, t) that scrubbing keeps: times that no `motion_outlier` or `non_steady_state` column of (subject, t, name, x)
+    marks, but for stretches of fewer than `shortest` times between marked ones."""
+    marks = F.max(F.when(F.col("name").rlike("^(motion_outlier|non_steady_state)"), F.abs("x")).otherwise(0.0)) > 0
+    times = confounds.groupBy("subject", "t").agg(marks.alias("out"))
+    before = F.sum(F.col("out").cast("int")).over(Window.partitionBy("subject").orderBy("t"))
+    good = times.withColumn("stretch", before).filter("not out")
+    length = F.count("*").over(Window.partitionBy("subject", "stretch"))
+    return good.withColumn("length", length).filter(F.col("length") >= shortest).select("subject", "t")
+
+
+def scrub(p: DataFrame, confounds: DataFrame, shortest: int = 5) -> DataFrame:
+    """The panel without the times that kept_times() leaves out; times keep their numbers. Subjects without confounds lose all."""
+    return p.join(kept_times(confounds, shortest), ["subject", "t"], "left_semi")
+
+
+def demean(confounds: DataFrame) -> DataFrame:
+    """Confounds (subject, t, name, x) less their means; missing values don't count."""
+    return confounds.withColumn("x", F.col("x") - F.avg("x").over(Window.partitionBy("subject", "name")))
+
+
 def parcellate(vertex_ts: DataFrame, atlas: DataFrame, parcels: DataFrame, standardised: bool = True, agg: Callable[[Column], Column] = F.avg) -> DataFrame:
     """(subject, t, parcel, x): an aggregate of z-scored vertex values per parcel.
 
@@ -271,6 +292,17 @@ def renumber(atlas: DataFrame, skip: int = 0, offset: int = 0) -> DataFrame:
     return atlas.join(ranked, "parcel", "left").select("vertex", F.coalesce("to", F.lit(0)).cast("long").alias("parcel"))
 
 
+def combined_atlas(cortex: DataFrame, subcortex: DataFrame) -> DataFrame:
+    """(vertex, parcel) of two atlases over different vertices: subcortical parcels are numbered 1.. first, cortical ones follow.
+
+    Parcel 0, the background of either, stays 0. A vertex that both atlases name raises an error.
+    """
+    below = subcortex.filter("parcel > 0").agg(F.count_distinct("parcel").alias("below"))  # one row
+    upper = renumber(cortex).crossJoin(F.broadcast(below)).select("vertex", F.when(F.col("parcel") > 0, F.col("parcel") + F.col("below")).otherwise(0).cast("long").alias("parcel"))
+    both = renumber(subcortex).unionByName(upper).groupBy("vertex").agg(F.count("*").alias("n"), F.max("parcel").alias("parcel"))
+    return both.select("vertex", F.when(F.col("n") == 1, F.col("parcel")).otherwise(F.raise_error(F.lit("a vertex is in both atlases")).cast("long")).alias("parcel"))
+
+
 def networks(labels: DataFrame) -> DataFrame:
     """(label, network, network_id) from parcel labels `..networks_HEMI_NETWORK_..`; `-lh`/`-rh` labels are Subcortical, id 0.
 

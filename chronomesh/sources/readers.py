@@ -100,7 +100,7 @@ _MAT_TYPES = {1: "i1", 2: "u1", 3: "i2", 4: "u2", 5: "i4", 6: "u4", 7: "f4", 9:
 def parse_mat5(data: bytes) -> dict[str, np.ndarray]:
     """Numeric arrays of a MATLAB level 5 file by name; other variables are left out."""
     if data[:8] == b"\x89HDF\r\n\x1a\n" or b"MATLAB 7.3" in data[:128]:
-        raise ValueError("MATLAB 7.3 files are HDF5 and are not read")
+        return _parse_mat73(data)
     order = "<" if data[126:128] == b"IM" else ">"
 
     def element(buf: bytes, at: int) -> tuple[int, bytes, int]:
@@ -132,6 +132,24 @@ def parse_mat5(data: bytes) -> dict[str, np.ndarray]:
     return out
 
 
+def _parse_mat73(data: bytes) -> dict[str, np.ndarray]:
+    """Numeric arrays of a MATLAB 7.3 file, which is HDF5 with axes reversed. Needs h5py, which is not required otherwise."""
+    try:
+        import h5py
+    except ImportError as e:
+        raise ValueError("MATLAB 7.3 files are HDF5; reading them needs h5py") from e
+    with h5py.File(io.BytesIO(data), "r") as f:
+        return {k: np.asarray(v[()], float).T for k, v in f.items() if isinstance(v, h5py.Dataset) and v.dtype.kind in "iufb"}
+
+
+def read_notebook(spark: SparkSession, path: str) -> DataFrame:
+    """(cell, source): the code cells of a notebook file in order; other cells are left out, and so is a file without cells."""
+    text = spark.read.text(path, wholetext=True)
+    cells = F.from_json("value", "cells array<struct<cell_type: string, source: array<string>>>")["cells"]
+    rows = text.select(F.posexplode(cells).alias("cell", "c")).filter("c.cell_type = 'code'")
+    return rows.select("cell", F.array_join("c.source", "").alias("source"))
+
+
 def read_mat(spark: SparkSession, path: str, key: str | None = None) -> np.ndarray:
     """One array of a .mat file: key, or by priority dfc_data, graph_data, the last one."""
     found = parse_mat5(_bytes(spark, path))

@@ -424,6 +424,47 @@ def test_directed_participation_and_borders(spark):
     assert [(r.i, r.j) for r in gm.border_edges(mesh, labels.withColumnRenamed("module", "label")).collect()] == [(1, 2)]
 
 
+def test_polylines(spark):
+    edges = [(1, 2), (2, 3), (3, 4), (3, 5), (7, 6), (8, 7), (6, 8), (2, 1), (9, 9), (5, 10)]
+    rows = gm.polylines(spark.createDataFrame([("a", i, j) for i, j in edges], "k string, i long, j long"), ["k"]).collect()
+    lines = {}
+    for r in sorted(rows, key=lambda r: (r.line, r.place)):
+        lines.setdefault(r.line, []).append(r.i)
+    assert list(lines.values()) == [[1, 2, 3], [3, 4], [3, 5, 10], [6, 7, 8, 6]]
+    assert gm.polylines(spark.createDataFrame([], "i long, j long"), []).count() == 0
+
+
+def test_matrices_with_both_triangles(spark):
+    df = spark.createDataFrame([(0, 1, 2.0), (1, 0, 2.0 + 1e-9), (1, 1, 5.0), (1, 2, float("nan"))], "i long, j long, w double")
+    assert [(r.i, r.j, r.w) for r in prep.from_directed(df, []).orderBy("i").collect()] == [(0, 1, 2.0), (1, 2, 0.0)]
+    with pytest.raises(Exception, match="not symmetric"):
+        prep.from_directed(df.union(spark.createDataFrame([(2, 0, 1.0)], df.schema)), []).collect()
+    g = prep.from_matrix(np.array([[0, 2.0, 4], [2, 0, 6], [4, 6, 0]]), spark)
+    assert sorted(r.w for r in prep.minmax_scale(g).collect()) == [0, 0.5, 1]
+    assert np.allclose(sorted(r.w for r in prep.minmax_scale(g, diagonal=0.0).collect()), [1 / 3, 2 / 3, 1])
+    with pytest.raises(ValueError):
+        prep.minmax_scale(g, 1.0, 1.0)
+
+
+def test_scrubbing(spark):
+    marked = {3, 9, 10}
+    rows = [(0, t, "motion_outlier00", float(t in marked)) for t in range(20)] + [(0, t, "csf", 1.0 + t) for t in range(20)]
+    c = spark.createDataFrame(rows, "subject long, t long, name string, x double")
+    assert [r.t for r in panel.kept_times(c, 5).orderBy("t").collect()] == [*range(4, 9), *range(11, 20)]
+    assert [r.t for r in panel.kept_times(c, 1).orderBy("t").collect()] == [t for t in range(20) if t not in marked]
+    p = spark.createDataFrame([(0, t, 0, 1.0) for t in range(20)], "subject long, t long, roi long, x double")
+    assert panel.scrub(p, c, 6).count() == 9
+    assert math.isclose(sum(r.x for r in panel.demean(c).filter("name = 'csf'").collect()), 0, abs_tol=1e-9)
+
+
+def test_combined_atlas(spark):
+    cortex = spark.createDataFrame([(1, 0), (2, 5), (3, 9), (4, 9)], "vertex long, parcel long")
+    sub = spark.createDataFrame([(10, 2), (11, 7), (12, 0)], "vertex long, parcel long")
+    assert {r.vertex: r.parcel for r in panel.combined_atlas(cortex, sub).collect()} == {10: 1, 11: 2, 12: 0, 1: 0, 2: 3, 3: 4, 4: 4}
+    with pytest.raises(Exception, match="both atlases"):
+        panel.combined_atlas(cortex, sub.union(spark.createDataFrame([(2, 2)], sub.schema))).collect()
+
+
 def test_square_check(spark):
     with pytest.raises(ValueError):
         prep.from_matrix(np.zeros((2, 3)), spark)

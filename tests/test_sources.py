@@ -94,3 +94,8 @@ def test_shared_folder_is_required_on_a_cluster(spark):
         shared.shared_folder(Session())
     path = shared.fresh_path(spark, "x")
     assert path.startswith(shared.shared_folder(spark) + "/x-")
+
+
+def test_notebook_cells(spark, tmp_path):
+    (tmp_path / "n.ipynb").write_text('{"cells": [{"cell_type": "markdown", "source": ["# t"]}, {"cell_type": "code", "source": ["a = 1\\n", "b = 2"]}, {"cell_type": "code", "source": []}], "nbformat": 4}')
+    assert [(r.cell, r.source) for r in readers.read_notebook(spark, str(tmp_path / "n.ipynb")).collect()] == [(1, "a = 1\nb = 2"), (2, "")]
