@@ -26,7 +26,7 @@ LEAST_SEEN, LEAST_SEEN_GRAM = 2, 4
 #: Added to every count.
 PRIOR = 0.1
 #: Words whose backoff a worker remembers; what is forgotten is computed again.
-MEMO = 100_000
+MEMO = 20_000
 
 #: ((language, evidence), ...): log((n + PRIOR) / PRIOR) for the languages that have a unit; the others have none.
 Evidence = tuple[tuple[int, float], ...]
@@ -49,7 +49,7 @@ def words_of(text: str) -> list[str]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of words and of n-grams (of padded words) by language, one set of rows for each bounded slice."""
-    for batch in slices(batches, limit=8 << 20):
+    for batch in slices(batches, limit=2 << 20):
         words: dict[str, Counter] = {}
         for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
             words.setdefault(lang, Counter()).update(words_of(text))

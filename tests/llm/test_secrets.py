@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 from chronomesh.llm import secrets
 
@@ -77,3 +78,50 @@ def test_long_keys_in_ordinary_prose(spark):
         assert sum(found[i] == [k] for i, k in planted.items()) >= 0.8 * len(planted)
         red = {r.doc_id: r.text for r in secrets.redact(df).collect()}
         assert all((k in red[i]) == (not found[i]) for i, k in planted.items())
+
+
+def test_keys_beside_names_of_like_length():
+    """Keys of 24 to 64 characters among twice as many names: recall and false discoveries, without Spark."""
+    words = "the of a report was sent to every office in town and people who read it there said that most pages were about water prices for next year".split()
+    kept, drawn, false, finds = Counter(), Counter(), 0, 0
+    for seed in range(3):
+        rng = random.Random(seed)
+        forms = [lambda w: w[0] + "".join(x.capitalize() for x in w[1:]), "_".join, "/".join, "-".join, lambda w: w[0] + "".join(x.capitalize() for x in w[1:]) + str(rng.randrange(100))]
+        nulls, candidates, docs = Counter(), Counter(), []
+        for i in range(300):
+            w, key = rng.choices(words, k=rng.randint(40, 90)), None
+            if i % 6 == 0:
+                key = "".join(rng.choices(secrets.ALPHABETS[rng.choice(["base62", "base64", "base36"])], k=(24, 32, 40, 64)[i // 6 % 4]))
+                w.insert(rng.randrange(len(w)), key)
+            for _ in range(2):
+                w.insert(rng.randrange(len(w)), rng.choice(forms)(rng.choices(words, k=rng.randint(4, 8))))
+            text = " ".join(w)
+            found = secrets.spans_of(text, nulls)[1]
+            docs.append((text, key, found))
+            candidates.update((c, v) for _, _, c, v in found)
+        cut = secrets.thresholds(dict(secrets.fixed_nulls() + nulls), dict(candidates))
+        for text, key, found in docs:
+            got = {text[s:e] for s, e, c, v in found if v >= cut.get(c, secrets.BUCKETS + 1)}
+            if key:
+                drawn[len(key)] += 1
+                kept[len(key)] += key in got
+            finds, false = finds + len(got), false + len(got - {key})
+    assert sum(kept.values()) >= 0.9 * sum(drawn.values()) and kept[32] >= 0.88 * drawn[32] and kept[64] >= 0.95 * drawn[64]
+    assert false <= secrets.FALSE_DISCOVERY * finds
+
+
+def test_thresholds_against_plain_benjamini_hochberg():
+    rng = random.Random(9)
+    for _ in range(50):
+        nulls = Counter((0, rng.choice([10, 20, 30, 60, 90])) for _ in range(rng.randint(0, 200)))
+        found = Counter((0, rng.choice([20, 60, 90, 99])) for _ in range(rng.randint(1, 40)))
+        scores = sorted((s for (_, s), n in found.items() for _ in range(n)), reverse=True)
+        total = sum(nulls.values())
+        p = [(1 + sum(n for (_, s), n in nulls.items() if s >= x)) / (1 + total) for x in scores]
+        passing = [x for k, x in enumerate(scores) if p[k] <= 0.05 * sum(y >= x for y in scores) / len(scores)]
+        assert secrets.thresholds(nulls, found) == ({0: min(passing)} if passing else {})
+
+
+def test_runs_of_kinds():
+    assert secrets.kind_runs("aaaaBBBB1111aaaa", "base62") < 1e-3 < 0.5 < secrets.kind_runs("aB1aB1aB1aB1aB1a", "base62")
+    assert secrets.kind_runs("0123456789", "decimal") == 1.0

@@ -1,4 +1,7 @@
+import math
 import random
+import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -67,3 +70,33 @@ def test_whole_texts_are_judged():
     opening = "report of the town office to all people who read these pages " * 2
     assert toxicity.signature(opening + "one") != toxicity.signature(opening + "two")
     assert toxicity.signature("One  text\n") == toxicity.signature("one TEXT")
+
+
+def test_scores_against_plain_sums(spark):
+    """A classifier's scores by their definition: which units a text has, one by one."""
+    weights = {"idiot": 2.0, "zor*": 1.5, "zor**": 0.7, "हिन्दी": 1.1, "calm": -1.0, "ten": -0.2}
+    model = toxicity.Classifier(weights, [0.5, 0.25, 0.75, 0.1, 0.2], -0.6, frozenset(["idiot", "zor*"]), toxicity.stems_of(weights))
+    rng = random.Random(6)
+    texts = [None, "", "IDIOT!! !! !!", "zorka ***", "zorka zorki", "zor", "हिन्दी calm"] + [" ".join(rng.choices(["idiot", "Zorka", "zorki", "calm", "ten", "x2y", "***", "!!", "WORD"], k=rng.randint(1, 200))) for _ in range(80)]
+
+    def plain(text):
+        words = re.sub(r"[\d_\W]", lambda m: m[0] if unicodedata.category(m[0])[0] in "LM" else " ", (text or "").lower()).split()
+        longer = sum(w.startswith("zor") and len(w) > 3 for w in words)
+        held = {w for w in words} | ({"zor*"} if longer else set()) | ({"zor**"} if longer > 1 else set())
+        letters, upper = sum(c.isalpha() for c in text or ""), sum(c.isupper() for c in text or "")
+        hit, long = bool(held & {"idiot", "zor*"}), len(text or "") > 400
+        votes = [letters > 20 and upper > 0.6 * letters, (text or "").count("!!") >= 3, "***" in (text or ""), -(not hit and long), -(not hit and not long)]
+        total = -0.6 + sum(v for u, v in weights.items() if u in held) + sum(w * v for w, v in zip(model.patterns, votes))
+        return 1 / (1 + math.exp(-total))
+
+    got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    assert all(math.isclose(got[i], plain(t), rel_tol=1e-12) for i, t in enumerate(texts))
+
+
+def test_posterior_against_bayes():
+    tables = np.array([[[0.1, 0.7, 0.2], [0.05, 0.35, 0.6]], [[0.3, 0.6, 0.1], [0.2, 0.4, 0.4]]])
+    model = toxicity.LabelModel(tables, np.array([1.0, 0.5]), np.zeros((2, 2)), 0.3)
+    for a in (-1, 0, 1):
+        for b in (-1, 0, 1):
+            one, none = (p * tables[0, y, a + 1] * tables[1, y, b + 1] ** 0.5 for y, p in ((1, 0.3), (0, 0.7)))
+            assert math.isclose(model.posterior(np.array([[a, b]]))[0], one / (one + none), rel_tol=1e-12)
