@@ -135,7 +135,7 @@ def _run_sections(sections: np.ndarray, x: np.ndarray, settle: bool) -> np.ndarr
 
 
 def zero_phase(sections: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Forward and backward pass over the series with odd reflections at its ends."""
+    """Forward and backward pass over a series, or over the columns of (times, series), with odd reflections at the ends."""
     pad = min(len(x) - 1, 3 * (2 * len(sections) + 1))
     if pad < 1:
         return x.astype(float)
@@ -201,9 +201,9 @@ def clean(
                 line = np.column_stack([np.arange(len(c)), np.ones(len(c))])
                 c = c - line @ np.linalg.lstsq(line, c, rcond=None)[0]
         if sections is not None:
-            x = np.column_stack([zero_phase(sections, x[:, k]) for k in range(x.shape[1])])
+            x = zero_phase(sections, x)
             if c is not None:
-                c = np.column_stack([zero_phase(sections, c[:, k]) for k in range(c.shape[1])])
+                c = zero_phase(sections, c)
         if cosine:
             slow = cosine_drifts(len(x), high_pass, t_r)
             c = slow if c is None else np.column_stack([c, slow])

@@ -183,6 +183,12 @@ def test_butterworth():
         assert h.max() < 1.0001
 
 
+def test_filters_run_over_columns_at_once():
+    sections, x = panel.butterworth_sections(0.2, 0.02, 1.0), RNG.standard_normal((90, 5))
+    assert np.allclose(panel.zero_phase(sections, x), np.column_stack([panel.zero_phase(sections, x[:, k]) for k in range(5)]), atol=1e-12)
+    assert panel.zero_phase(sections, x[:1]).shape == (1, 5)
+
+
 def test_panel_cleaning(spark, p):
     t = np.arange(40)
     flat = {(r.t, r.roi): r.x for r in panel.detrend(p).collect()}
