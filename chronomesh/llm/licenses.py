@@ -186,3 +186,22 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, containment: fl
     kept = shared.filter(F.col("containment") >= containment)
     first = F.expr("cast(at + array_min(transform(both, x -> array_position(window, x))) - 1 as bigint)")
     return kept.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.min(first).alias("first_word"))
+
+
+def oracle_sql(templates: dict[str, str] = TEMPLATES, containment: float = CONTAINMENT) -> str:
+    """The rows of scan() over a table `documents`, from the definition of windows and containment, without bands."""
+
+    def words(text: str) -> str:
+        return rf"""regexp_extract_all(regexp_replace(lower({text}), '["''`()\[\]{{}}<>,;:.!?*#]+', ' ', 'g'), '[^\x20\x09-\x0D]+')"""
+
+    def shingles(source: str, key: str) -> str:
+        several = f"select {key}, i - 1 i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] s from (select {key}, w, unnest(range(1, len(w) - 1)) i from {source} where len(w) >= {SHINGLE})"
+        return f"{several} union all select {key}, 0, array_to_string(w, ' ') from {source} where len(w) between 1 and {SHINGLE - 1}"
+
+    rows = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in templates.items())
+    return f"""with t0 as (select license, {words('template')} w from (values {rows}) v(license, template)),
+        t as (select distinct license, s from ({shingles('t0', 'license')})), n as (select license, count(*) n from t group by license),
+        d0 as (select doc_id, {words('text')} w from documents where text is not null), d as ({shingles('d0', 'doc_id')}),
+        h as (select doc_id, license, n, i, s, unnest([i // n, i // n - 1]) j from d join t using (s) join n using (license)),
+        c as (select doc_id, license, cast(count(distinct s) as double) / any_value(n) containment, min(i) i from h where j >= 0 group by doc_id, license, j)
+        select doc_id, license, max(containment) containment, min(i) first_word from c where containment >= {containment} group by doc_id, license"""

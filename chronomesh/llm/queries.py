@@ -66,5 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_substrings": substrings.oracle_sql(),
     "op5_mixing": mixing.oracle_sql(),
+    "op8_licenses": licenses.oracle_sql(),
 }

@@ -264,3 +264,14 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, batches: int = BATCHES,
     finally:
         index.drop()
     return spark.read.schema(schema).parquet(*results).withColumn("doc_id", F.expr(f"nullif(doc_id, {NULL_ID + 1}L - 1L)"))
+
+
+def oracle_sql(size: int = WINDOW) -> str:
+    """The rows of remove_repeats() over a table `documents` of distinct ids, by comparing the windows' words."""
+    return f"""with e as (select doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) w from documents),
+        x as (select doc_id, w, unnest(range(1, len(w) - {size - 2})) s from e where len(w) >= {size}),
+        r as (select doc_id, s, row_number() over (partition by array_to_string(w[s:s + {size - 1}], ' ') order by doc_id, s) > 1 again from x),
+        p as (select distinct doc_id, unnest(range(s, s + {size})) i from r where again),
+        u as (select doc_id, unnest(w) word, generate_subscripts(w, 1) i from e),
+        a as (select u.doc_id, count(p.i) gone, string_agg(word, ' ' order by u.i) filter (where p.i is null) kept from u left join p using (doc_id, i) group by u.doc_id)
+        select e.doc_id, len(w) n_words, coalesce(gone, 0) n_removed, sha256(coalesce(kept, '')) kept_sha256 from e left join a using (doc_id)"""
