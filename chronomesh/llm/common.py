@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -38,13 +39,33 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts lineage and survives lost executors."""
+_temporary: list[list[str]] = []
+
+
+def stored(df: DataFrame, name: str, result: bool = False) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back: cuts lineage and survives lost executors.
+
+    Within temporary() the table goes at its end; a result goes with what encloses that, if anything does. Others stay
+    with the folder.
+    """
     path = scratch(df.sparkSession, name)
+    if len(_temporary) > result:
+        _temporary[-1 - result].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """What stored() writes within is deleted at the end: nothing that is returned may still read it."""
+    _temporary.append([])
+    try:
+        yield
+    finally:
+        for path in _temporary.pop():
+            drop_stored(spark, path)
+
+
 def drop_stored(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)

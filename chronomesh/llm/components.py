@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronomesh.llm.common import stored
+from chronomesh.llm.common import stored, temporary
 
 
 def _to_minimum(pairs: DataFrame) -> DataFrame:
@@ -29,16 +29,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node on an edge (u, v), root being the smallest node that it is linked to; roots are listed too.
 
     Edges are undirected 64-bit ids. Null ends and loops are left out; repeated edges count once; no edges give no rows.
-    Each round is written to the shared folder, so lineage stays short.
+    Each round is written to the shared folder, so lineage stays short, and all rounds but the last are deleted.
     """
     edges = edges.filter("u is not null and v is not null and u <> v")
-    edges = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    seen = None
-    while True:
-        edges = stored(_small_star(_large_star(edges)), "edges")
-        sign = edges.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x")).first()
-        if (sign.n, sign.x) == seen:
-            break
-        seen = (sign.n, sign.x)
-    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root"))
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(roots).distinct()
+    with temporary(edges.sparkSession):
+        edges = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        seen = None
+        while True:
+            edges = stored(_small_star(_large_star(edges)), "edges")
+            sign = edges.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x")).first()
+            if (sign.n, sign.x) == seen:
+                break
+            seen = (sign.n, sign.x)
+        roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root"))
+        found = edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(roots).distinct()
+        found = stored(found, "components", result=True)
+    return found

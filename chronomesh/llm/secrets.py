@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronomesh.llm.common import slices, stored
+from chronomesh.llm.common import slices, stored, temporary
 from chronomesh.llm.licenses import TEMPLATES
 
 # The base patterns and their least lengths.
@@ -331,7 +331,8 @@ def redact(docs: DataFrame, q: float = FALSE_DISCOVERY, mark: str = "[SECRET]")
     A first pass over all documents settles the thresholds, a second one finds the spans again and covers them where
     the documents are read, so no text is shuffled. Rows without spans, null and empty texts stay as they are.
     """
-    _, cut = _scanned(docs, q)
+    with temporary(docs.sparkSession):
+        _, cut = _scanned(docs, q)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

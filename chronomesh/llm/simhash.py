@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronomesh.llm.common import NULL_ID, slices, stored
+from chronomesh.llm.common import NULL_ID, slices, stored, temporary
 from chronomesh.llm.components import connected_components
 
 SHINGLE = 3
@@ -218,22 +218,24 @@ def near_duplicates(docs: DataFrame, radius: int = BITS, shingle: int = SHINGLE,
             made = fingerprints(batch.column("text").cast(pa.binary()).to_pylist(), shingle)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made.view(np.int64))], ["doc_id", "code"])
 
-    taken = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    coded = stored(taken.mapInArrow(run, "doc_id long, code long"), "simhash")
-    distinct = stored(coded.groupBy("code").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-codes")
-    roots = connected_components(code_links(distinct.select("code"), "code", radius, limit))
-    linked = roots.join(distinct, roots.node == distinct.code)
-    least = linked.groupBy("root").agg(F.min("least").alias("reached"))
-    reached = linked.join(least, "root").select("code", "reached")
-    codes = distinct.join(reached, "code", "left").select("code", "n", F.coalesce("reached", "least").alias("component"))
-    # copies of one text share a code: a code of many documents is repeated once for each HOT_ROWS of them
-    parts = F.ceil(F.col("n") / HOT_ROWS).cast("int")
-    hot = distinct.filter(F.col("n") > HOT_ROWS).select("code", parts.alias("parts"))
-    hot = F.broadcast(hot) if hot.count() <= SENT_CODES else hot
-    dealt = coded.join(hot, "code", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"), F.lit(0)))
-    codes = codes.select("code", "component", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    return dealt.join(codes, ["code", "part"]).select(
-        F.expr(f"nullif(doc_id, {NULL_ID + 1}L - 1L)").alias("doc_id"),
-        F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"),
-        F.expr(f"nullif(component, {NULL_ID + 1}L - 1L)").alias("component_id"),
-    )
+    with temporary(docs.sparkSession):
+        taken = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+        coded = stored(taken.mapInArrow(run, "doc_id long, code long"), "simhash")
+        distinct = stored(coded.groupBy("code").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-codes")
+        roots = connected_components(code_links(distinct.select("code"), "code", radius, limit))
+        linked = roots.join(distinct, roots.node == distinct.code)
+        least = linked.groupBy("root").agg(F.min("least").alias("reached"))
+        reached = linked.join(least, "root").select("code", "reached")
+        codes = distinct.join(reached, "code", "left").select("code", "n", F.coalesce("reached", "least").alias("component"))
+        # copies of one text share a code: a code of many documents is repeated once for each HOT_ROWS of them
+        parts = F.ceil(F.col("n") / HOT_ROWS).cast("int")
+        hot = distinct.filter(F.col("n") > HOT_ROWS).select("code", parts.alias("parts"))
+        hot = F.broadcast(hot) if hot.count() <= SENT_CODES else hot
+        dealt = coded.join(hot, "code", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"), F.lit(0)))
+        codes = codes.select("code", "component", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+        named = dealt.join(codes, ["code", "part"]).select(
+            F.expr(f"nullif(doc_id, {NULL_ID + 1}L - 1L)").alias("doc_id"),
+            F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"),
+            F.expr(f"nullif(component, {NULL_ID + 1}L - 1L)").alias("component_id"),
+        )
+        return stored(named, "simhash-named", result=True)

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronomesh.llm.common import bucket_of_id, slices, stored
+from chronomesh.llm.common import bucket_of_id, slices, stored, temporary
 
 # Seed lexicon of plain English insults.
 SEEDS = ("clown", "disgusting", "dumb", "fool", "idiot", "jerk", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
@@ -173,6 +173,12 @@ def _counted(taken: DataFrame, label: int, only: set[str] | None) -> DataFrame:
 
 
 def fit(labelled: DataFrame, rows: int = FIT_ROWS) -> Classifier:
+    """_fit() without leaving its tables in the shared folder."""
+    with temporary(labelled.sparkSession):
+        return _fit(labelled, rows)
+
+
+def _fit(labelled: DataFrame, rows: int) -> Classifier:
     """Fit on (doc_id, text, toxic): units whose presence is telling become voters beside the seeds and patterns.
 
     About `rows` labelled rows at most take part, those whose hashed id lies below a cut that follows from their
@@ -252,5 +258,6 @@ def detect(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, ro
     known = labels.filter(~out).filter("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     share = min(1.0, 2 * rows / max(1, known.count()))  # fewer labels meet the texts; fit() takes its share of these
     near = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 32)) < int(share * (1 << 32)))
-    fitted = fit(stored(docs.select("doc_id", "text").join(near, "doc_id"), "toxicity-labelled"), rows)
+    with temporary(docs.sparkSession):
+        fitted = fit(stored(docs.select("doc_id", "text").join(near, "doc_id"), "toxicity-labelled"), rows)
     return score(docs, fitted).select("doc_id", out.alias("held_out"), "score", "predicted")
