@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -97,3 +98,13 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 4
             total += n + 64
         if first < batch.num_rows:
             yield batch.slice(first)
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system, so that a worker that is used again doesn't keep the peak of a task before."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps it
+        pass
