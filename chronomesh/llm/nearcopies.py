@@ -1,4 +1,4 @@
-"""Near copies by five-word shingles: SimHash fingerprints in Gray-ordered indexes propose pairs, exact similarity decides."""
+"""Near copies by five-word shingles: SimHash fingerprints in Gray-ordered indexes link most, shared rare shingles complete them, exact similarity decides."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronomesh.llm.common import NULL_ID, release, slices, stored, temporary
@@ -17,21 +17,25 @@ from chronomesh.llm.simhash import GrayIndex, lowered, of_hashes
 SHINGLE = 5
 #: Least Jaccard similarity of a link, as a fraction, so that it is decided in whole numbers.
 LEAST = (4, 5)
-#: Documents meet in a group if they share a band. A pair of similarity 0.8 shares none with probability (1 - 0.8 ** ROWS) ** BANDS, 7e-5.
-BANDS, ROWS = 24, 5
+#: Documents meet in a group first if they share a band; a pair of similarity 0.8 shares one with probability 1 - (1 - 0.8 ** ROWS) ** BANDS, 0.96.
+#: What shares none, or is too far apart there, is found by `_crossing`.
+BANDS, ROWS = 8, 5
 #: Bits in which fingerprints of a pair may differ: about 10 at similarity 0.8, with a deviation of 3; unrelated ones differ in 32.
 #: Small groups, whose pairs are few, get by with a wide radius; in large ones the first, nearest pairs are within the narrow one.
 RADIUS, WIDE_RADIUS = 16, 24
-#: In groups over SMALL, after the first pairs, those are left out whose bands' least values agree in a smaller share than this:
-#: at similarity 0.8 that is more than two deviations off.
-LEAST_AGREED = 0.71
 #: Groups of more codes are cut by Gray rank, each band in another rotation of the bits, and every part keeps the group's head.
 RUN = 512
 PART = 8
-#: All pairs of groups up to this size are proposed at once; of larger ones the nearest, until none is left untested.
+#: All pairs of groups up to this size are proposed at once; of larger ones each code's nearest.
 SMALL = 8
-NEAREST, LATER_NEAREST = 4, 16
-#: Rows of 24 bytes that may be broadcast; more are joined by a shuffle.
+NEAREST = 12
+#: Shingles are ordered by how many of about SAMPLED texts hold them, which COMMON at most are counted for. Any order gives the same result.
+SAMPLED, COMMON = 10_000, 200_000
+#: Rows that a task searches at a time, and pairs within one shingle's group over which the group is dealt out in blocks.
+HELD_ROWS, GROUP_PAIRS = 200_000, 20_000_000
+#: Of the pairs left between two components so many are tested first, those of the nearest fingerprints; if one links them, the others needn't be.
+BEST = 16
+#: Rows of up to 24 bytes that may be broadcast; more are joined by shuffles.
 SENT_ROWS = 200_000
 SEED = 42
 
@@ -45,34 +49,64 @@ def shingles(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(r, SEED) for r in runs), np.uint64))
 
 
-def band_hashes(held: np.ndarray, block: int = 4096) -> tuple[np.ndarray, bytes]:
-    """A hash for each band of a set's least values under BANDS * ROWS permutations, and a byte of each of these values."""
+def band_hashes(held: np.ndarray, block: int = 4096) -> np.ndarray:
+    """A hash for each band of a set's least values under BANDS * ROWS permutations."""
     least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
     for at in range(0, len(held), block):
         least = np.minimum(least, (_FACTORS[:, :1] * held[None, at : at + block] + _FACTORS[:, 1:]).min(axis=1))
-    return np.array([xxhash.xxh64_intdigest(least[b * ROWS : (b + 1) * ROWS].tobytes(), b) for b in range(BANDS)], np.uint64), (least >> np.uint64(40)).astype(np.uint8).tobytes()
+    return np.array([xxhash.xxh64_intdigest(least[b * ROWS : (b + 1) * ROWS].tobytes(), b) for b in range(BANDS)], np.uint64)
 
 
-def _coded(docs: DataFrame) -> DataFrame:
-    """(doc_id, content, code, finger, bands, sketch) per document: code stands for the shingle set, finger is its SimHash; without words code is 0 and no bands are made."""
+def prefix(held: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first shingles of a set, rare ones first: of two sets of similarity LEAST or more, each has a shingle of the other among them.
+
+    Such sets share at least LEAST of either, so what one holds besides is too little to fill these. common: sorted
+    shingles and their counts; others come before them.
+    """
+    names, counts = common
+    at = np.minimum(np.searchsorted(names, held), max(len(names) - 1, 0))
+    n = np.where(names[at] == held, counts[at], 0) if len(names) else np.zeros(len(held), np.int64)
+    return held[np.lexsort((held, n))[: len(held) + 1 + -LEAST[0] * len(held) // LEAST[1]]]
+
+
+def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of about SAMPLED different texts hold, sorted, and how many of these do."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [shingles(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            names, n = np.unique(np.concatenate([np.empty(0, np.uint64), *found]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(n)], ["name", "n"])
+
+    taken = _taken(docs)
+    every = max(1, docs.count() // SAMPLED)
+    counts = taken.filter(F.pmod("content", F.lit(every)) == 0).dropDuplicates(["content"]).select("text").mapInArrow(run, "name long, n long").groupBy("name").agg(F.sum("n").alias("n"))
+    found = counts.filter("n > 1").orderBy(F.desc("n"), "name").limit(COMMON).toArrow()
+    names, n = found.column("name").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    by = np.argsort(names)
+    return names[by], n[by]
+
+
+def _coded(docs: DataFrame, common: tuple[np.ndarray, np.ndarray] = (np.empty(0, np.uint64), np.empty(0, np.int64))) -> DataFrame:
+    """(doc_id, content, code, finger, bands, size, prefix) per document: code stands for the shingle set, of `size` shingles, finger is its SimHash; without words code is 0 and bands and prefix are empty."""
+    sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=1 << 20):
             sets = [shingles(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
             codes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) if len(s) else 0 for s in sets], np.uint64)
             fingers = of_hashes(np.concatenate(sets) if sets else np.empty(0, np.uint64), np.array([len(s) for s in sets], np.int64))
-            made: dict[int, tuple[list[int], bytes]] = {}  # copies share their bands
+            made: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # copies share their bands
             for c, s in zip(codes.tolist(), sets):
                 if c not in made:
-                    hashes, least = band_hashes(s)
-                    made[c] = (hashes.view(np.int64).tolist(), least) if len(s) else ([], b"")
-            bands, sketches = zip(*(made[c] for c in codes.tolist())) if len(codes) else ((), ())
+                    made[c] = (band_hashes(s).view(np.int64), prefix(s, sent.value).view(np.int64)) if len(s) else (s.view(np.int64), s.view(np.int64))
+            bands, first = zip(*(made[c] for c in codes.tolist())) if len(codes) else ((), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("content"), pa.array(codes.view(np.int64)), pa.array(fingers.view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                ["doc_id", "content", "code", "finger", "bands", "sketch"],
+                [batch.column("doc_id"), batch.column("content"), pa.array(codes.view(np.int64)), pa.array(fingers.view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array([len(s) for s in sets], pa.int32()), pa.array(first, pa.list_(pa.int64()))],
+                ["doc_id", "content", "code", "finger", "bands", "size", "prefix"],
             )
 
-    return _taken(docs).mapInArrow(run, "doc_id long, content long, code long, finger long, bands array<long>, sketch binary")
+    return _taken(docs).mapInArrow(run, "doc_id long, content long, code long, finger long, bands array<long>, size int, prefix array<long>")
 
 
 def _taken(docs: DataFrame) -> DataFrame:
@@ -117,12 +151,10 @@ def _groups(batches: Iterator[pa.RecordBatch], names: list[str], run: int, enoug
     release()
 
 
-def _near(index: GrayIndex, radius: int, allowed, nearest: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i, j) of the index within radius, for each position its `nearest` allowed ones."""
+def _near(index: GrayIndex, radius: int, nearest: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j) of the index within radius, for each position its `nearest` ones."""
     best_i, best_j = np.empty(0, np.int64), np.empty(0, np.int64)
     for i, j in index.pairs(radius, 1024):
-        ok = allowed(i, j)
-        i, j = i[ok], j[ok]
         a, b = np.r_[best_i, i, j], np.r_[best_j, j, i]
         far = np.bitwise_count(index.codes[a] ^ index.codes[b])
         by = np.lexsort((b, far, a))
@@ -140,11 +172,8 @@ def _indexed(groups: list[dict[int, int]]) -> tuple[GrayIndex, np.ndarray]:
     return index, np.array([c for g in groups for c in g], np.int64)[index.order]
 
 
-FOUND = "u long, v long, run long, finger long"
-
-
 def _first_pairs(dealt: DataFrame, radius: int = RADIUS, run: int = RUN) -> DataFrame:
-    """Rows of two kinds: pairs (u, v) to test first, and with `run` set the members (u, finger) of larger groups."""
+    """Pairs (u, v) to test first: all of small groups, and each code's nearest in larger ones."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for groups in _groups(batches, ["key", "code", "finger", "head", "head_finger"], run):
@@ -153,71 +182,120 @@ def _first_pairs(dealt: DataFrame, radius: int = RADIUS, run: int = RUN) -> Data
                 members = {c: f for _, c, f, _, _ in group}
                 if group[0][3] is not None:
                     members[group[0][3]] = group[0][4]
-                whole.append((group, members))
-            few, many = [m for _, m in whole if len(m) <= SMALL], [(g, m) for g, m in whole if len(m) > SMALL]
+                whole.append(members)
+            few, many = [m for m in whole if len(m) <= SMALL], [m for m in whole if len(m) > SMALL]
             index, code = _indexed(few)
             pairs = [(code[i], code[j]) for i, j in index.pairs(WIDE_RADIUS, 1024)]
-            index, code = _indexed([m for _, m in many])
-            best_i, best_j = _near(index, radius, lambda i, j: np.ones(len(i), bool))
-            u, v = (np.concatenate(x) for x in zip((code[best_i], code[best_j]), *pairs))
-            pair = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)]), axis=1)
-            none = pa.nulls(pair.shape[1], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1]), none, none], ["u", "v", "run", "finger"])
-            names = [xxhash.xxh64_intdigest(f"{g[0][0]}:{min(r[1] for r in g)}") >> 1 for g, _ in many]
-            own = [set(r[1] for r in g) for g, _ in many]
-            kept = np.array([c in o for o, (_, m) in zip(own, many) for c in m], bool)[index.order]  # a head is a member of its own part alone
-            runs = np.array(names, np.int64)[index.groups[kept]]
-            yield pa.RecordBatch.from_arrays([pa.array(code[kept]), pa.nulls(int(kept.sum()), pa.int64()), pa.array(runs), pa.array(index.codes[kept].view(np.int64))], ["u", "v", "run", "finger"])
-
-    return dealt.repartition("key").sortWithinPartitions("key", "rank").mapInArrow(search, FOUND)
-
-
-def _next_pairs(members: DataFrame, roots: DataFrame, failed: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
-    """Pairs (u, v) of members (run, u, finger, sketch, runs) of one run that are neither linked nor tested and whose sketches
-    agree: each code's nearest ones. A pair that meets in several of its codes' `runs` is proposed in the first of them alone."""
-    against = failed.select("u", "v").union(failed.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy("u").agg(F.collect_set("v").alias("against"))
-    named = members.join(roots.select(F.col("node").alias("u"), "root"), "u", "left").join(against, "u", "left").select("run", "u", "finger", F.coalesce("root", "u").alias("root"), "against", "sketch", "runs")
+            index, code = _indexed(many)
+            i, j = _near(index, radius)
+            yield _sent(*(np.concatenate(x) for x in zip((code[i], code[j]), *pairs)))
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for groups in _groups(batches, ["run", "u", "finger", "root", "against", "sketch", "runs"], 1 << 62):
-            groups = [g for g in groups if len({r[3] for r in g}) > 1]
-            rows = [(k, *r[1:4]) for k, g in enumerate(groups) for r in g]
-            if not rows:
+    return dealt.repartition("key").sortWithinPartitions("key", "rank").mapInArrow(search, "u long, v long")
+
+
+def _sent(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    """Each pair once, the smaller end first."""
+    pair = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)]), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["u", "v"])
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], names: list[str], enough: int = HELD_ROWS) -> Iterator[list[np.ndarray]]:
+    """Columns of whole groups that share the first one, from rows sorted by it; rows that are alone in their group are left out."""
+    held: list[list[np.ndarray]] = []
+    n, most = 0, enough
+
+    def shared(columns: list[np.ndarray]) -> list[np.ndarray]:
+        same = columns[0][1:] == columns[0][:-1]
+        return [c[np.r_[False, same] | np.r_[same, False]] for c in columns]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append([batch.column(x).to_numpy() for x in names])
+        n += batch.num_rows
+        if n >= most:  # the last group may go on: what lies before it is complete
+            columns = [np.concatenate(c) for c in zip(*held)]
+            cut = int(np.searchsorted(columns[0], columns[0][-1]))
+            if cut:
+                yield shared([c[:cut] for c in columns])
+            held, n = [[c[cut:] for c in columns]], n - cut
+            most = max(enough, 2 * n)
+    if n:
+        yield shared([np.concatenate(c) for c in zip(*held)])
+    release()
+
+
+def _crossing(distinct: DataFrame, roots: DataFrame, most: int = GROUP_PAIRS) -> DataFrame:
+    """All pairs (u, v) of codes of different roots whose similarity can be LEAST or more: their prefixes share a shingle, their sizes
+    are near enough, and so many shingles follow the shared one in both. Nothing else is left out. A shingle's group of
+    over `most` pairs is dealt out in blocks of its codes, each pair of blocks a group of its own."""
+    names = ["name", "root", "code", "size", "place"]
+
+    def search(batches: Iterator[pa.RecordBatch], most: float) -> Iterator[pa.RecordBatch]:
+        for columns in _whole_groups(batches, names):
+            order = np.lexsort((columns[1], columns[0]))
+            name, root, code, size, place = (c[order] for c in columns)
+            if not len(name):
                 continue
-            of, codes, fingers, names = (np.array(x, np.int64) for x in zip(*rows))
-            index = GrayIndex(of, fingers.view(np.uint64))
-            code, root = codes[index.order], names[index.order]
-            sketch = np.frombuffer(b"".join(r[5] for g in groups for r in g), np.uint8).reshape(len(code), -1)[index.order]
-            own = np.array([g[0][0] for g in groups], np.int64)[index.groups]
-            runs = np.full((len(code), BANDS), -1, np.int64)
-            for k, r in enumerate(r for g in groups for r in g):
-                runs[k, : len(r[6])] = r[6]
-            runs = runs[index.order]
-            tested = np.unique(np.concatenate([_pair_keys(np.full(len(r[4]), r[1], np.int64), np.array(r[4], np.int64)) for g in groups for r in g if r[4]] or [np.empty(0, np.int64)]))
-
-            def open_(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-                ok = root[i] != root[j]
-                at = np.flatnonzero(ok)
-                for k in range(0, len(at), 65_536):
-                    part = at[k : k + 65_536]
-                    ok[part] = (sketch[i[part]] == sketch[j[part]]).mean(1) >= LEAST_AGREED
-                at = np.flatnonzero(ok)
-                for k in range(0, len(at), 8_192):
-                    part = at[k : k + 8_192]
-                    a, b = runs[i[part]], runs[j[part]]
-                    common = (a[:, :, None] == b[:, None, :]).any(2) & (a >= 0)
-                    ok[part] = np.where(common, a, np.iinfo(np.int64).max).min(1) == own[i[part]]
-                return ok & ~np.isin(_pair_keys(code[i], code[j]), tested)
-
-            i, j = _near(index, radius, open_, LATER_NEAREST)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(code[i], code[j])), pa.array(np.maximum(code[i], code[j]))], ["u", "v"])
-
-    return named.repartition("run").sortWithinPartitions("run").mapInArrow(search, "u long, v long").distinct()
-
-
-def _pair_keys(u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    a, b = np.minimum(u, v).view(np.uint64), np.maximum(u, v).view(np.uint64)
-    return (a * np.uint64(0x9E3779B97F4A7C15) ^ b).view(np.int64)
+            new = np.r_[True, name[1:] != name[:-1]]
+            starts = np.flatnonzero(new)
+            first = np.repeat(starts, np.diff(np.r_[starts, len(name)]))
+            runs = np.flatnonzero(new | np.r_[True, root[1:] != root[:-1]])
+            n = np.repeat(runs, np.diff(np.r_[runs, len(name)])) - first  # each row meets those of its group with smaller roots
+            pairs = np.repeat(np.add.reduceat(n, starts), np.diff(np.r_[starts, len(name)]))
+            if (large := pairs > most).any():
+                sizes = np.diff(np.r_[starts, len(name)])
+                blocks = np.ceil(np.repeat(sizes, sizes) / most**0.5).astype(np.int32)
+                none = pa.nulls(int(large.sum()), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, *(pa.array(c[large]) for c in (name, root, code, size, place, blocks))], ["u", "v", *names, "blocks"])
+            at = np.flatnonzero((n > 0) & ~large)
+            ends = np.cumsum(n[at])
+            rest = size - place
+            for lo, hi in _blocks(ends, 1 << 20):
+                i = np.repeat(at[lo:hi], n[at[lo:hi]])
+                j = first[i] + np.arange(len(i)) - np.repeat(ends[lo:hi] - n[at[lo:hi]] - (ends[lo] - n[at[lo]]), n[at[lo:hi]])
+                both = LEAST[0] * (size[i] + size[j])
+                ok = ((LEAST[0] + LEAST[1]) * np.minimum(rest[i], rest[j]) >= both) & (LEAST[1] * np.minimum(size[i], size[j]) >= LEAST[0] * np.maximum(size[i], size[j]))
+                sent = _sent(code[i[ok]], code[j[ok]])
+                yield pa.RecordBatch.from_arrays([*sent.columns, *(pa.nulls(sent.num_rows, t) for t in kinds)], ["u", "v", *names, "blocks"])
+
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+    schema = "u long, v long, name long, root long, code long, size int, place int, blocks int"
+    rows = _rooted(distinct, roots).select("code", "root", "size", F.posexplode("prefix").alias("place", "name"))
+    found = stored(rows.select(names).repartition("name").sortWithinPartitions("name").mapInArrow(lambda b: search(b, most), schema), "near-crossing")
+    pairs, large = found.filter("u is not null").select("u", "v"), found.filter("u is null")
+    if not large.isEmpty():
+        dealt = large.withColumn("own", F.expr("cast(pmod(xxhash64(code), blocks) as int)")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.withColumn("name", F.xxhash64("name", F.least("own", "other"), F.greatest("own", "other"))).select(names)
+        pairs = pairs.union(dealt.repartition("name").sortWithinPartitions("name").mapInArrow(lambda b: search(b, float("inf")), schema).select("u", "v"))
+    return stored(pairs.distinct(), "near-pairs")
+
+
+def _rooted(distinct: DataFrame, roots: DataFrame) -> DataFrame:
+    """The codes with their root, a code without links being its own."""
+    linked = roots.select(F.col("node").alias("code"), "root")
+    linked = F.broadcast(linked) if linked.count() <= SENT_ROWS else linked
+    return distinct.join(linked, "code", "left").withColumn("root", F.coalesce("root", "code"))
+
+
+def _ranked(pairs: DataFrame, distinct: DataFrame, roots: DataFrame) -> DataFrame:
+    """(u, v, a, b, nth): pairs of codes, the roots that they lie between, and their place among the pairs between these by the distance of fingerprints up to BEST, else null."""
+    known = _rooted(distinct.select("code", "finger"), roots)
+    ends = pairs.join(known.toDF("u", "finger_u", "root_u"), "u").join(known.toDF("v", "finger_v", "root_v"), "v")
+    ends = ends.select("u", "v", F.least("root_u", "root_v").alias("a"), F.greatest("root_u", "root_v").alias("b"), F.expr("bit_count(finger_u ^ finger_v)").alias("far"))
+    ends = stored(ends, "near-ends")
+    best = ends.withColumn("nth", F.row_number().over(Window.partitionBy("a", "b").orderBy("far", "u", "v"))).filter(F.col("nth") <= BEST)
+    return stored(ends.join(best.select("u", "v", "nth"), ["u", "v"], "left").select("u", "v", "a", "b", "nth"), "near-ranked")
+
+
+def _blocks(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs (lo, hi) of items, by the running sum of their counts, of at most about `most` in all, or one item."""
+    lo = 0
+    while lo < len(ends):
+        before = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield lo, hi
+        lo = hi
 
 
 def _tested(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -247,38 +325,45 @@ def _texts(docs: DataFrame, coded: DataFrame, needed: DataFrame) -> DataFrame:
     return stored(found.groupBy("code").agg(F.first("text").alias("text")), "near-texts")
 
 
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The roots after these links (u, v) too."""
+    return roots if links.isEmpty() else connected_components(stored(links.union(roots.filter("node <> root")), "near-links"))
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, content (a hash of the text) and root, equal for documents linked by near copies.
 
     Two documents are linked if the exact Jaccard similarity of their sets of five-word shingles is at least 0.8. Equal
     sets are merged first. Different ones meet where they share a MinHash band; in each group a Gray-ordered index finds
-    those whose SimHash fingerprints differ in few bits, and their texts are compared. Groups up to SMALL are
-    compared as a whole. In larger ones each code is compared with its nearest ones, and again with those that are neither
-    linked to it nor tested yet and whose sketches agree enough, until none is left; so a group of copies costs in
-    proportion to its size. Blocks of bits as in simhash.near_duplicates can't deal out so wide a radius, hence the bands.
+    those whose SimHash fingerprints differ in few bits, and their texts are compared. In groups over SMALL each
+    code is compared with its nearest ones, so a group of copies costs in proportion to its size. That links most. All pairs of codes not
+    yet linked that can reach 0.8 are compared after that, the nearest between two components first: any two such sets share one of
+    their rarest shingles, as many as either may hold besides what it shares. So no link between different components is lost but for equal hashes of 64 bits.
+    Blocks of bits as in simhash.near_duplicates can't deal out so wide a radius, hence the bands.
 
     Null or empty text, or one without words: an empty set, equal to any other. A null doc_id is returned as NULL_ID.
-    Repeated rows are each returned. Ties of distance go to the smaller place in Gray order. An empty table gives no
-    rows. Columns besides doc_id and text are not read.
+    Repeated rows are each returned. Ties of distance go to the smaller place in Gray order and don't change the result. An
+    empty table gives no rows. Columns besides doc_id and text are not read.
     """
     with temporary(docs.sparkSession):
-        coded = stored(_coded(docs), "near-coded")
-        distinct = coded.filter("code <> 0").groupBy("code").agg(F.first("finger").alias("finger"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+        coded = stored(_coded(docs, _common(docs)), "near-coded")
+        distinct = coded.filter("code <> 0").groupBy("code").agg(*(F.first(c).alias(c) for c in ("finger", "bands", "size", "prefix")))
         distinct = stored(distinct, "near-codes")
-        found = stored(_first_pairs(_dealt(distinct)), "near-found")
-        pairs, members = found.filter("run is null").select("u", "v").distinct(), found.filter("run is not null").select("run", "u", "finger")
-        held = members.groupBy("u").agg(F.collect_set("run").alias("runs"))  # at most one a band
-        members = stored(members.join(distinct.select(F.col("code").alias("u"), "sketch"), "u").join(held, "u"), "near-members")
-        needed = found.select(F.col("u").alias("code")).union(found.filter("v is not null").select("v")).distinct()
-        texts = _texts(docs, coded, needed)
-        tested = stored(_tested(pairs, texts), "near-tested")
-        roots = connected_components(tested.filter("close").select("u", "v"))
-        while True:
-            more = stored(_next_pairs(members, roots, tested.filter("not close")), "near-pairs")
-            if more.isEmpty():
-                break
-            tested = stored(tested.union(_tested(more, texts)), "near-tested")
-            roots = connected_components(tested.filter("close").select("u", "v"))
+        pairs = stored(_first_pairs(_dealt(distinct)).distinct(), "near-found")
+        roots = connected_components(_close(docs, coded, pairs))
+        left = _ranked(_crossing(distinct, roots), distinct, roots)
+        roots = _joined(roots, _close(docs, coded, left.filter("nth is not null")))
+        if not left.filter("nth is null").isEmpty():
+            now = roots.select("node", "root")
+            rest = left.filter("nth is null").join(now.toDF("a", "now_a"), "a", "left").join(now.toDF("b", "now_b"), "b", "left")
+            rest = stored(rest.filter("coalesce(now_a, a) <> coalesce(now_b, b)").select("u", "v"), "near-rest")
+            roots = _joined(roots, _close(docs, coded, rest))
         roots = roots.select(F.col("node").alias("code"), "root")
         named = coded.select("doc_id", "content", "code").join(roots, "code", "left").select("doc_id", "content", F.coalesce("root", "code").alias("root"))
         return stored(named, "near", result=True)
+
+
+def _close(docs: DataFrame, coded: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the pairs (u, v) of codes, stored, whose exact similarity is LEAST or more."""
+    texts = _texts(docs, coded, pairs.select(F.col("u").alias("code")).union(pairs.select("v")).distinct())
+    return stored(_tested(pairs, texts).filter("close").select("u", "v"), "near-close")

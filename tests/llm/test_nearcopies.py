@@ -89,3 +89,43 @@ def test_groups_of_unlike_texts_under_one_passage(spark):
     names, root = {r.doc_id: r.root for r in got}, brute_roots(texts)
     assert 1 < len(set(root)) < len(texts)
     assert len({(names[i], root[i]) for i in range(len(texts))}) == len(set(root)) == len(set(names.values()))
+
+
+#: Of barely_linked, seeds of which 120 least values of the linked pair agree in less than 0.7.
+SEEDS = (87, 146, 1112, 1166, 1545, 2168)
+
+
+def barely_linked(seed):
+    """Two clusters of nine texts; of all pairs across, only the first of each are linked, at exactly 0.8."""
+    rng = random.Random(seed)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    passage = words(84)
+    ends = [words(10), words(10)]
+    return [" ".join(passage + e + (words(2) if i else [])) for e in ends for i in range(9)]
+
+
+def test_links_at_the_bound_between_clusters_are_all_found(spark):
+    """A sketch of the linked texts takes them for less alike than they are, and each has eight nearer ones."""
+    families = [barely_linked(seed) for seed in SEEDS]
+    texts = [t for f in families for t in f]
+    root = brute_roots(texts)
+    assert len(set(root)) == len(families)
+    got = nearcopies.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    names = {r.doc_id: r.root for r in got}
+    assert len({(names[i], root[i]) for i in range(len(texts))}) == len(set(names.values())) == len(families)
+
+
+def test_pairs_left_hold_all_links_in_blocks_too(spark):
+    texts = [t for t in corpus()[60:200] if t and t.strip()] + [t for seed in range(4) for t in barely_linked(seed)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    common = nearcopies._common(docs)
+    assert len(common[0]) and sorted(common[0].tolist()) == common[0].tolist()
+    distinct = nearcopies._coded(docs, common).dropDuplicates(["code"]).cache()
+    code = {r.doc_id: r.code for r in nearcopies._coded(docs).select("doc_id", "code").collect()}
+    sets = [brute_shingles(t) for t in texts]
+    linked = {tuple(sorted((code[i], code[j]))) for i in range(len(texts)) for j in range(i) if code[i] != code[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    alone = spark.createDataFrame([], "node long, root long")
+    pairs = {most: {tuple(r) for r in nearcopies._crossing(distinct, alone, most).collect()} for most in (nearcopies.GROUP_PAIRS, 20)}
+    assert pairs[20] == pairs[nearcopies.GROUP_PAIRS] and linked <= pairs[20]
+    one = spark.createDataFrame([(c, min(code.values())) for c in set(code.values())], "node long, root long")
+    assert nearcopies._crossing(distinct, one).count() == 0
