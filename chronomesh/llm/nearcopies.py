@@ -10,9 +10,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronomesh.llm.common import NULL_ID, release, slices, stored, temporary
+from chronomesh.llm.common import NULL_ID, free_shuffles, release, slices, stored, temporary
 from chronomesh.llm.components import connected_components
-from chronomesh.llm.simhash import GrayIndex, lowered, of_hashes
+from chronomesh.llm.simhash import GrayIndex, lowered, merged, of_hashes
 
 SHINGLE = 5
 #: Least Jaccard similarity of a link, as a fraction, so that it is decided in whole numbers.
@@ -35,7 +35,7 @@ SAMPLED, COMMON = 10_000, 200_000
 HELD_ROWS, GROUP_PAIRS = 200_000, 20_000_000
 #: Of the pairs left between two components so many are tested first, those of the nearest fingerprints; if one links them, the others needn't be.
 BEST = 16
-#: Rows of up to 24 bytes that may be broadcast; more are joined by shuffles.
+#: Rows of up to 24 bytes that may be broadcast or linked on the driver; more are joined by shuffles.
 SENT_ROWS = 200_000
 SEED = 42
 
@@ -325,9 +325,20 @@ def _texts(docs: DataFrame, coded: DataFrame, needed: DataFrame) -> DataFrame:
     return stored(found.groupBy("code").agg(F.first("text").alias("text")), "near-texts")
 
 
+def _linked(edges: DataFrame) -> DataFrame:
+    """(node, root) as by connected_components; up to SENT_ROWS edges, which are stored, are joined on the driver."""
+    if edges.count() > SENT_ROWS:
+        return connected_components(edges)
+    ends = edges.select("u", "v").toArrow()
+    u, v = (ends.column(x).to_numpy() for x in ("u", "v"))
+    nodes, place = np.unique(np.r_[u, v], return_inverse=True)
+    root = nodes[merged(len(nodes), iter([(place[: len(u)], place[len(u) :])]))]
+    return stored(edges.sparkSession.createDataFrame(pa.table({"node": pa.array(nodes, pa.int64()), "root": pa.array(root, pa.int64())})), "near-roots")
+
+
 def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     """The roots after these links (u, v) too."""
-    return roots if links.isEmpty() else connected_components(stored(links.union(roots.filter("node <> root")), "near-links"))
+    return roots if links.isEmpty() else _linked(stored(links.union(roots.filter("node <> root")), "near-links"))
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -350,7 +361,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
         distinct = coded.filter("code <> 0").groupBy("code").agg(*(F.first(c).alias(c) for c in ("finger", "bands", "size", "prefix")))
         distinct = stored(distinct, "near-codes")
         pairs = stored(_first_pairs(_dealt(distinct)).distinct(), "near-found")
-        roots = connected_components(_close(docs, coded, pairs))
+        roots = _linked(_close(docs, coded, pairs))
+        free_shuffles(docs.sparkSession)
         left = _ranked(_crossing(distinct, roots), distinct, roots)
         roots = _joined(roots, _close(docs, coded, left.filter("nth is not null")))
         if not left.filter("nth is null").isEmpty():

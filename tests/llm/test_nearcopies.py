@@ -129,3 +129,11 @@ def test_pairs_left_hold_all_links_in_blocks_too(spark):
     assert pairs[20] == pairs[nearcopies.GROUP_PAIRS] and linked <= pairs[20]
     one = spark.createDataFrame([(c, min(code.values())) for c in set(code.values())], "node long, root long")
     assert nearcopies._crossing(distinct, one).count() == 0
+
+
+def test_many_edges_are_linked_as_few(spark, monkeypatch):
+    rng = random.Random(12)
+    edges = spark.createDataFrame([(rng.randrange(-200, 200), rng.randrange(-200, 200)) for _ in range(150)], "u long, v long").filter("u <> v").cache()
+    few = sorted(tuple(r) for r in nearcopies._linked(edges).select("node", "root").collect())
+    monkeypatch.setattr(nearcopies, "SENT_ROWS", 0)
+    assert few == sorted(tuple(r) for r in nearcopies._linked(edges).select("node", "root").collect()) and len(few) > 100
