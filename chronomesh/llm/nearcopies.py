@@ -57,16 +57,16 @@ def band_hashes(held: np.ndarray, block: int = 4096) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(least[b * ROWS : (b + 1) * ROWS].tobytes(), b) for b in range(BANDS)], np.uint64)
 
 
-def prefix(held: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def prefix(held: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, int]:
     """The first shingles of a set, rare ones first: of two sets of similarity LEAST or more, each has a shingle of the other among them.
 
     Such sets share at least LEAST of either, so what one holds besides is too little to fill these. common: sorted
-    shingles and their counts; others come before them.
+    shingles and their counts; others come before them, and how many these are is returned too.
     """
     names, counts = common
     at = np.minimum(np.searchsorted(names, held), max(len(names) - 1, 0))
     n = np.where(names[at] == held, counts[at], 0) if len(names) else np.zeros(len(held), np.int64)
-    return held[np.lexsort((held, n))[: len(held) + 1 + -LEAST[0] * len(held) // LEAST[1]]]
+    return held[np.lexsort((held, n))[: len(held) + 1 + -LEAST[0] * len(held) // LEAST[1]]], int((n == 0).sum())
 
 
 def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -88,7 +88,7 @@ def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _coded(docs: DataFrame, common: tuple[np.ndarray, np.ndarray] = (np.empty(0, np.uint64), np.empty(0, np.int64))) -> DataFrame:
-    """(doc_id, content, code, finger, bands, size, prefix) per document: code stands for the shingle set, of `size` shingles, finger is its SimHash; without words code is 0 and bands and prefix are empty."""
+    """(doc_id, content, code, finger, bands, size, prefix, rare) per document: code stands for the shingle set, of `size` shingles, finger is its SimHash; without words code is 0 and bands and prefix are empty."""
     sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,17 +96,18 @@ def _coded(docs: DataFrame, common: tuple[np.ndarray, np.ndarray] = (np.empty(0,
             sets = [shingles(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
             codes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) if len(s) else 0 for s in sets], np.uint64)
             fingers = of_hashes(np.concatenate(sets) if sets else np.empty(0, np.uint64), np.array([len(s) for s in sets], np.int64))
-            made: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # copies share their bands
+            made: dict[int, tuple[np.ndarray, np.ndarray, int]] = {}  # copies share their bands
             for c, s in zip(codes.tolist(), sets):
                 if c not in made:
-                    made[c] = (band_hashes(s).view(np.int64), prefix(s, sent.value).view(np.int64)) if len(s) else (s.view(np.int64), s.view(np.int64))
-            bands, first = zip(*(made[c] for c in codes.tolist())) if len(codes) else ((), ())
+                    first, rare = prefix(s, sent.value) if len(s) else (s, 0)
+                    made[c] = (band_hashes(s) if len(s) else s).view(np.int64), first.view(np.int64), rare
+            bands, firsts, rares = zip(*(made[c] for c in codes.tolist())) if len(codes) else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("content"), pa.array(codes.view(np.int64)), pa.array(fingers.view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array([len(s) for s in sets], pa.int32()), pa.array(first, pa.list_(pa.int64()))],
-                ["doc_id", "content", "code", "finger", "bands", "size", "prefix"],
+                [batch.column("doc_id"), batch.column("content"), pa.array(codes.view(np.int64)), pa.array(fingers.view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array([len(s) for s in sets], pa.int32()), pa.array(firsts, pa.list_(pa.int64())), pa.array(rares, pa.int32())],
+                ["doc_id", "content", "code", "finger", "bands", "size", "prefix", "rare"],
             )
 
-    return _taken(docs).mapInArrow(run, "doc_id long, content long, code long, finger long, bands array<long>, size int, prefix array<long>")
+    return _taken(docs).mapInArrow(run, "doc_id long, content long, code long, finger long, bands array<long>, size int, prefix array<long>, rare int")
 
 
 def _taken(docs: DataFrame) -> DataFrame:
@@ -227,14 +228,15 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], names: list[str], enough: i
 
 def _crossing(distinct: DataFrame, roots: DataFrame, most: int = GROUP_PAIRS) -> DataFrame:
     """All pairs (u, v) of codes of different roots whose similarity can be LEAST or more: their prefixes share a shingle, their sizes
-    are near enough, and so many shingles follow the shared one in both. Nothing else is left out. A shingle's group of
+    are near enough, and so many shingles follow the shared one in both. Nothing else is left out. Where the shingles before the shared
+    one are the same too, the pair comes from their group (known of common ones, as `before`; else 0). A shingle's group of
     over `most` pairs is dealt out in blocks of its codes, each pair of blocks a group of its own."""
-    names = ["name", "root", "code", "size", "place"]
+    names = ["name", "root", "code", "size", "place", "before"]
 
     def search(batches: Iterator[pa.RecordBatch], most: float) -> Iterator[pa.RecordBatch]:
         for columns in _whole_groups(batches, names):
             order = np.lexsort((columns[1], columns[0]))
-            name, root, code, size, place = (c[order] for c in columns)
+            name, root, code, size, place, before = (c[order] for c in columns)
             if not len(name):
                 continue
             new = np.r_[True, name[1:] != name[:-1]]
@@ -247,7 +249,7 @@ def _crossing(distinct: DataFrame, roots: DataFrame, most: int = GROUP_PAIRS) ->
                 sizes = np.diff(np.r_[starts, len(name)])
                 blocks = np.ceil(np.repeat(sizes, sizes) / most**0.5).astype(np.int32)
                 none = pa.nulls(int(large.sum()), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, *(pa.array(c[large]) for c in (name, root, code, size, place, blocks))], ["u", "v", *names, "blocks"])
+                yield pa.RecordBatch.from_arrays([none, none, *(pa.array(c[large]) for c in (name, root, code, size, place, before, blocks))], ["u", "v", *names, "blocks"])
             at = np.flatnonzero((n > 0) & ~large)
             ends = np.cumsum(n[at])
             rest = size - place
@@ -255,13 +257,14 @@ def _crossing(distinct: DataFrame, roots: DataFrame, most: int = GROUP_PAIRS) ->
                 i = np.repeat(at[lo:hi], n[at[lo:hi]])
                 j = first[i] + np.arange(len(i)) - np.repeat(ends[lo:hi] - n[at[lo:hi]] - (ends[lo] - n[at[lo]]), n[at[lo:hi]])
                 both = LEAST[0] * (size[i] + size[j])
-                ok = ((LEAST[0] + LEAST[1]) * np.minimum(rest[i], rest[j]) >= both) & (LEAST[1] * np.minimum(size[i], size[j]) >= LEAST[0] * np.maximum(size[i], size[j]))
+                ok = ((before[i] != before[j]) | (before[i] == 0)) & ((LEAST[0] + LEAST[1]) * np.minimum(rest[i], rest[j]) >= both) & (LEAST[1] * np.minimum(size[i], size[j]) >= LEAST[0] * np.maximum(size[i], size[j]))
                 sent = _sent(code[i[ok]], code[j[ok]])
                 yield pa.RecordBatch.from_arrays([*sent.columns, *(pa.nulls(sent.num_rows, t) for t in kinds)], ["u", "v", *names, "blocks"])
 
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-    schema = "u long, v long, name long, root long, code long, size int, place int, blocks int"
-    rows = _rooted(distinct, roots).select("code", "root", "size", F.posexplode("prefix").alias("place", "name"))
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
+    schema = "u long, v long, name long, root long, code long, size int, place int, before long, blocks int"
+    rows = _rooted(distinct, roots).select("code", "root", "size", "prefix", "rare", F.posexplode("prefix").alias("place", "name"))
+    rows = rows.withColumn("before", F.expr("case when place > rare then element_at(prefix, place) else 0L end"))
     found = stored(rows.select(names).repartition("name").sortWithinPartitions("name").mapInArrow(lambda b: search(b, most), schema), "near-crossing")
     pairs, large = found.filter("u is not null").select("u", "v"), found.filter("u is null")
     if not large.isEmpty():
@@ -358,7 +361,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """
     with temporary(docs.sparkSession):
         coded = stored(_coded(docs, _common(docs)), "near-coded")
-        distinct = coded.filter("code <> 0").groupBy("code").agg(*(F.first(c).alias(c) for c in ("finger", "bands", "size", "prefix")))
+        distinct = coded.filter("code <> 0").groupBy("code").agg(*(F.first(c).alias(c) for c in ("finger", "bands", "size", "prefix", "rare")))
         distinct = stored(distinct, "near-codes")
         pairs = stored(_first_pairs(_dealt(distinct)).distinct(), "near-found")
         roots = _linked(_close(docs, coded, pairs))
