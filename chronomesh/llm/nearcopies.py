@@ -33,6 +33,8 @@ NEAREST = 12
 SAMPLED, COMMON = 10_000, 200_000
 #: Rows that a task searches at a time, and pairs within one shingle's group over which the group is dealt out in blocks.
 HELD_ROWS, GROUP_PAIRS = 200_000, 20_000_000
+#: Bytes of a set's parities, at least a bit a shingle between these. They only spare comparisons: fewer give more pairs and the same links.
+LEAST_PARITIES, MOST_PARITIES = 8, 1024
 #: Of the pairs left between two components so many are tested first, those of the nearest fingerprints; if one links them, the others needn't be.
 BEST = 16
 #: Rows of up to 24 bytes that may be broadcast or linked on the driver; more are joined by shuffles.
@@ -57,6 +59,34 @@ def band_hashes(held: np.ndarray, block: int = 4096) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(least[b * ROWS : (b + 1) * ROWS].tobytes(), b) for b in range(BANDS)], np.uint64)
 
 
+def parities(held: np.ndarray) -> bytes:
+    """How many shingles of a set leave each remainder, modulo 2: a power of two of bits."""
+    n = min(max(1 << (len(held) - 1).bit_length(), 8 * LEAST_PARITIES), 8 * MOST_PARITIES)
+    counts = np.bincount((held & np.uint64(n - 1)).astype(np.int64), minlength=n)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def apart(sets: list[bytes], i: np.ndarray, j: np.ndarray, words: int = 1 << 20) -> np.ndarray:
+    """For pairs of places in a list of parities, the bits in which these differ: at most as many as the shingles that one of the two sets holds alone.
+
+    Shingles of both cancel out, each other one turns one bit. Wider parities are folded onto narrower ones.
+    """
+    flat = np.frombuffer(b"".join(sets), "<u8")
+    wide = np.array([len(p) // 8 for p in sets], np.int64)
+    start = np.cumsum(wide) - wide
+    swap = wide[i] < wide[j]
+    i, j = np.where(swap, j, i), np.where(swap, i, j)
+    out = np.empty(len(i), np.int64)
+    by = np.lexsort((wide[j], wide[i]))
+    kinds = np.flatnonzero(np.r_[True, (np.diff(wide[i[by]]) != 0) | (np.diff(wide[j[by]]) != 0)]) if len(by) else by
+    for lo, hi in zip(kinds, np.r_[kinds[1:], len(by)]):
+        a, b = wide[i[by[lo]]], wide[j[by[lo]]]
+        for at in np.split(by[lo:hi], range(max(1, words // a), hi - lo, max(1, words // a))):
+            folded = np.bitwise_xor.reduce(flat[start[i[at], None] + np.arange(a)].reshape(len(at), -1, b), axis=1)
+            out[at] = np.bitwise_count(folded ^ flat[start[j[at], None] + np.arange(b)]).sum(axis=1)
+    return out
+
+
 def prefix(held: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The first shingles of a set, rare ones first: of two sets of similarity LEAST or more, each has a shingle of the other among them.
 
@@ -88,7 +118,7 @@ def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _coded(docs: DataFrame, common: tuple[np.ndarray, np.ndarray] = (np.empty(0, np.uint64), np.empty(0, np.int64))) -> DataFrame:
-    """(doc_id, content, code, finger, bands, size, prefix) per document: code stands for the shingle set, of `size` shingles, finger is its SimHash; without words code is 0 and bands and prefix are empty."""
+    """(doc_id, content, code, finger, bands, size, prefix, bits) per document: code stands for the shingle set, of `size` shingles, finger is its SimHash, bits its parities; without words code is 0 and bands, prefix and bits are empty."""
     sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,17 +126,17 @@ def _coded(docs: DataFrame, common: tuple[np.ndarray, np.ndarray] = (np.empty(0,
             sets = [shingles(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
             codes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) if len(s) else 0 for s in sets], np.uint64)
             fingers = of_hashes(np.concatenate(sets) if sets else np.empty(0, np.uint64), np.array([len(s) for s in sets], np.int64))
-            made: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # copies share their bands
+            made: dict[int, tuple[np.ndarray, np.ndarray, bytes]] = {}  # copies share their bands
             for c, s in zip(codes.tolist(), sets):
                 if c not in made:
-                    made[c] = (band_hashes(s).view(np.int64), prefix(s, sent.value).view(np.int64)) if len(s) else (s.view(np.int64), s.view(np.int64))
-            bands, first = zip(*(made[c] for c in codes.tolist())) if len(codes) else ((), ())
+                    made[c] = (band_hashes(s).view(np.int64), prefix(s, sent.value).view(np.int64), parities(s)) if len(s) else (s.view(np.int64), s.view(np.int64), b"")
+            bands, first, bits = zip(*(made[c] for c in codes.tolist())) if len(codes) else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("content"), pa.array(codes.view(np.int64)), pa.array(fingers.view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array([len(s) for s in sets], pa.int32()), pa.array(first, pa.list_(pa.int64()))],
-                ["doc_id", "content", "code", "finger", "bands", "size", "prefix"],
+                [batch.column("doc_id"), batch.column("content"), pa.array(codes.view(np.int64)), pa.array(fingers.view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array([len(s) for s in sets], pa.int32()), pa.array(first, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
+                ["doc_id", "content", "code", "finger", "bands", "size", "prefix", "bits"],
             )
 
-    return _taken(docs).mapInArrow(run, "doc_id long, content long, code long, finger long, bands array<long>, size int, prefix array<long>")
+    return _taken(docs).mapInArrow(run, "doc_id long, content long, code long, finger long, bands array<long>, size int, prefix array<long>, bits binary")
 
 
 def _taken(docs: DataFrame) -> DataFrame:
@@ -211,7 +241,7 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], names: list[str], enough: i
     for batch in batches:
         if not batch.num_rows:
             continue
-        held.append([batch.column(x).to_numpy() for x in names])
+        held.append([batch.column(x).to_numpy(zero_copy_only=False) for x in names])
         n += batch.num_rows
         if n >= most:  # the last group may go on: what lies before it is complete
             columns = [np.concatenate(c) for c in zip(*held)]
@@ -225,30 +255,61 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], names: list[str], enough: i
     release()
 
 
-def _crossing(distinct: DataFrame, roots: DataFrame, most: int = GROUP_PAIRS) -> DataFrame:
-    """All pairs (u, v) of codes of different roots whose similarity can be LEAST or more: their prefixes share a shingle, their sizes
-    are near enough, and so many shingles follow the shared one in both. Nothing else is left out. A shingle's group of
-    over `most` pairs is dealt out in blocks of its codes, each pair of blocks a group of its own."""
+def _met(distinct: DataFrame, roots: DataFrame, most: int) -> DataFrame:
+    """(name, root, code, size, place, blocks) of shingles that codes of different roots hold in their prefixes, of those that the same codes hold the first only.
+
+    All prefixes have one order, so that one comes first in each of them, and a pair's first shared shingle is never left out.
+    blocks: into how many a group of over `most` pairs is to be dealt, else 1.
+    """
     names = ["name", "root", "code", "size", "place"]
 
-    def search(batches: Iterator[pa.RecordBatch], most: float) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in _whole_groups(batches, names):
             order = np.lexsort((columns[1], columns[0]))
             name, root, code, size, place = (c[order] for c in columns)
             if not len(name):
                 continue
-            new = np.r_[True, name[1:] != name[:-1]]
-            starts = np.flatnonzero(new)
-            first = np.repeat(starts, np.diff(np.r_[starts, len(name)]))
-            runs = np.flatnonzero(new | np.r_[True, root[1:] != root[:-1]])
-            n = np.repeat(runs, np.diff(np.r_[runs, len(name)])) - first  # each row meets those of its group with smaller roots
-            pairs = np.repeat(np.add.reduceat(n, starts), np.diff(np.r_[starts, len(name)]))
-            if (large := pairs > most).any():
-                sizes = np.diff(np.r_[starts, len(name)])
-                blocks = np.ceil(np.repeat(sizes, sizes) / most**0.5).astype(np.int32)
-                none = pa.nulls(int(large.sum()), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, *(pa.array(c[large]) for c in (name, root, code, size, place, blocks))], ["u", "v", *names, "blocks"])
-            at = np.flatnonzero((n > 0) & ~large)
+            starts, _, n = _meetings(name, root)
+            sizes = np.diff(np.r_[starts, len(name)])
+            pairs = np.add.reduceat(n, starts)
+            blocks = np.where(pairs > most, np.ceil(sizes / most**0.5), 1).astype(np.int32)
+            same = np.add.reduceat(code.view(np.uint64), starts).view(np.int64)  # the codes are hashes
+            ahead = place[code == np.repeat(np.minimum.reduceat(code, starts), sizes)]
+            met = np.repeat(pairs > 0, sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(c[met]) for c in (name, root, code, size, place, *(np.repeat(x, sizes) for x in (blocks, same, ahead)))], [*names, "blocks", "same", "ahead"])
+
+    rows = _rooted(distinct, roots).select("code", "root", "size", F.posexplode("prefix").alias("place", "name"))
+    schema = "name long, root long, code long, size int, place int, blocks int, same long, ahead int"
+    met = stored(rows.select(names).repartition("name").sortWithinPartitions("name").mapInArrow(run, schema), "near-met")
+    kept = stored(met.groupBy("same").agg(F.min(F.struct("ahead", "name")).alias("at")).select("at.name"), "near-names")
+    return met.join(F.broadcast(kept) if kept.count() <= SENT_ROWS else kept, "name", "left_semi").select(*names, "blocks")
+
+
+def _meetings(name: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For rows sorted by name and root: starts of names, each row's one, and how many rows of its name with smaller roots each row meets."""
+    new = np.r_[True, name[1:] != name[:-1]]
+    starts = np.flatnonzero(new)
+    first = np.repeat(starts, np.diff(np.r_[starts, len(name)]))
+    runs = np.flatnonzero(new | np.r_[True, root[1:] != root[:-1]])
+    return starts, first, np.repeat(runs, np.diff(np.r_[runs, len(name)])) - first
+
+
+def _crossing(distinct: DataFrame, roots: DataFrame, most: int = GROUP_PAIRS) -> DataFrame:
+    """All pairs (u, v) of codes of different roots whose similarity can be LEAST or more: their prefixes share a shingle, their sizes
+    are near enough, so many shingles follow the shared one in both, and their parities differ in so few bits. Nothing else is left out.
+    A shingle's group of over `most` pairs is dealt out in blocks of its codes, each pair of blocks a group of its own."""
+    names = ["name", "root", "code", "size", "place", "bits"]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in _whole_groups(batches, names, HELD_ROWS // 4):
+            order = np.lexsort((columns[1], columns[0]))
+            name, root, code, size, place, bits = (c[order] for c in columns)
+            if not len(name):
+                continue
+            _, first, n = _meetings(name, root)
+            _, one, which = np.unique(code, return_index=True, return_inverse=True)
+            sets = bits[one].tolist()
+            at = np.flatnonzero(n > 0)
             ends = np.cumsum(n[at])
             rest = size - place
             for lo, hi in _blocks(ends, 1 << 20):
@@ -256,19 +317,17 @@ def _crossing(distinct: DataFrame, roots: DataFrame, most: int = GROUP_PAIRS) ->
                 j = first[i] + np.arange(len(i)) - np.repeat(ends[lo:hi] - n[at[lo:hi]] - (ends[lo] - n[at[lo]]), n[at[lo:hi]])
                 both = LEAST[0] * (size[i] + size[j])
                 ok = ((LEAST[0] + LEAST[1]) * np.minimum(rest[i], rest[j]) >= both) & (LEAST[1] * np.minimum(size[i], size[j]) >= LEAST[0] * np.maximum(size[i], size[j]))
-                sent = _sent(code[i[ok]], code[j[ok]])
-                yield pa.RecordBatch.from_arrays([*sent.columns, *(pa.nulls(sent.num_rows, t) for t in kinds)], ["u", "v", *names, "blocks"])
+                i, j = i[ok], j[ok]
+                pair = np.unique(np.minimum(which[i], which[j]) * len(one) + np.maximum(which[i], which[j]))
+                a, b = pair // len(one), pair % len(one)
+                ok = (LEAST[0] + LEAST[1]) * apart(sets, a, b) <= (LEAST[1] - LEAST[0]) * (size[one[a]] + size[one[b]])
+                yield _sent(code[one[a[ok]]], code[one[b[ok]]])
 
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-    schema = "u long, v long, name long, root long, code long, size int, place int, blocks int"
-    rows = _rooted(distinct, roots).select("code", "root", "size", F.posexplode("prefix").alias("place", "name"))
-    found = stored(rows.select(names).repartition("name").sortWithinPartitions("name").mapInArrow(lambda b: search(b, most), schema), "near-crossing")
-    pairs, large = found.filter("u is not null").select("u", "v"), found.filter("u is null")
-    if not large.isEmpty():
-        dealt = large.withColumn("own", F.expr("cast(pmod(xxhash64(code), blocks) as int)")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.withColumn("name", F.xxhash64("name", F.least("own", "other"), F.greatest("own", "other"))).select(names)
-        pairs = pairs.union(dealt.repartition("name").sortWithinPartitions("name").mapInArrow(lambda b: search(b, float("inf")), schema).select("u", "v"))
-    return stored(pairs.distinct(), "near-pairs")
+    rows = _met(distinct, roots, most).join(distinct.select("code", "bits"), "code")
+    rows = rows.withColumn("own", F.expr("cast(pmod(xxhash64(code), blocks) as int)")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("name", F.expr("if(blocks = 1, name, xxhash64(name, least(own, other), greatest(own, other)))"))
+    found = rows.select(names).repartition("name").sortWithinPartitions("name").mapInArrow(search, "u long, v long")
+    return stored(found.distinct(), "near-pairs")
 
 
 def _rooted(distinct: DataFrame, roots: DataFrame) -> DataFrame:
@@ -358,7 +417,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """
     with temporary(docs.sparkSession):
         coded = stored(_coded(docs, _common(docs)), "near-coded")
-        distinct = coded.filter("code <> 0").groupBy("code").agg(*(F.first(c).alias(c) for c in ("finger", "bands", "size", "prefix")))
+        distinct = coded.filter("code <> 0").groupBy("code").agg(*(F.first(c).alias(c) for c in ("finger", "bands", "size", "prefix", "bits")))
         distinct = stored(distinct, "near-codes")
         pairs = stored(_first_pairs(_dealt(distinct)).distinct(), "near-found")
         roots = _linked(_close(docs, coded, pairs))

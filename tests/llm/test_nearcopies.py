@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 import corpus_pipeline
 from chronomesh.llm import nearcopies
 from chronomesh.llm.components import connected_components
@@ -137,3 +139,48 @@ def test_many_edges_are_linked_as_few(spark, monkeypatch):
     few = sorted(tuple(r) for r in nearcopies._linked(edges).select("node", "root").collect())
     monkeypatch.setattr(nearcopies, "SENT_ROWS", 0)
     assert few == sorted(tuple(r) for r in nearcopies._linked(edges).select("node", "root").collect()) and len(few) > 100
+
+
+def test_parities_differ_in_no_more_bits_than_sets_do_in_shingles():
+    rng = np.random.default_rng(14)
+    sets = [np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)) for n in (1, 2, 63, 64, 65, 500, 520, 9000)]
+    sets += [np.unique(np.r_[s[: max(1, len(s) * k // 9)], rng.integers(0, 2**64, len(s) // 8, dtype=np.uint64)]) for s in sets for k in (5, 8, 9)]
+    sets.append(np.r_[sets[5], rng.integers(0, 2**64, 30, dtype=np.uint64)])  # twice as many bits as sets[5]
+    made = [nearcopies.parities(s) for s in sets]
+    assert min(map(len, made)) == nearcopies.LEAST_PARITIES and max(map(len, made)) == nearcopies.MOST_PARITIES and len(made[-1]) == 2 * len(made[5])
+    i, j = np.array([(a, b) for a in range(len(sets)) for b in range(len(sets))]).T
+    far = nearcopies.apart(made, i, j)
+    alone = np.array([len(np.setxor1d(sets[a], sets[b])) for a, b in zip(i, j)])
+    assert (far <= alone).all() and (far[i == j] == 0).all() and far[(i == 5) & (j == len(sets) - 1)][0] > 20
+    assert (far == nearcopies.apart(made, i, j, words=7)).all() and (far == nearcopies.apart(made, j, i)).all()
+
+
+def test_pairs_left_do_not_grow_with_the_square_of_a_family_below_the_bound(spark):
+    """Texts that share three quarters of their shingles or less pairwise are hardly proposed, whatever they have in common; the one link is."""
+    rng = random.Random(16)
+    passage = [f"p{i}" for i in range(400)]
+    texts = [" ".join(passage + [f"t{f}w{rng.randrange(10**9)}" for _ in range(160)]) for f in range(90)]
+    texts += [texts[0] + " tail", " ".join(passage[:300])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    distinct = nearcopies._coded(docs).dropDuplicates(["code"]).cache()
+    code = {r.doc_id: r.code for r in distinct.select("doc_id", "code").collect()}
+    pairs = {tuple(r) for r in nearcopies._crossing(distinct, spark.createDataFrame([], "node long, root long")).collect()}
+    assert tuple(sorted((code[0], code[90]))) in pairs and len(pairs) < len(texts)
+
+
+def test_shingles_that_the_same_codes_hold_are_met_once(spark):
+    """Of a pair's shared shingles the first stays, and a link at the bound is met there."""
+    texts = [t for seed in range(6) for t in barely_linked(seed)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    distinct = nearcopies._coded(docs, nearcopies._common(docs)).dropDuplicates(["code"]).cache()
+    met = nearcopies._met(distinct, spark.createDataFrame([], "node long, root long"), nearcopies.GROUP_PAIRS).collect()
+    held, placed = {}, {}
+    for r in met:
+        held.setdefault(r.name, set()).add(r.code)
+        placed[r.name, r.code] = r.place
+    assert len({frozenset(c) for c in held.values()}) == len(held) > 6
+    first = {r.code: r.prefix for r in distinct.collect()}
+    for name, codes in held.items():
+        a = min(codes)
+        before = [n for n in first[a][: placed[name, a]] if {c for c in first if n in first[c]} == codes]
+        assert not before and len(codes) > 1
