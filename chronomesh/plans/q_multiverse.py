@@ -30,20 +30,25 @@ def space(s) -> DataFrame:
 
 
 def outcomes(s, d) -> DataFrame:
-    """(universe, decisions.., outcome, n): every order joins the groups it belongs to, then one aggregate serves all universes."""
+    """(universe, decisions.., outcome, n): every order joins the groups it belongs to, then one aggregate serves all universes.
+
+    The orders are written once, each row with a number of its own: sums of line items are of another last bit whenever they are
+    summed anew, and several passes have to meet the same values. The number tells the rows of a repeated order apart.
+    """
     net = fx.read(s, d, "lineitem").groupBy("l_orderkey").agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net"))
     orders = fx.read(s, d, "orders").join(fx.read(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(net, F.col("o_orderkey") == F.col("l_orderkey"))
+    orders = stored(orders.select(F.monotonically_increasing_id().alias("row"), "o_orderkey", "o_orderstatus", "c_mktsegment", "o_totalprice", "net"), "orders")
     prices = F.array(F.struct(F.lit("total").alias("p"), F.col("o_totalprice").alias("v")), F.struct(F.lit("net").alias("p"), F.col("net").alias("v")))
-    rows = orders.select("o_orderkey", F.explode(F.array(F.lit("all"), "o_orderstatus")).alias("status"), "c_mktsegment", prices.alias("prices"))
-    rows = rows.select("o_orderkey", "status", F.explode(F.array(F.lit("all"), "c_mktsegment")).alias("segment"), "prices")
-    rows = rows.select("o_orderkey", "status", "segment", F.explode("prices").alias("q")).select("o_orderkey", "status", "segment", F.col("q.p").alias("price"), F.col("q.v").alias("v"))
+    rows = orders.select("row", "o_orderkey", F.explode(F.array(F.lit("all"), "o_orderstatus")).alias("status"), "c_mktsegment", prices.alias("prices"))
+    rows = rows.select("row", "o_orderkey", "status", F.explode(F.array(F.lit("all"), "c_mktsegment")).alias("segment"), "prices")
+    rows = rows.select("row", "o_orderkey", "status", "segment", F.explode("prices").alias("q")).select("row", "o_orderkey", "status", "segment", F.col("q.p").alias("price"), F.col("q.v").alias("v"))
     keys = ["status", "price", "segment"]
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("v"), "o_orderkey"))).filter("rank <= 3")
-    top = ranked.groupBy(*keys).agg(F.collect_list(F.struct("v", "o_orderkey")).alias("top"))
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("v"), "o_orderkey", "row"))).filter("rank <= 3")
+    top = ranked.groupBy(*keys).agg(F.collect_list("row").alias("top"))
     marked = rows.join(F.broadcast(top), keys)  # one row per group of decisions
-    kept = marked.withColumn("trim", F.explode(F.when(F.array_contains("top", F.struct("v", "o_orderkey")), F.array(F.lit("none"))).otherwise(F.array(F.lit("none"), F.lit("drop3")))))
+    kept = marked.withColumn("trim", F.explode(F.when(F.array_contains("top", F.col("row")), F.array(F.lit("none"))).otherwise(F.array(F.lit("none"), F.lit("drop3")))))
     sums = kept.groupBy(*keys, "trim").agg(F.avg("v").alias("mean"), F.count("*").alias("n"))
-    sums = sums.join(exact_medians(kept, [*keys, "trim"], "v"), [*keys, "trim"])
+    sums = sums.join(exact_medians(kept, [*keys, "trim"], "v"), [*keys, "trim"], "left")
     long = sums.unpivot([*keys, "trim", "n"], ["mean", "median"], "agg", "outcome")
     return F.broadcast(space(s)).join(long, NAMES, "left").select("universe", *NAMES, F.round("outcome", 6).alias("outcome"), F.col("n").alias("n"))
 
