@@ -40,16 +40,16 @@ def exact_medians(rows: DataFrame, keys: list[str], x: str, margin: float = 0.00
     """(keys.., median) of finite numbers, however many a group holds.
 
     An approximate pass brackets each group's middle. Only what lies within the bracket, some thousandths of a group, is
-    put in order; what lies below is counted. Groups are few: their brackets are one row each.
+    put in order; what lies below is counted in the same pass, since another pass would find other brackets. Groups are few:
+    their brackets are one row each. rows are read twice and must be the same both times.
     """
     value = F.col(x).cast("double")
     near = F.percentile_approx(value, F.array(F.lit(0.5 - margin), F.lit(0.5 + margin)), F.lit(10_000))
     brackets = rows.filter(value.isNotNull()).groupBy(*keys).agg(F.count("*").alias("_n"), near.alias("_b"))
-    marked = rows.filter(value.isNotNull()).join(brackets, keys).withColumn("_v", value)
-    below = marked.groupBy(*keys).agg(F.sum((F.col("_v") < F.col("_b")[0]).cast("long")).alias("_below"), F.first("_n").alias("_n"))
-    inside = marked.filter(F.col("_v").between(F.col("_b")[0], F.col("_b")[1])).groupBy(*keys, "_v").agg(F.count("*").alias("_k"))
-    upto = F.sum("_k").over(Window.partitionBy(*keys).orderBy("_v"))
-    ranked = inside.withColumn("_upto", upto).join(below, keys).withColumn("_upto", F.col("_upto") + F.col("_below"))
+    marked = rows.filter(value.isNotNull()).join(brackets, keys).withColumn("_v", value).filter(F.col("_v") <= F.col("_b")[1])
+    # one row of each group is null: all that lies below
+    counted = marked.withColumn("_v", F.when(F.col("_v") >= F.col("_b")[0], F.col("_v"))).groupBy(*keys, "_v").agg(F.count("*").alias("_k"), F.max("_n").alias("_n"))
+    ranked = counted.withColumn("_upto", F.sum("_k").over(Window.partitionBy(*keys).orderBy(F.asc_nulls_first("_v"))))
     # the least values that at least half the group, and over half of it, reach
     lower, upper = F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1
     low, high = (F.min(F.when(F.col("_upto") >= at, F.col("_v"))) for at in (lower, upper))

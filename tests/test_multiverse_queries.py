@@ -6,6 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from chronomesh.functions.stats import exact_medians
 from chronomesh.plans import fixtures as fx
 from tests.test_oracle import SF, plain, pytestmark  # noqa: F401
 
@@ -47,3 +48,17 @@ def test_repeated_orders_are_dropped_one_by_one(spark, tmp_path):
     d = tables(tmp_path, orders="select * from orders union all from orders")
     got, expect = same(spark, "mv_orders_run", d)
     assert got == expect
+
+
+def test_medians_of_one_pass_and_its_brackets(spark, monkeypatch):
+    """Brackets depend on the order in which executors' summaries are merged: what is counted below must be so by the same bracket."""
+    approximate = F.percentile_approx
+    moved = F.udf(lambda x: x + os.urandom(1)[0] / 4, "double")
+    monkeypatch.setattr(F, "percentile_approx", lambda x, *more: approximate(moved(x), *more))
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        rows = spark.range(1000).select((F.col("id") % 2).alias("k"), F.col("id").cast("double").alias("x"))
+        got = {r.k: r.median for r in exact_medians(rows, ["k"], "x", 0.2).collect()}
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    assert got == {0: 499.0, 1: 500.0}
