@@ -32,7 +32,7 @@ def tables(folder, **sql):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["mv_orders_run", "mv_get_results", "mv_speccurve"])
+@pytest.mark.parametrize("name", ["mv_orders_run", "mv_get_results", "mv_speccurve", "mv_specpanel"])
 def test_line_sums_of_another_last_bit(spark, monkeypatch, name):
     """Whenever line items are summed anew, as after a shuffle, the last bits may differ; the three dropped orders must not."""
     read = fx.read
@@ -66,7 +66,7 @@ def test_medians_of_one_pass_and_its_brackets(spark, monkeypatch):
     assert got == {0: 499.0, 1: 500.0}
 
 
-@pytest.mark.parametrize("name", ["mv_speccurve"])
+@pytest.mark.parametrize("name", ["mv_speccurve", "mv_specpanel"])
 def test_universes_without_outcome_rank_last(spark, tmp_path, name):
     got, expect = same(spark, name, tables(tmp_path, orders="select * from orders where o_orderstatus <> 'P'"))
     assert got == expect
