@@ -32,7 +32,7 @@ def tables(folder, **sql):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["mv_orders_run", "mv_get_results", "mv_speccurve", "mv_specpanel"])
+@pytest.mark.parametrize("name", ["mv_orders_run", "mv_get_results", "mv_speccurve", "mv_specpanel", "mv_effects"])
 def test_line_sums_of_another_last_bit(spark, monkeypatch, name):
     """Whenever line items are summed anew, as after a shuffle, the last bits may differ; the three dropped orders must not."""
     read = fx.read
